@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words, as a regular-expression class and as the plain characters.
@@ -44,3 +44,45 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A group's rows are dealt over this many salts before they meet as one row per salt.
+SALTS = 32
+
+
+def salted_min(df: DataFrame, keys: list[str], value: str, out: str, by: str) -> DataFrame:
+    """df with the least value of its group as column out (nulls in keys form no group and lose the row).
+
+    Each (group, salt) is summarised map-side first, at most SALTS rows of a group ever meet, and the join back runs
+    per salt: a group that holds a third of the table is spread like any other rows. by: the column that salts.
+    """
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    least = rows.groupBy(*keys, "_salt").agg(F.min(value).alias(out))
+    group = Window.partitionBy(*keys)
+    least = least.withColumn(out, F.min(out).over(group))
+    return rows.join(least, [*keys, "_salt"]).drop("_salt")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, component (the least node reachable) of the undirected links (a, b), for every node in a link.
+
+    Alternating large-star and small-star rounds; each round is one min per node and a salted join, and is written
+    to the shared folder. Nothing is gathered.
+    """
+    spark = links.sparkSession
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    seen = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Large star: each neighbour above u is tied to the least of u and its neighbours.
+        m = salted_min(both.withColumn("w", F.least("u", "v")), ["u"], "w", "m", "v")
+        large = m.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Small star: u and its neighbours below are tied to the least of them.
+        m = salted_min(large, ["u"], "v", "m", "v")
+        small = m.select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = cut(small)
+        # Done when every node hangs on one root that hangs on nothing.
+        sign = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == tuple(sign):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+        seen = tuple(sign)

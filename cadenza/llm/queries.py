@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import crc_of_id, table
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), width=3, threshold=0.85)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cadenza.llm.exact_dedup import exact_dedup
 
