@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import crc_of_id, table
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.packing import best_fit_packing
+
+    return best_fit_packing(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cadenza.llm.near_dedup import near_dedup
 
