@@ -22,6 +22,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def _held_out(mod: int, at: int):
+    """Whether crc32(doc_id as text) has the held-out remainder."""
+    return F.pmod(crc_of_id(F.col("doc_id")), F.lit(mod)) == at
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.quality_model import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _held_out(5, 0), threshold=0.3)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _held_out(3, 1), threshold=0.7)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cadenza.llm.near_dedup import near_dedup
 
