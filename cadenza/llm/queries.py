@@ -63,6 +63,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=13)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"), _held_out(3, 1))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cadenza.llm.quality_rules import quality_rules
 

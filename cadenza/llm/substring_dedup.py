@@ -180,4 +180,4 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
     rows = rows_of(docs, id_col, text_col)
     both = with_ranges(rows, repeated_ranges(rows, width))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return both.mapInPandas(_removed(width, texts), schema)
+    return both.drop("more").mapInPandas(_removed(width, texts), schema)

@@ -16,6 +16,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cadenza.llm.windows import covered, gram_hashes, repeated_runs, rows_of, segments, with_ranges
 
@@ -184,20 +185,25 @@ def _removed(width: int, texts: bool):
                 gone = covered(len(raw), ranges, width)
                 left = raw[~gone].tobytes()
                 out.append((i, len(raw), int(gone.sum()), len(_spans(gone)), hashlib.sha256(left).hexdigest(), *([left.decode("utf-8", "ignore")] if texts else [])))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if texts else [])]).astype({"doc_id": "Int64"})
+            new = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if texts else [])]).astype({"doc_id": "Int64"})
+            yield new.assign(more=b["more"].to_list()) if "more" in b else new
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text).
+def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, and columns to keep).
 
     Each UTF-8 byte covered by a string of width bytes (130 to 250) that also starts anywhere else, in the same text
     or another, is removed; strings are judged on the input. Null and empty texts have no bytes. Rows that repeat a
     text lose all of it (if it is width long). kept_text drops the bytes of characters that were cut apart. An empty
     table gives no rows; other columns are ignored.
     """
-    rows = rows_of(docs, id_col, text_col)
+    rows = rows_of(docs, id_col, text_col, keep)
     both = with_ranges(rows, repeated_ranges(rows, width))
+    kinds = dict(docs.dtypes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return both.mapInPandas(_removed(width, texts), schema)
+    if not keep:
+        return both.drop("more").mapInPandas(_removed(width, texts), schema)
+    inner = ", ".join(f"`{c}`: {kinds[c]}" for c in keep)
+    return both.mapInPandas(_removed(width, texts), f"{schema}, more struct<{inner}>").select("*", *[F.col("more")[c].alias(c) for c in keep]).drop("more")

@@ -77,10 +77,12 @@ def runs(x: np.ndarray, width: int, gram: int, longest: int) -> tuple[np.ndarray
     return m[starts].view(np.int64), starts, lengths, own
 
 
-def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(did, row, text): a row's id (null: the least long) and a hash that tells rows of one id apart."""
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return d.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("did"), F.xxhash64("doc_id", "text").alias("row"), "text")
+def rows_of(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(did, row, text, more): a row's id (null: the least long), a hash that tells rows of one id apart, and a struct
+    of the columns to keep."""
+    more = F.struct(*[docs[c].alias(c) for c in keep]) if keep else F.lit(None).cast("boolean")
+    d = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), more.alias("more"))
+    return d.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("did"), F.xxhash64("doc_id", "text").alias("row"), "text", "more")
 
 
 def _run_rows(symbols: Callable, width: int, gram: int, longest: int, within: bool):
@@ -126,7 +128,7 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_runs(rows: DataFrame, symbols: Callable, width: int, gram: int, longest: int, within: bool) -> DataFrame:
     """(did, row, key, start, n) of all runs whose minimiser occurs more than once, or (within) twice in the run."""
-    found = rows.mapInPandas(_run_rows(symbols, width, gram, longest, within), "did long, row long, key long, start int, n int, sure boolean, twice boolean")
+    found = rows.select("did", "row", "text").mapInPandas(_run_rows(symbols, width, gram, longest, within), "did long, row long, key long, start int, n int, sure boolean, twice boolean")
     # Rows that count meet by key; the sure ones are dealt anywhere.
     deal = F.when(F.col("sure"), F.xxhash64("did", "row", "start")).otherwise(F.lit(0))
     return found.repartition("key", deal).mapInPandas(_repeated, "did long, row long, key long, start int, n int")
@@ -161,7 +163,7 @@ def _cut_out(pieces: Callable, width: int, same_row_is_sure: bool):
 def segments(rows: DataFrame, found: DataFrame, pieces: Callable, width: int, same_row_is_sure: bool) -> DataFrame:
     """The runs' segments, those that count dealt by key. pieces(text)(from, to) gives a segment as bytes."""
     per_row = found.groupBy("did", "row").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
-    cut = rows.join(per_row, ["did", "row"]).mapInPandas(_cut_out(pieces, width, same_row_is_sure), "did long, row long, key long, start int, n int, sure boolean, times int, seg binary, digest binary")
+    cut = rows.join(per_row, ["did", "row"]).select("did", "row", "text", "runs").mapInPandas(_cut_out(pieces, width, same_row_is_sure), "did long, row long, key long, start int, n int, sure boolean, times int, seg binary, digest binary")
     deal = F.when(F.col("sure"), F.xxhash64("did", "row", "start")).otherwise(F.lit(0))
     return cut.repartition("key", deal)
 
@@ -178,4 +180,4 @@ def covered(length: int, ranges: list, width: int) -> np.ndarray:
 def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every row with its ranges (an empty list where there are none)."""
     per_row = ranges.distinct().groupBy("did", "row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    return rows.join(per_row, ["did", "row"], "left").select(F.when(F.col("did") != -(2**63), F.col("did")).alias("doc_id"), "text", F.coalesce("ranges", F.array().cast("array<struct<start:int,n:int>>")).alias("ranges"))
+    return rows.join(per_row, ["did", "row"], "left").select(F.when(F.col("did") != -(2**63), F.col("did")).alias("doc_id"), "text", "more", F.coalesce("ranges", F.array().cast("array<struct<start:int,n:int>>")).alias("ranges"))
