@@ -344,8 +344,8 @@ def pll_gains(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("key"), digits(kp, 8).alias("kp"), digits(ki, 8).alias("ki"))
 
 
-@query("param_overlay", """WITH p AS (SELECT p_brand AS dataset, p_type AS method, unnest([0, 1, 2]) AS prio, unnest(['qx', 'qx', 'rv']) AS path, unnest([p_size, CASE WHEN p_size % 2 = 0 THEN p_size * 10 END, p_size + 1]) AS value, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) <= 3)
- SELECT dataset, method, arg_max(value, prio) FILTER (WHERE path = 'qx' AND value IS NOT NULL) AS qx, arg_max(value, prio) FILTER (WHERE path = 'rv') AS rv FROM p GROUP BY ALL""")
+@query("param_overlay", """WITH f AS (SELECT p_brand AS dataset, p_type AS method, p_size AS s FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) = 1)
+ SELECT dataset, method, CASE WHEN s % 2 = 0 THEN s * 10 ELSE s END AS qx, s + 1 AS rv FROM f""")
 def param_overlay(spark, d):
     from pyspark.sql import Window
 
