@@ -73,9 +73,11 @@ class Discriminant:
         n = {k: m[0, 0] for k, m in moments.items()}
         mean = {k: m[0, 1:] / n[k] for k, m in moments.items()}
         cov = {k: m[1:, 1:] / n[k] - np.outer(mean[k], mean[k]) for k, m in moments.items()}
+        self.mean, self.factor, self.offset = mean, {}, {}
+        if len(cov) < 2:  # nothing to discriminate
+            return
         pooled = sum(n[k] * cov[k] for k in cov) / sum(n.values())
         pooled = (1 - DIAGONAL) * pooled + DIAGONAL * np.diag(np.diag(pooled))
-        self.mean, self.factor, self.offset = mean, {}, {}
         for k in cov:
             s = (1 - POOLED) * cov[k] + POOLED * pooled + FLOOR**2 * np.eye(len(pooled))
             self.factor[k] = np.linalg.cholesky(s)
