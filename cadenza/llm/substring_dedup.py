@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from cadenza.llm.near_dedup import _hash_of
 from cadenza.llm.suffix_dedup import _spans
-from cadenza.llm.windows import covered, repeated_runs, rows_of, segments, with_ranges
+from cadenza.llm.windows import RANGE, counted, covered, repeated_runs, rows_of, segments, with_ranges
 
 GRAM, LONGEST = 5, 64
 
@@ -107,20 +107,17 @@ class SuffixAutomaton:
 
 def _shard(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, schema = [], ["did", "row", "start", "n"]
-        for b in batches:
-            sure = b["sure"].to_numpy(bool)
-            if sure.any():
-                yield b.loc[sure, schema]
-            kept.append(b[~sure])
-        if not kept or not sum(map(len, kept)):
-            return
-        b = pd.concat(kept, ignore_index=True)
-        del kept
+        for b in counted(batches):
+            if "digest" in b:
+                yield from repeats(b)
+            else:
+                yield b
+
+    def repeats(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         least = b.groupby(["key", "digest"], sort=False)["did"].transform("min").to_numpy()
         later = b["did"].to_numpy() > least
-        yield b.loc[later, schema]
-        b = b[~later].sort_values("key", kind="stable")
+        yield b.loc[later, RANGE]
+        b = b[~later]
         keys = b["key"].to_numpy()
         edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
         out = []
@@ -137,11 +134,11 @@ def _shard(width: int):
                 a.add(s, o)
             a.close()
             first = min(did)
-            for r, s in zip(part[schema].itertuples(index=False), segs, strict=True):
+            for r, s in zip(part[RANGE].itertuples(index=False), segs, strict=True):
                 if r.did > first:
                     out += [(r.did, r.row, r.start + k, m) for k, m in _spans(a.earlier(s, r.did, width))]
         if out:
-            yield pd.DataFrame(out, columns=schema)
+            yield pd.DataFrame(out, columns=RANGE)
 
     return run
 

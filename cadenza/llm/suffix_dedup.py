@@ -11,14 +11,14 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
-from pathlib import Path
+from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.windows import covered, gram_hashes, repeated_runs, rows_of, segments, with_ranges
+from cadenza.llm.windows import RANGE, counted, covered, gram_hashes, repeated_runs, rows_of, segments, with_ranges
 
 GRAM, LONGEST = 64, 256
 
@@ -50,19 +50,30 @@ def repeats_by_bwt(texts: list[bytes], width: int) -> list[np.ndarray]:
     def before(i: np.ndarray, length: int) -> np.ndarray:  # the symbol before the suffix of that length, 0 before the first
         return np.where(n[i] > length, flat[np.maximum(end[i] - 1 - length, 0)], 0).astype(np.uint8)
 
-    with tempfile.TemporaryDirectory() as d:
-        now, new = (Path(d, "bwt0"), Path(d, "lcp0")), (Path(d, "bwt1"), Path(d, "lcp1"))
+    size = m
+
+    def read(f) -> np.ndarray:
+        f.seek(0)
+        return np.fromfile(f, np.uint8, size)
+
+    def write(f, x: np.ndarray) -> None:  # over the old bytes: the file keeps its blocks
+        f.seek(0)
+        f.write(x.data)
+
+    with ExitStack() as files:
+        now, new = ([files.enter_context(tempfile.TemporaryFile(buffering=0)) for _ in range(2)] for _ in range(2))
         live = np.arange(m)
-        before(live, 0).tofile(now[0])
-        np.zeros(m, np.uint8).tofile(now[1])
+        write(now[0], before(live, 0))
+        write(now[1], np.zeros(m, np.uint8))
         place = live.copy()
+        counts = np.bincount(before(live, 0), minlength=256)
         for length in range(1, int(n.max(initial=0)) + 1):
-            bwt, lcp = np.fromfile(now[0], np.uint8), np.fromfile(now[1], np.uint8)
+            bwt, lcp = read(now[0]), read(now[1])
             stays = n[live] >= length
             live, place = live[stays], place[stays]
             # The suffixes that start with a symbol stand in the order of that symbol's places in the transform.
             order = np.argsort(bwt, kind="stable")
-            ends = np.searchsorted(bwt[order], np.arange(1, 257)) if len(bwt) < 65536 else np.cumsum(np.bincount(bwt, minlength=256))
+            ends = np.cumsum(counts)
             skip = int(ends[0])
             symbol = bwt[place]
             at = np.empty(len(live), np.int64)
@@ -78,17 +89,19 @@ def repeats_by_bwt(texts: list[bytes], width: int) -> list[np.ndarray]:
             bwt2, lcp2 = np.empty(len(fresh), np.uint8), np.empty(len(fresh), np.uint8)
             old = ~fresh
             bwt2[old], lcp2[old] = bwt, lcp
-            bwt2[put] = before(live, length)
+            bwt2[put] = added = before(live, length)
+            counts += np.bincount(added, minlength=256)
             lcp2[put] = 0
             has = (at > skip) & (bwt[order[np.maximum(at - 1, 0)]] == symbol)
             lcp2[put[has]] = np.minimum(_least(lcp, order[at[has] - 1] + 1, place[has] + 1), width - 1) + 1
             follows = np.minimum(at + 1, len(order) - 1)
             has = (at + 1 < len(order)) & (bwt[order[follows]] == symbol)
             lcp2[put[has] + 1] = np.minimum(_least(lcp, place[has] + 1, order[follows[has]] + 1), width - 1) + 1
-            bwt2.tofile(new[0])
-            lcp2.tofile(new[1])
+            write(new[0], bwt2)
+            write(new[1], lcp2)
+            size = len(bwt2)
             now, new, place = new, now, put
-        bwt, lcp = np.fromfile(now[0], np.uint8), np.fromfile(now[1], np.uint8)
+        bwt, lcp = read(now[0]), read(now[1])
     # Walk every text from its end through the finished transform.
     order = np.argsort(bwt, kind="stable")
     step = np.empty(len(bwt), np.int64)
@@ -112,37 +125,37 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
 
 
-def _candidates(segs: list[bytes], width: int) -> np.ndarray:
-    """The segments with a window whose fingerprint occurs twice: no other can hold a repeat."""
-    owner, prints = [], []
+def _candidates(segs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first, last): the stretch of each segment between windows whose fingerprint occurs twice. No window
+    outside it can be a repeat; whether those inside are is for the transform to say."""
+    n = np.fromiter(map(len, segs), np.int64, len(segs)) - width + 1
     with np.errstate(over="ignore"):
-        for i, s in enumerate(segs):
-            h = gram_hashes(np.frombuffer(s, np.uint8).astype(np.uint64), width)
-            owner.append(np.full(len(h), i))
-            prints.append(h)
-    owner = np.concatenate(owner)
-    _, group, times = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
-    return np.unique(owner[times[group] > 1])
+        prints = np.concatenate([gram_hashes(np.frombuffer(s, np.uint8).astype(np.uint64), width) for s in segs])
+    owner = np.repeat(np.arange(len(segs)), n)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    order = np.argsort(prints, kind="stable")
+    same = prints[order][1:] == prints[order][:-1]
+    hit = np.sort(order[np.r_[same, False] | np.r_[False, same]])
+    pick, first = np.unique(owner[hit], return_index=True)
+    last = np.r_[first[1:], len(hit)] - 1
+    return pick, place[hit[first]], place[hit[last]]
 
 
 #: Bytes of segments whose transform is built at a time. Keys are never parted.
-SHARD = 4_000_000
+SHARD = 1_000_000
 
 
 def _shard(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, schema = [], ["did", "row", "start", "n"]
-        for b in batches:
-            sure = b["sure"].to_numpy(bool)
-            if sure.any():
-                yield b.loc[sure, schema]
-            kept.append(b[~sure])
-        if not kept or not sum(map(len, kept)):
-            return
-        b = pd.concat(kept, ignore_index=True).sort_values(["key", "digest"], kind="stable")
-        del kept
+        for b in counted(batches):
+            if "digest" in b:
+                yield from repeats(b)
+            else:
+                yield b
+
+    def repeats(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         times = b.groupby(["key", "digest"], sort=False)["times"].transform("sum").to_numpy()
-        yield b.loc[times > 1, schema]
+        yield b.loc[times > 1, RANGE]
         one = b.drop_duplicates(["key", "digest"])
         single = one["key"].map(one["key"].value_counts()).to_numpy() > 1
         alone = times[~b.duplicated(["key", "digest"]).to_numpy()] == 1
@@ -151,8 +164,9 @@ def _shard(width: int):
         todo, alone = one[need], alone[need]
         if not len(todo):
             return
-        pick = _candidates(list(todo["seg"]), width)
+        pick, first, last = _candidates(list(todo["seg"]), width)
         todo, alone = todo.iloc[pick], alone[pick]
+        todo = todo.assign(start=todo["start"] + first, seg=[x[a : b + width] for x, a, b in zip(todo["seg"], first.tolist(), last.tolist(), strict=True)])
         size, lo = 0, 0
         keys, lengths = todo["key"].to_numpy(), todo["seg"].map(len).to_numpy()
         for hi in range(1, len(todo) + 1):
@@ -161,11 +175,11 @@ def _shard(width: int):
                 part = todo.iloc[lo:hi]
                 out = []
                 if alone[lo:hi].any():
-                    for r, mine, flags in zip(part[schema].itertuples(index=False), alone[lo:hi], repeats_by_bwt(list(part["seg"]), width), strict=True):
+                    for r, mine, flags in zip(part[RANGE].itertuples(index=False), alone[lo:hi], repeats_by_bwt(list(part["seg"]), width), strict=True):
                         if mine:
                             out += [(r.did, r.row, r.start + s, k) for s, k in _spans(flags)]
                 if out:
-                    yield pd.DataFrame(out, columns=schema)
+                    yield pd.DataFrame(out, columns=RANGE)
                 size, lo = 0, hi
 
     return run

@@ -134,40 +134,70 @@ def repeated_runs(rows: DataFrame, symbols: Callable, width: int, gram: int, lon
     return found.repartition("key", deal).mapInPandas(_repeated, "did long, row long, key long, start int, n int")
 
 
+def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, n) ranges in order, those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for start, n in sorted(ranges):
+        if out and start <= out[-1][0] + out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], start + n - out[-1][0]))
+        else:
+            out.append((start, n))
+    return out
+
+
 def _cut_out(pieces: Callable, width: int, same_row_is_sure: bool):
-    """Segments of each row's runs. In a batch, equal segments fold: the first (by id) is the one that travels."""
+    """Segments of each row's runs. In a batch, equal segments fold: the first (by id) is the one that travels, with
+    how often it was met; the others are ranges of their row that repeat for sure, joined where they touch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out, held = {}, []
+            first: dict[tuple, list] = {}
+            held = []
             for did, row, text, found in sorted(zip(b["did"], b["row"], b["text"], b["runs"], strict=True), key=lambda r: (r[0], r[1])):
-                cut = pieces(text)
+                cut, sure = pieces(text), []
                 for key, start, n in sorted((r["key"], r["start"], r["n"]) for r in found):
                     seg = cut(start, start + n + width - 1)
                     name = (key, blake2b(seg, digest_size=16).digest())
-                    first = out.get(name)
-                    if first is None or (not same_row_is_sure and first[0] == did):
-                        out.setdefault(name, (did,))
-                        held.append([did, row, key, start, n, False, 1, seg, name[1]])
-                        if first is None:
-                            out[name] = (did, held[-1])
+                    met = first.get(name)
+                    if met is None or (not same_row_is_sure and met[0] == did):
+                        held.append([did, row, key, start, n, 1, seg])
+                        first.setdefault(name, held[-1])
                     else:
-                        first[1][6] += 1
-                        held.append([did, row, key, start, n, True, 1, None, None])
+                        met[5] += 1
+                        sure.append((start, n))
+                held += [[did, row, 0, start, n, 0, None] for start, n in _joined(sure)]
             if held:
-                yield pd.DataFrame(held, columns=["did", "row", "key", "start", "n", "sure", "times", "seg", "digest"])
+                yield pd.DataFrame(held, columns=["did", "row", "key", "start", "n", "times", "seg"])
 
     return run
 
 
 def segments(rows: DataFrame, found: DataFrame, pieces: Callable, width: int, same_row_is_sure: bool) -> DataFrame:
-    """The runs' segments, those that count dealt by key. pieces(text)(from, to) gives a segment as bytes."""
+    """The runs' segments, those that count dealt by key; times is 0 (and seg null) where a range is sure to repeat.
+    pieces(text)(from, to) gives a segment as bytes."""
     per_row = found.groupBy("did", "row").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
-    cut = rows.join(per_row, ["did", "row"]).select("did", "row", "text", "runs").mapInPandas(_cut_out(pieces, width, same_row_is_sure), "did long, row long, key long, start int, n int, sure boolean, times int, seg binary, digest binary")
-    deal = F.when(F.col("sure"), F.xxhash64("did", "row", "start")).otherwise(F.lit(0))
+    cut = rows.join(per_row, ["did", "row"]).select("did", "row", "text", "runs").mapInPandas(_cut_out(pieces, width, same_row_is_sure), "did long, row long, key long, start int, n int, times int, seg binary")
+    deal = F.when(F.col("times") == 0, F.xxhash64("did", "row", "start")).otherwise(F.lit(0))
     return cut.repartition("key", deal)
 
 
+RANGE = ["did", "row", "start", "n"]
+
+
+def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First the sure ranges of a partition, batch by batch; last the segments that count, with digest, by key."""
+    kept = []
+    for b in batches:
+        sure = (b["times"] == 0).to_numpy()
+        if sure.any():
+            yield b.loc[sure, RANGE]
+        kept.append(b[~sure])
+    b = pd.concat(kept, ignore_index=True) if kept else pd.DataFrame(columns=["key"])
+    if len(b):
+        b["digest"] = [blake2b(s, digest_size=16).digest() for s in b["seg"]]
+        yield b.sort_values(["key", "digest"], kind="stable", ignore_index=True)
+
+
 def covered(length: int, ranges: list, width: int) -> np.ndarray:
     """Symbols of a text covered by the windows that start in the ranges (start, n)."""
     mark = np.zeros(length + 1, np.int32)
