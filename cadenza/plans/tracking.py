@@ -220,10 +220,12 @@ def estimate_rates(signal: DataFrame, keys: list[str], fs: float, total: int, lo
 
     Detrending, band-pass, robust scale, coarse frequency by vote, adapted noise levels, filter, smoothed track.
     """
-    x = K.bandpass(C.detrend_linear(C.clean(signal.select(*keys, "n", "y")), keys), keys, fs, lo, hi, edges)
+    # Each of these is read several times below; what is kept may spill to disk and is made again if it is lost.
+    raw = C.clean(signal.select(*keys, "n", "y")).persist()
+    x = K.bandpass(C.detrend_linear(raw, keys), keys, fs, lo, hi, edges).persist()
     z = C.robust_zscore(x, keys).persist()
     cand = candidates(z, total, fs, lo, hi).unionByName(K.hilbert_candidate(z, keys, fs, lo, hi).select(*keys, "hz", "confidence", F.lit("hilbert").alias("label")))
-    vote = S.coarse_frequency(cand, keys, lo, hi)
+    vote = S.coarse_frequency(cand, keys, lo, hi).persist()
     meta = z.groupBy(*keys).agg(F.first("sigma").alias("sigma"), F.first("snr").alias("snr")).join(vote.select(*keys, F.col("hz").alias("f0"), F.col("confidence_max").alias("confidence")), keys)
     model = K.spectral_guidance(K.effective_params(meta, fs, smoothing)).withColumn("fs", F.lit(fs))
     s = z.select(*keys, "n", "y").join(model.select(*keys, *K.MODEL), keys)
