@@ -98,5 +98,75 @@ FROM t WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 """
 
 
+# The sketches are exact on groups as small as those that SQL is compared on, so discrete quartiles stand for them.
+_OP9 = r"""
+WITH w AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+g AS (SELECT doc_id, i, ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] AS tri
+      FROM (SELECT doc_id, ws, unnest(range(len(ws) - 2)) AS i FROM w WHERE len(ws) > 2)),
+dup AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, tri) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM dup, range(3) r(j) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, lang, source, len(ws) AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_lines,
+         n_lines - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+         coalesce(cov.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
+r AS (SELECT *, {rates} FROM m),
+q AS (SELECT lang, source, {quartiles} FROM r GROUP BY lang, source)
+SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {inside} AS kept
+FROM r JOIN q ON q.lang IS NOT DISTINCT FROM r.lang AND q.source IS NOT DISTINCT FROM r.source
+"""
+
+
+_WORDS = r"list_filter(string_split_regex({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_OP4 = (
+    """
+WITH RECURSIVE w AS (SELECT doc_id, """
+    + _WORDS.format(t="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    + """ AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1 : i + 3], ' ') AS sh
+      FROM (SELECT doc_id, ws, unnest(range(greatest(1, len(ws) - 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id
+      JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS other FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT doc_id, min(other) AS c FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, w.doc_id) AS component_id, coalesce(c.c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
+"""
+)
+_OP7 = (
+    "WITH w AS (SELECT doc_id, "
+    + _WORDS.format(t="coalesce(text, '')")
+    + """ AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i + 1 : i + 13], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(len(ws) - 12)) AS i FROM w WHERE len(ws) > 12)),
+hit AS (SELECT doc_id, i FROM g QUALIFY min(doc_id) OVER (PARTITION BY win) < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM hit, range(13) r(j)),
+k AS (SELECT d.doc_id, d.i, d.word FROM (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM w) d ANTI JOIN gone USING (doc_id, i)),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM k GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN t ON t.doc_id = w.doc_id
+"""
+)
+
+
+def _op9() -> str:
+    from cadenza.llm.quality_rules import METRICS, REACH
+
+    rates = ", ".join(f"CASE WHEN n_words > 0 THEN {e} END AS {k}" for k, (e, _, _) in METRICS.items())
+    quartiles = ", ".join(f"quantile_disc({k}, {p}) AS {k}_{i}" for k in METRICS for i, p in ((1, 0.25), (3, 0.75)))
+    inside = " AND ".join(f"coalesce({k} BETWEEN {k}_1 - {REACH} * ({k}_3 - {k}_1) - {lo} AND {k}_3 + {REACH} * ({k}_3 - {k}_1) + {hi}, true)" for k, (_, lo, hi) in METRICS.items())
+    return _OP9.replace("{rates}", rates).replace("{quartiles}", quartiles).replace("{inside}", inside)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5}
+    return {"op4_near_dedup": _OP4, "op5_exact_dedup": _OP5, "op7_substring_dedup": _OP7, "op9_quality_rules": _op9()}
