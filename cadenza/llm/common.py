@@ -86,3 +86,13 @@ def components(links: DataFrame) -> DataFrame:
         if seen == tuple(sign):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
         seen = tuple(sign)
+
+
+def sample_of(rows: DataFrame, size: int, by: str) -> DataFrame:
+    """At most size rows, those of least hash of by. A hash threshold leaves about twice as many before they are
+    ordered, so that partitions do not each send size rows."""
+    n = rows.count()
+    share = min(1.0, 2 * size / max(1, n))
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64(by), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return rows.orderBy(F.pmod(F.xxhash64(by), F.lit(1 << 40)), by).limit(size)

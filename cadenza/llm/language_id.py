@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import sample_of
+
 SAMPLE, BUCKETS, BLOCK = 4_000, 1 << 15, 32
 SPAN, EPOCHS, RATE, DECAY = 24, 5, 0.5, 1e-5
 _CACHE_ROWS = 400_000
@@ -245,7 +247,7 @@ def fit(docs: DataFrame, held_out: Column, sample: int = SAMPLE, id_col: str = "
     if not langs:
         return Tagger([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), np.zeros(0))
     share = max(1, sample // len(langs))
-    ids = [rows.where(F.col("lang") == x).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(share).toPandas()["doc_id"].tolist() for x in langs]
+    ids = [sample_of(rows.where(F.col("lang") == x).select("doc_id"), share, "doc_id").toPandas()["doc_id"].tolist() for x in langs]
     chosen = docs.sparkSession.createDataFrame([(i,) for part in ids for i in part], "doc_id long")
     got = rows.join(F.broadcast(chosen.distinct()), "doc_id").toPandas().sort_values(["doc_id", "lang"], kind="stable")
     return train(got["text"].tolist(), got["lang"].tolist())

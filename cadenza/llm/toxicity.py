@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import cut
+from cadenza.llm.common import cut, sample_of
 
 #: Bound on the labelled rows that the model is fitted on, and on the lexicon.
 SAMPLE, LEXICON = 20_000, 256
@@ -236,7 +236,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, label_
     """
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).where(~held_out & F.col("label").isNotNull())
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = sample_of(known, sample, "doc_id")
     model = docs.sparkSession.sparkContext.broadcast(fit(cut(texts.join(known, "doc_id"))))
     scored = texts.mapInPandas(_scored(model, threshold), "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
