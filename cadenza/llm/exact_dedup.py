@@ -2,8 +2,10 @@
 
 Texts without ASCII white space are range-partitioned at sampled splitters and sorted (external merge sort), so that
 equal ones stand side by side; the window over the sorted run compares neighbours in full and numbers each run's rows.
-The splitters are sampled over (text, salt), so a group of copies that holds much of the table is dealt over many
-partitions; its at most SALTS runs meet again by digest, as narrow rows.
+The splitters are sampled over (head, salt), where head is the text's first HEAD characters: what the driver gets for
+them is bounded by row, equal texts of a salt share a partition, and a group of copies that holds much of the table is
+dealt over many. The sort and the comparison take the whole text. A group's at most SALTS runs meet again by digest,
+as narrow rows.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import SPACE, cut, id_and_text
 
-SALTS = 32
+SALTS, HEAD = 32, 64
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,9 +31,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.regexp_replace(F.coalesce("text", F.lit("")), SPACE + "+", "").alias("norm"),
         F.pmod(F.xxhash64("doc_id", F.char_length("text")), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    run = Window.partitionBy("norm", "salt").orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
+    rows = rows.withColumn("head", F.substring("norm", 1, HEAD))
+    run = Window.partitionBy("head", "norm", "salt").orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
     narrow = cut(
-        rows.repartitionByRange("norm", "salt")
+        rows.repartitionByRange("head", "salt")
         .withColumn("rank", F.row_number().over(run))
         .select("doc_id", "points", "salt", "rank", F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"))
     )
