@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import id_and_text
+from cadenza.llm.common import cut, id_and_text
 
 #: Words in the lexicon (the most frequent ones), and the longest in bytes.
 LEXICON, LONGEST = 32_768, 32
@@ -311,9 +311,21 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def frequent_words(texts: DataFrame, vocabulary: Vocabulary, size: int = LEXICON) -> dict[bytes, bytes]:
-    """The words of the most frequent chunks of all texts, with their ids. Words met once in a batch of rows are
-    left out of the count, which changes which words are looked up and never an id."""
-    top = texts.select("text").mapInPandas(_counted, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(size).collect()
+    """The words of the most frequent chunks of all texts, at most size chunks, with their ids. Words met once in a
+    batch of rows are left out of the count, which changes which words are looked up and never an id.
+
+    A histogram of the counts on a logarithmic scale gives the least count to take, so the driver gets no more than
+    that many chunks however many partitions there are.
+    """
+    counts = cut(texts.select("text").mapInPandas(_counted, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")))
+    step = F.floor(F.log2("n") * 8)
+    least, total = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > size:
+            break
+        least = r["step"]
+    top = counts.where(step >= least).collect() if least is not None else []
     words = sorted({w for r in top for x in _SPLIT.findall(r["chunk"]) if len(w := x.encode()) <= LONGEST})
     return dict(zip(words, vocabulary.merge(words), strict=True)) if words else {}
 
