@@ -250,6 +250,7 @@ EVT_CAND = welch_sql("sg", EVT_N, EVT_FS, 480, 240, 480, 10, 120)
  sg AS (SELECT key, n, greatest(-3.5, least(3.5, (y - med) / greatest(sigma, 1e-6))) AS y FROM sig JOIN st USING (key)), {EVT_CAND}
  SELECT key, round(arg_max(freq, {{'p': power, 'f': -freq}}), 6) AS hz, round(max(power) / (median(power) + 1e-9), 5) AS ratio, round(least(5, max(power) / (median(power) + 1e-9) / 4), 5) AS confidence FROM psd GROUP BY key""")
 def event_rates(spark, d):
-    z = C.robust_zscore(C.detrend_linear(sig_evt(spark, d), KEY), KEY)
+    flat = C.detrend_linear(sig_evt(spark, d).persist(), KEY).persist()
+    z = C.robust_zscore(flat, KEY)
     r = S.welch_candidate(z, KEY, EVT_FS, EVT_N, 0.5, 6.0)
     return r.select("key", digits(F.col("hz")).alias("hz"), digits(F.col("ratio"), 5).alias("ratio"), digits(F.col("confidence"), 5).alias("confidence"))
