@@ -2,7 +2,7 @@
 
 Runs of windows are routed to shards in which equal windows meet (see windows). Each shard compiles its distinct
 segments into suffix automata whose states know the least document id among their occurrences, and streams the
-segments through them: where the matching statistic reaches the window's length in a state of a smaller id, the window
+segments through them (those with a window whose fingerprint occurs twice): where the matching statistic reaches the window's length in a state of a smaller id, the window
 is a repeat.
 """
 
@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 
 from cadenza.llm.near_dedup import _hash_of
 from cadenza.llm.suffix_dedup import _spans
-from cadenza.llm.windows import RANGE, counted, covered, repeated_runs, rows_of, segments, with_ranges
+from cadenza.llm.windows import RANGE, counted, covered, gram_hashes, repeated_runs, rows_of, segments, with_ranges
 
 GRAM, LONGEST = 5, 64
+#: Bytes of a word's hash that travel in a segment.
+WORD = 6
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -29,9 +31,16 @@ def _symbols(text: str) -> np.ndarray:
 
 def _pieces(text: str):
     x = _symbols(text)
+    x = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :WORD].copy()  # little-endian: the low bytes
     return lambda lo, hi: x[lo:hi].tobytes()
 
 
+def _words(seg: bytes) -> list[int]:
+    x = np.zeros((len(seg) // WORD, 8), np.uint8)
+    x[:, :WORD] = np.frombuffer(seg, np.uint8).reshape(-1, WORD)
+    return x.view(np.uint64).ravel().tolist()
+
+
 class SuffixAutomaton:
     """Of several sequences; least[state] is the smallest owner among the sequences that hold the state's strings."""
 
@@ -105,6 +114,25 @@ class SuffixAutomaton:
         return out
 
 
+def _candidates(segs: list[bytes], width: int) -> np.ndarray:
+    """Whether a segment has a window whose fingerprint occurs in another place: no other can hold a repeat."""
+    n = np.fromiter(map(len, segs), np.int64, len(segs)) // WORD
+    x = np.zeros((int(n.sum()), 8), np.uint8)
+    x[:, :WORD] = np.frombuffer(b"".join(segs), np.uint8).reshape(-1, WORD)
+    out = np.zeros(len(segs), bool)
+    if len(x) < width:
+        return out
+    with np.errstate(over="ignore"):
+        prints = gram_hashes(x.view(np.uint64).ravel(), width)
+    owner = np.repeat(np.arange(len(segs)), n)
+    inside = owner[: len(prints)] == owner[width - 1 :]  # not across two segments
+    prints, owner = prints[inside], owner[: len(inside)][inside]
+    order = np.argsort(prints, kind="stable")
+    same = prints[order][1:] == prints[order][:-1]
+    out[owner[order[np.r_[same, False] | np.r_[False, same]]]] = True
+    return out
+
+
 def _shard(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in counted(batches):
@@ -118,25 +146,22 @@ def _shard(width: int):
         later = b["did"].to_numpy() > least
         yield b.loc[later, RANGE]
         b = b[~later]
+        b = b[_candidates(list(b["seg"]), width)]
         keys = b["key"].to_numpy()
         edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+        did, row, start, seg = (b[c].tolist() for c in ("did", "row", "start", "seg"))
         out = []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi - lo < 2:
-                continue
-            part = b.iloc[lo:hi] if hi - lo > 2 else b.iloc[lo:hi]
-            did = part["did"].tolist()
-            if len(set(did)) < 2:
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            first = min(did[lo:hi])
+            if first == max(did[lo:hi]):
                 continue
-            segs = [np.frombuffer(s, np.uint64).tolist() for s in part["seg"]]
-            a = SuffixAutomaton()
-            for s, o in zip(segs, did, strict=True):
-                a.add(s, o)
+            a, words = SuffixAutomaton(), [_words(x) for x in seg[lo:hi]]
+            for w, o in zip(words, did[lo:hi], strict=True):
+                a.add(w, o)
             a.close()
-            first = min(did)
-            for r, s in zip(part[RANGE].itertuples(index=False), segs, strict=True):
-                if r.did > first:
-                    out += [(r.did, r.row, r.start + k, m) for k, m in _spans(a.earlier(s, r.did, width))]
+            for k, w in enumerate(words, lo):
+                if did[k] > first:
+                    out += [(did[k], row[k], start[k] + at, n) for at, n in _spans(a.earlier(w, did[k], width))]
         if out:
             yield pd.DataFrame(out, columns=RANGE)
 
