@@ -179,7 +179,7 @@ def em_local_level(spark, d):
 
 @query("oscillator_em")
 def oscillator_em(spark, d):
-    e = K.oscillator_em(_packed(spark, d), KEY, w=2 * math.pi * 8 / 64, iterations=6)
+    e = K.oscillator_em(_packed(spark, d), KEY, w=2 * math.pi * 8 / 64)
     return spark.createDataFrame([tuple(e.values())], ", ".join(f"{k} double" for k in e))
 
 

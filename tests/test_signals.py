@@ -257,6 +257,18 @@ def test_em(spark):
     assert e["w"] == pytest.approx(w, rel=0.03) and 0.95 < e["a"] < 1
 
 
+def test_oscillator_em_query_runs_all_rounds(spark, tmp_path, monkeypatch):
+    from cadenza.plans import QUERIES
+
+    rng = np.random.default_rng(6)
+    vectors = [(i, f"l{i % 2}", [float(v) for v in np.cos(2 * np.pi * 8 * np.arange(64) / 64 + i) + 0.3 * rng.normal(size=64)]) for i in range(6)]
+    spark.createDataFrame(vectors, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rounds, sums = [], K._sums
+    monkeypatch.setattr(K, "_sums", lambda *a: rounds.append(1) or sums(*a))
+    got = QUERIES["oscillator_em"](spark, str(tmp_path)).first()
+    assert len(rounds) == 50 and 0 < got.a < 1
+
+
 def test_block_append(spark):
     t = np.arange(200)
     y = np.cos(2 * np.pi * t / 20) + np.cos(2 * np.pi * t / 6)
