@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from cadenza.llm.near_dedup import _hash_of
 from cadenza.llm.suffix_dedup import _spans
-from cadenza.llm.windows import RANGE, counted, covered, gram_hashes, repeated_runs, rows_of, segments, with_ranges
+from cadenza.llm.windows import RANGE, counted, covered, every_start, gram_hashes, parted, repeated_runs, rows_of, segments, with_ranges
 
 GRAM, LONGEST = 5, 64
 #: Bytes of a word's hash that travel in a segment.
@@ -144,12 +144,15 @@ def _shard(width: int):
     def repeats(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         least = b.groupby(["key", "digest"], sort=False)["did"].transform("min").to_numpy()
         later = b["did"].to_numpy() > least
-        yield b.loc[later, RANGE]
+        yield every_start(b[later])
         b = b[~later]
+        b = b[~parted(b)]
+        if not len(b):
+            return
         b = b[_candidates(list(b["seg"]), width)]
         keys = b["key"].to_numpy()
         edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-        did, row, start, seg = (b[c].tolist() for c in ("did", "row", "start", "seg"))
+        did, row, start, seg, more = (b[c].tolist() for c in ("did", "row", "start", "seg", "more"))
         out = []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             first = min(did[lo:hi])
@@ -161,7 +164,8 @@ def _shard(width: int):
             a.close()
             for k, w in enumerate(words, lo):
                 if did[k] > first:
-                    out += [(did[k], row[k], start[k] + at, n) for at, n in _spans(a.earlier(w, did[k], width))]
+                    starts = [start[k], *np.frombuffer(more[k] or b"", np.int32).tolist()]
+                    out += [(did[k], row[k], s + at, n) for at, n in _spans(a.earlier(w, did[k], width)) for s in starts]
         if out:
             yield pd.DataFrame(out, columns=RANGE)
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.windows import RANGE, counted, covered, gram_hashes, repeated_runs, rows_of, segments, with_ranges
+from cadenza.llm.windows import RANGE, counted, covered, gram_hashes, parted, repeated_runs, rows_of, segments, with_ranges
 
 GRAM, LONGEST = 64, 256
 
@@ -137,11 +137,11 @@ def _candidates(segs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray,
     same = prints[order][1:] == prints[order][:-1]
     hit = np.sort(order[np.r_[same, False] | np.r_[False, same]])
     pick, first = np.unique(owner[hit], return_index=True)
-    last = np.r_[first[1:], len(hit)] - 1
+    last = np.r_[first[1:], len(hit)][: len(pick)] - 1
     return pick, place[hit[first]], place[hit[last]]
 
 
-#: Bytes of segments whose transform is built at a time. Keys are never parted.
+#: Bytes of segments whose transform is built at a time. Keys are not parted here; hot ones came as windows.
 SHARD = 1_000_000
 
 
@@ -156,6 +156,8 @@ def _shard(width: int):
     def repeats(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         times = b.groupby(["key", "digest"], sort=False)["times"].transform("sum").to_numpy()
         yield b.loc[times > 1, RANGE]
+        whole = ~parted(b)
+        b, times = b[whole], times[whole]
         one = b.drop_duplicates(["key", "digest"])
         single = one["key"].map(one["key"].value_counts()).to_numpy() > 1
         alone = times[~b.duplicated(["key", "digest"]).to_numpy()] == 1

@@ -4,7 +4,9 @@ Every window of `width` symbols is routed by its minimiser, the least hash among
 minimisers. Neighbouring windows with one minimiser form a run. Runs whose minimiser occurs once in the corpus hold
 no repeat and end here, as 24-byte rows; the others are cut out of their texts as short segments and meet their
 like in one task. Within a task's batch, copies are folded before anything is shuffled, so a passage that a third of
-the documents share costs one row per batch and not one per document.
+the documents share costs one row per batch and not one per document. Where that passage stands in many contexts, the
+segments at its borders differ and would all meet under one minimiser: such a hot key is parted into its windows, each
+under a key of its own, so that only equal windows meet.
 """
 
 from __future__ import annotations
@@ -17,6 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A key is hot when more than so many of its runs came after the first of their batch, and all SLOTS of their prints
+#: are taken (by 64 different segments at the least, about 300 as a rule).
+HOT, SLOTS = 500, 64
+#: A packed run: n in the low bits, then its print, then two flags.
+_N, _PRINT, _SURE, _TWICE = 10, 6, 1 << 16, 1 << 17
+#: Windows of hot segments that are folded at a time, and the bytes of a window's digest that travel beside its key.
+CHUNK, REST = 100_000, 8
+
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -52,14 +62,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - extra], x[extra:]) if extra else x
 
 
-def runs(x: np.ndarray, width: int, gram: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, first window, windows, own) of each run of at most `longest` windows.
+def runs(x: np.ndarray, width: int, gram: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, first window, windows, own, print) of each run of at most `longest` windows.
 
-    own: the run may hold one window twice, as its minimiser comes in again after the first window.
+    own: the run may hold one window twice, as its minimiser comes in again after the first window. print: a number
+    under SLOTS that all of the run's grams decide.
     """
     if len(x) < width:
         none = np.empty(0, np.int64)
-        return none, none, none, np.empty(0, bool)
+        return none, none, none, np.empty(0, bool), none
     with np.errstate(over="ignore"):
         g = gram_hashes(x, gram)
     m = sliding_min(g, width - gram + 1)
@@ -74,7 +85,9 @@ def runs(x: np.ndarray, width: int, gram: int, longest: int) -> tuple[np.ndarray
         first = np.repeat(starts, parts) + at * longest
         lengths = np.minimum(longest, np.repeat(lengths, parts) - at * longest)
         starts, own = first, np.repeat(own, parts)
-    return m[starts].view(np.int64), starts, lengths, own
+    total = np.r_[np.uint64(0), np.cumsum(g)]
+    prints = (mix(total[starts + lengths + width - gram] - total[starts]) >> np.uint64(64 - _PRINT)).astype(np.int64)
+    return m[starts].view(np.int64), starts, lengths, own, prints
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -86,7 +99,8 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] =
 
 
 def _run_rows(symbols: Callable, width: int, gram: int, longest: int, within: bool):
-    """did, row, key, start, n, sure: a batch's later rows of a key are repeats for sure and need no count."""
+    """did, row, key, start, pack: a batch's later rows of a key are repeats for sure and need no count. All that is
+    no key is packed into one number, so that every reader of the exchange needs all of its columns and shares it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -99,15 +113,16 @@ def _run_rows(symbols: Callable, width: int, gram: int, longest: int, within: bo
             if not out:
                 continue
             at = np.concatenate(at)
-            key, start, n, own = (np.concatenate([r[k] for r in out]) for k in range(4))
+            key, start, n, own, prints = (np.concatenate([r[k] for r in out]) for k in range(5))
             sure = np.ones(len(key), bool)
             sure[np.unique(key, return_index=True)[1]] = False
             twice = np.isin(key, key[sure])  # first rows that are repeats too, but stand for their batch in the count
             if within:
                 twice |= own
+            pack = (n | prints << _N | sure * _SURE | twice * _TWICE).astype(np.int32)
             for part in range(0, len(key), 500_000):
                 c = slice(part, part + 500_000)
-                yield pd.DataFrame({"did": b["did"].to_numpy()[at[c]], "row": b["row"].to_numpy()[at[c]], "key": key[c], "start": start[c].astype(np.int32), "n": n[c].astype(np.int32), "sure": sure[c], "twice": twice[c]})
+                yield pd.DataFrame({"did": b["did"].to_numpy()[at[c]], "row": b["row"].to_numpy()[at[c]], "key": key[c], "start": start[c].astype(np.int32), "pack": pack[c]})
 
     return run
 
@@ -118,20 +133,28 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if parts:
         b = pd.concat(parts)
         del parts
-        key, sure = b["key"].to_numpy(), b["sure"].to_numpy()
+        key, pack = b["key"].to_numpy(), b.pop("pack").to_numpy()
+        sure = pack & _SURE > 0
         counted = np.flatnonzero(~sure)
         _, group, times = np.unique(key[counted], return_inverse=True, return_counts=True)
-        keep = sure | b["twice"].to_numpy()
+        keep = pack & (_SURE | _TWICE) > 0
         keep[counted] |= times[group] > 1
-        yield b.loc[keep, ["did", "row", "key", "start", "n"]]
+        yield b[keep].assign(n=pack[keep] & ((1 << _N) - 1))
 
 
 def repeated_runs(rows: DataFrame, symbols: Callable, width: int, gram: int, longest: int, within: bool) -> DataFrame:
-    """(did, row, key, start, n) of all runs whose minimiser occurs more than once, or (within) twice in the run."""
-    found = rows.select("did", "row", "text").mapInPandas(_run_rows(symbols, width, gram, longest, within), "did long, row long, key long, start int, n int, sure boolean, twice boolean")
+    """(did, row, key, start, n, hot) of all runs whose minimiser occurs more than once, or (within) twice in the run."""
+    found = rows.select("did", "row", "text").mapInPandas(_run_rows(symbols, width, gram, longest, within), "did long, row long, key long, start int, pack int")
     # Rows that count meet by key; the sure ones are dealt anywhere.
-    deal = F.when(F.col("sure"), F.xxhash64("did", "row", "start")).otherwise(F.lit(0))
-    return found.repartition("key", deal).mapInPandas(_repeated, "did long, row long, key long, start int, n int")
+    sure = F.col("pack").bitwiseAND(F.lit(_SURE)) > 0
+    dealt = found.repartition("key", F.when(sure, F.xxhash64("did", "row", "start")).otherwise(F.lit(0)))
+    slot = F.shiftright("pack", _N).bitwiseAND(F.lit(SLOTS - 1))
+    # No filter stands before the sum, which would part the exchange from that of the runs: rows that are not sure add up under 0.
+    counts = dealt.groupBy(F.coalesce(F.when(sure, F.col("key")), F.lit(0)).alias("key")).agg(F.count("*").alias("runs"), F.bit_or(F.when(sure, F.call_function("shiftleft", F.lit(1).cast("long"), slot))).alias("slots"))
+    # At most one key for HOT runs.
+    hot = counts.where((F.col("runs") > HOT) & (F.col("slots") == -1)).select("key", F.lit(True).alias("hot"))
+    known = dealt.mapInPandas(_repeated, "did long, row long, key long, start int, n int")
+    return known.join(F.broadcast(hot), "key", "left").select("did", "row", "key", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
 
 
 def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -145,38 +168,99 @@ def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+COLUMNS = ["did", "row", "key", "start", "n", "times", "seg", "more"]
+
+
+def _pack(starts) -> bytes | None:
+    return np.asarray(starts, np.int32).tobytes() if len(starts) else None
+
+
+def every_start(b: pd.DataFrame) -> pd.DataFrame:
+    """RANGE of the rows, and of the further places of those that stand for several."""
+    many = b[b["more"].notna()]
+    if not len(many):
+        return b[RANGE]
+    starts = [np.frombuffer(x, np.int32) for x in many["more"]]
+    again = many[RANGE].loc[many.index.repeat([len(x) for x in starts])]
+    return pd.concat([b[RANGE], again.assign(start=np.concatenate(starts))], ignore_index=True)
+
+
+def _windows(segs: list[list], width: int, same_row_is_sure: bool) -> pd.DataFrame:
+    """Segments (in order of id) taken apart: every window travels under half of its digest as key, with the other half
+    as seg. Equal windows fold as segments do."""
+    segs = [x if k < 0 else [*x[:3], x[7][k], *x[4:]] for x in segs for k in range(-1, len(x[7]))]
+    did, row, start, n, times = (np.array([x[k] for x in segs], np.int64) for k in (0, 1, 3, 4, 5))
+    digests = []
+    for x in segs:
+        seg, size = x[6], len(x[6]) // (x[4] + width - 1)
+        digests += [blake2b(seg[k * size : (k + width) * size], digest_size=16).digest() for k in range(x[4])]
+    half = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    start = np.repeat(start - np.cumsum(n) + n, n) + np.arange(len(half))
+    did, row, times = np.repeat(did, n), np.repeat(row, n), np.repeat(times, n)
+    order = np.lexsort((half[:, 1], half[:, 0]))
+    new = np.r_[True, (half[order][1:] != half[order][:-1]).any(1)]
+    first = order[new][np.cumsum(new) - 1]
+    times[order[new]] = np.add.reduceat(times[order], np.flatnonzero(new))
+    sure = ~new if same_row_is_sure else did[order] > did[first]
+    go = order[~sure]
+    head = np.flatnonzero(np.r_[True, (half[go][1:] != half[go][:-1]).any(1) | (did[go][1:] != did[go][:-1]) | (row[go][1:] != row[go][:-1])])
+    more = [_pack(start[go[lo + 1 : hi]]) for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(go)], strict=True)]
+    go = go[head]
+    out = pd.DataFrame({"did": did[go], "row": row[go], "key": half[go, 0], "start": start[go], "n": 1, "times": times[go], "seg": [digests[i][REST:] for i in go.tolist()], "more": more})
+    at = order[sure]
+    if not len(at):
+        return out
+    at = at[np.lexsort((start[at], row[at], did[at]))]
+    did, row, start = did[at], row[at], start[at]
+    edge = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)])
+    last = np.r_[edge[1:], len(at)] - 1
+    return pd.concat([out, pd.DataFrame({"did": did[edge], "row": row[edge], "key": 0, "start": start[edge], "n": start[last] - start[edge] + 1, "times": 0, "seg": None, "more": None})], ignore_index=True)
+
+
 def _cut_out(pieces: Callable, width: int, same_row_is_sure: bool):
     """Segments of each row's runs. In a batch, equal segments fold: the first (by id) is the one that travels, with
-    how often it was met; the others are ranges of their row that repeat for sure, joined where they touch."""
+    how often it was met; the others are ranges of their row that repeat for sure, joined where they touch. Where a row
+    meets its own segment again and is not sure, the first takes its start along (more). Of hot keys' segments the
+    windows travel instead."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             first: dict[tuple, list] = {}
-            held = []
+            held, apart = [], []
             for did, row, text, found in sorted(zip(b["did"], b["row"], b["text"], b["runs"], strict=True), key=lambda r: (r[0], r[1])):
                 cut, sure = pieces(text), []
-                for key, start, n in sorted((r["key"], r["start"], r["n"]) for r in found):
+                for key, start, n, hot in sorted((r["key"], r["start"], r["n"], r["hot"]) for r in found):
                     seg = cut(start, start + n + width - 1)
                     name = (key, blake2b(seg, digest_size=16).digest())
                     met = first.get(name)
-                    if met is None or (not same_row_is_sure and met[0] == did):
-                        held.append([did, row, key, start, n, 1, seg])
-                        first.setdefault(name, held[-1])
+                    if met is not None and not same_row_is_sure and (met[0], met[1]) == (did, row):
+                        met[7].append(start)
+                    elif met is None or (not same_row_is_sure and met[0] == did):
+                        new = [did, row, key, start, n, 1, seg, []]
+                        (apart if hot else held).append(new)
+                        first.setdefault(name, new)
                     else:
                         met[5] += 1
                         sure.append((start, n))
-                held += [[did, row, 0, start, n, 0, None] for start, n in _joined(sure)]
+                held += [[did, row, 0, start, n, 0, None, []] for start, n in _joined(sure)]
+            del first
             if held:
-                yield pd.DataFrame(held, columns=["did", "row", "key", "start", "n", "times", "seg"])
+                yield pd.DataFrame([[*x[:7], _pack(x[7])] for x in held], columns=COLUMNS)
+            size, lo = 0, 0
+            for hi, x in enumerate(apart, 1):
+                size += x[4] * (1 + len(x[7]))
+                if size >= CHUNK or hi == len(apart):
+                    yield _windows(apart[lo:hi], width, same_row_is_sure)
+                    size, lo = 0, hi
 
     return run
 
 
 def segments(rows: DataFrame, found: DataFrame, pieces: Callable, width: int, same_row_is_sure: bool) -> DataFrame:
     """The runs' segments, those that count dealt by key; times is 0 (and seg null) where a range is sure to repeat.
-    pieces(text)(from, to) gives a segment as bytes."""
-    per_row = found.groupBy("did", "row").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
-    cut = rows.join(per_row, ["did", "row"]).select("did", "row", "text", "runs").mapInPandas(_cut_out(pieces, width, same_row_is_sure), "did long, row long, key long, start int, n int, times int, seg binary")
+    pieces(text)(from, to) gives a segment as bytes. Hot keys' segments come as windows (see parted)."""
+    per_row = found.groupBy("did", "row").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("runs"))
+    cut = rows.join(per_row, ["did", "row"]).select("did", "row", "text", "runs").mapInPandas(_cut_out(pieces, width, same_row_is_sure), "did long, row long, key long, start int, n int, times int, seg binary, more binary")
     deal = F.when(F.col("times") == 0, F.xxhash64("did", "row", "start")).otherwise(F.lit(0))
     return cut.repartition("key", deal)
 
@@ -184,6 +268,11 @@ def segments(rows: DataFrame, found: DataFrame, pieces: Callable, width: int, sa
 RANGE = ["did", "row", "start", "n"]
 
 
+def parted(b: pd.DataFrame) -> np.ndarray:
+    """Which rows are single windows of a hot key: key and digest say all about them."""
+    return (b["seg"].map(len) == REST).to_numpy(bool)
+
+
 def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """First the sure ranges of a partition, batch by batch; last the segments that count, with digest, by key."""
     kept = []
@@ -194,7 +283,7 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept.append(b[~sure])
     b = pd.concat(kept, ignore_index=True) if kept else pd.DataFrame(columns=["key"])
     if len(b):
-        b["digest"] = [blake2b(s, digest_size=16).digest() for s in b["seg"]]
+        b["digest"] = [s if len(s) == REST else blake2b(s, digest_size=16).digest() for s in b["seg"]]
         yield b.sort_values(["key", "digest"], kind="stable", ignore_index=True)
 
 

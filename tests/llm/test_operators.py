@@ -188,6 +188,50 @@ def test_suffix_dedup(docs, empty, sample):
     assert suffix_dedup(empty).collect() == []
 
 
+@pytest.mark.parametrize("name", ["substring", "suffix"])
+def test_shared_passage_in_many_contexts(spark, monkeypatch, name):
+    """A hot minimiser's segments do not meet in one group, and the results are those of brute force."""
+    import random
+
+    from cadenza.llm import substring_dedup, suffix_dedup, windows
+
+    monkeypatch.setattr(windows, "HOT", 150)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, near = [word() for _ in range(60)], [word() for _ in range(12)]
+    texts = []
+    for i in range(1600):
+        after = near[: rng.randrange(12)] if i % 5 == 0 else []
+        texts.append(" ".join([*(word() for _ in range(20)), *passage, *after, *(word() for _ in range(20))]))
+    texts += texts[:40]
+    line = " ".join(word() for _ in range(14))
+    texts += [f"{word()} {' '.join([line] * 30)} {word()}" for _ in range(20)]
+    docs = spark.createDataFrame([(i if i % 50 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    module, width = {"substring": (substring_dedup, 13), "suffix": (suffix_dedup, 200)}[name]
+    rows = windows.rows_of(docs, "doc_id", "text")
+    within = name == "suffix"
+    found = windows.repeated_runs(rows, module._symbols, width, module.GRAM, module.LONGEST, within)
+    sent = windows.segments(rows, found, module._pieces, width, within).where("times > 0")
+    assert max(r["count"] for r in sent.groupBy("key").count().collect()) < 450  # 1477 and 1600 where no key is hot
+    items = [(-(2**63) if i % 50 == 0 else i, t.encode().split() if name == "substring" else t.encode()) for i, t in enumerate(texts)]
+    seen = defaultdict(list)
+    for i, x in items:
+        for k in range(len(x) - width + 1):
+            seen[tuple(x[k : k + width]) if name == "substring" else x[k : k + width]].append(i)
+    least = {k: min(v) for k, v in seen.items()}
+    want = Counter()
+    for i, x in items:
+        gone = np.zeros(len(x), bool)
+        for k in range(len(x) - width + 1):
+            w = tuple(x[k : k + width]) if name == "substring" else x[k : k + width]
+            if least[w] < i if name == "substring" else len(seen[w]) > 1:
+                gone[k : k + width] = True
+        left = b" ".join(w for w, g in zip(x, gone) if not g) if name == "substring" else bytes(c for c, g in zip(x, gone) if not g)
+        want[(None if i < 0 else i, int(gone.sum()), sha(left))] += 1
+    run = substring_dedup.substring_dedup if name == "substring" else suffix_dedup.suffix_dedup
+    assert Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in run(docs, width).collect()) == want
+
+
 def test_collection_transform():
     import random
 
