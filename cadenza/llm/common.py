@@ -14,9 +14,12 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a new local one only where none is set."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where none is set, a local master gets a new one; a
+    cluster gets an error, as its executors would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,7 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lost executors do not make it run again."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the files of tables from cut, once nothing reads them any more."""
+    for f in frames:
+        jvm = f.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f._cut_path)
+        path.getFileSystem(f.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,17 +59,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A group's rows are dealt over this many salts before they meet as one row per salt.
-SALTS = 32
+def salts(spark: SparkSession) -> int:
+    """Over so many salts a group's rows are dealt: with one for each partition, a group that holds much of a table
+    leaves each salt no more rows than a partition has."""
+    return max(8, partitions(spark))
 
 
 def salted_min(df: DataFrame, keys: list[str], value: str, out: str, by: str) -> DataFrame:
     """df with the least value of its group as column out (nulls in keys form no group and lose the row).
 
-    Each (group, salt) is summarised map-side first, at most SALTS rows of a group ever meet, and the join back runs
-    per salt: a group that holds a third of the table is spread like any other rows. by: the column that salts.
+    Each (group, salt) is summarised map-side first, at most one row of a group and salt ever meet, and the join back
+    runs per salt: a group that holds a third of the table is spread like any other rows. by: the column that salts.
     """
-    rows = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts(df.sparkSession))).cast("int"))
     least = rows.groupBy(*keys, "_salt").agg(F.min(value).alias(out))
     group = Window.partitionBy(*keys)
     least = least.withColumn(out, F.min(out).over(group))
@@ -80,7 +95,8 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: u and its neighbours below are tied to the least of them.
         m = salted_min(large, ["u"], "v", "m", "v")
         small = m.select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = cut(small)
+        last, edges = edges, cut(small)
+        drop(last)
         # Done when every node hangs on one root that hangs on nothing.
         sign = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == tuple(sign):

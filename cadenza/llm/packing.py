@@ -1,6 +1,6 @@
 """Packing of tokenised documents into fixed-length sequences by linear grouping.
 
-Spark tokenises once and counts pieces per (length, salt): at most CAPACITY x SALTS numbers, whatever the input. On
+Spark tokenises once and counts pieces per (length, salt): one number for a length or for RANKED pieces at most. On
 these the driver plans: large lengths, in descending order, are cut into groups of equal cardinality and rounded up to
 their group's largest; configurations of the few rounded sizes are optimised by exact subset sums; the actual pieces
 take the rounded places; small lengths go best-fit into what is left. The plan is a table of rank intervals of bounded
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SALTS, cut, id_and_text
+from cadenza.llm.common import cut, id_and_text
 
 #: Groups of large lengths. More groups waste less by rounding; the plan's work grows with them, not with the input.
 GROUPS = 2048
@@ -252,12 +252,25 @@ def _placed(plan, offsets):
     return run
 
 
+#: Pieces of one length that one task ranks, about.
+RANKED = 500_000
+
+
 def pack(pieces: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """pieces (any columns, with keys and length 1..capacity) with sequence_id and offset. An empty table stays empty."""
+    """pieces (any columns, with keys and length 1..capacity) with sequence_id and offset. An empty table stays empty.
+
+    Pieces of the full capacity are sequences of their own (numbered below 0) and are neither counted nor ranked. The
+    others are ranked per (length, salt), with as many salts as the commonest length asks for.
+    """
     spark = pieces.sparkSession
-    pieces = cut(pieces.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")))
-    cells = pieces.groupBy("length", "salt").count().collect()  # at most capacity x SALTS
-    table = np.zeros((capacity + 1, SALTS), np.int64)
+    pieces = cut(pieces)
+    full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    short = pieces.where(F.col("length") < capacity)
+    most = short.groupBy("length").count().agg(F.max("count")).first()[0] or 0
+    salts = -(-most // RANKED) or 1
+    short = short.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
+    cells = short.groupBy("length", "salt").count().collect()  # at most capacity x salts, one number for RANKED pieces or length
+    table = np.zeros((capacity + 1, salts), np.int64)
     for r in cells:
         table[r["length"], r["salt"]] = r["count"]
     plan, _ = packing_plan({int(x): int(table[x].sum()) for x in np.flatnonzero(table.sum(1))}, capacity)
@@ -266,8 +279,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("doc_
     send = spark.sparkContext.broadcast
     place = _placed(send(plan), send(np.cumsum(table, 1) - table))
     order = Window.partitionBy("length", "salt").orderBy(*keys)
-    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.drop("salt").dtypes) + ", sequence_id long, offset long"
-    return pieces.withColumn("rank", F.row_number().over(order)).mapInPandas(place, schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in short.drop("salt").dtypes) + ", sequence_id long, offset long"
+    return short.withColumn("rank", F.row_number().over(order)).mapInPandas(place, schema).unionByName(full)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,6 +288,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
 
     A text's ids are followed by end_id; only what is longer than capacity is cut. Null or empty texts are the end_id
     alone. Rows that repeat an id are packed each. Sequences are filled from 0 without gaps; an empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored. The tokenizer must lower-case and must not join across white space: texts are
+    encoded word by word, and a tokenizer that does otherwise gets other ids than its own library gives.
     """
     return pack(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), capacity)

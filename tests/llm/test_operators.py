@@ -112,6 +112,8 @@ def test_near_dedup_open_lists(spark, monkeypatch):
 
     monkeypatch.setattr(nd, "OPEN_LIST", 8)
     monkeypatch.setattr(nd, "BLOCK", 16)
+    compared = []
+    monkeypatch.setattr(nd, "_blocks", lambda rows, f=nd._blocks: compared.append(rows.count()) or f(rows))
     rng = random.Random(2)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -137,6 +139,44 @@ def test_near_dedup_open_lists(spark, monkeypatch):
     assert got == {i: find(i) for i in sets}
 
 
+def test_near_dedup_long_list(spark, monkeypatch):
+    """Thousands of form letters that share most of a base and are no links: hardly any is compared in blocks."""
+    import random
+
+    from cadenza.llm import near_dedup as nd
+
+    compared = []
+    monkeypatch.setattr(nd, "_blocks", lambda rows, f=nd._blocks: compared.append(rows.count()) or f(rows))
+    rng = random.Random(6)
+    base, rows, want = [f"b{i}" for i in range(120)], [], {}
+    for i in range(2500):
+        w = list(base)
+        for k in rng.sample(range(120), rng.randrange(7, 14)):
+            w[k] = f"n{i}_{k}"
+        rows.append((i, " ".join(w)))
+        want[i] = i
+        if i % 10 == 0:  # a copy that differs in one more word
+            w[rng.randrange(120)] = f"m{i}"
+            rows.append((10_000 + i, " ".join(w)))
+            want[10_000 + i] = i
+    got = nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=3, threshold=0.85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    assert sum(compared) < 1000
+
+
+def test_near_dedup_rows(spark):
+    """Rows that share an id, or have none, are judged by their own text."""
+    import random
+
+    from cadenza.llm.near_dedup import near_dedup
+
+    a, b, c = (" ".join(f"{x}{random.Random(x).random()}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (3, a + " more"), (3, b), (None, b + " more"), (None, c), (None, c), (None, None), (None, "")]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), text_hash=True).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter([(1, 1, True), (3, 1, False), (3, 3, True), (None, 3, False), (None, None, True), (None, None, True), (None, None, True), (None, None, True)])
+    assert sum(r.stays for r in got) == 5  # a, b, c, null and empty
+
+
 def test_components(spark):
     from cadenza.llm.common import components
 
