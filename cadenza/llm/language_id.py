@@ -2,7 +2,8 @@
 
 Emission scores come from hashed affix, character n-gram and whole-word (lexicon) features; transitions between labels
 are learned with them by maximum likelihood on code-switched sequences, which are spliced from spans of single-language
-training texts. The fit uses at most SAMPLE training rows, those of least id hash. A text's words are labelled by
+training texts. The fit uses at most SAMPLE training rows, those of least id hash, and of their spans at most about
+twice SEQUENCES, none a second time before all of its language were used. A text's words are labelled by
 forward-backward, run for all texts of a batch at once in blocks of BLOCK words: block products of transfer matrices
 give the messages that enter each block, so the whole text is one chain.
 """
@@ -10,26 +11,29 @@ give the messages that enter each block, so the whole text is one chain.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import sample_of
-
-SAMPLE, BUCKETS, BLOCK = 4_000, 1 << 15, 32
+SAMPLE, SEQUENCES, BUCKETS, BLOCK = 4_000, 3_000, 1 << 15, 32
 SPAN, EPOCHS, RATE, DECAY = 24, 5, 0.5, 1e-5
 _CACHE_ROWS = 400_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers that are neither letters nor decimal digits, such as fractions, superscripts and Roman numerals.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+#: A word is a run of letters (Unicode category L); longer runs, as in scripts without spaces, are consecutive words.
+LONGEST = 24
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]{{1,{LONGEST}}}")
 
 
 def word_features(word: str) -> np.ndarray:
     """Buckets of the word's affixes, n-grams and identity."""
     w = word.lower()
-    e = f"^{w[:24]}$"
+    e = f"^{w}$"
     names = {"=" + w, *(f"<{w[:k]}" for k in (1, 2, 3)), *(f">{w[-k:]}" for k in (1, 2, 3))}
     names |= {e[i : i + n] for n in (1, 2, 3) for i in range(len(e) - n + 1)}
     raw = "\0".join(sorted(names)).encode("utf-8", "replace").split(b"\0")
@@ -70,8 +74,9 @@ class Tagger:
         return self.weights[word_features(word)].sum(0)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7) -> Tagger:
-    """Texts of one language each. Sequences splice spans of different texts, so that labels switch inside."""
+def train(texts: list[str], langs: list[str], seed: int = 7, most: int = SEQUENCES) -> Tagger:
+    """Texts of one language each. At most `most` sequences splice spans of different texts, so that labels switch
+    inside; spans are drawn in random order, each once before any comes again."""
     rng = np.random.default_rng(seed)
     labels = sorted(set(langs))
     k, number = len(labels), {x: i for i, x in enumerate(labels)}
@@ -83,11 +88,15 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Tagger:
         by[number[x]] += [words[i : i + SPAN] for i in range(0, len(words), SPAN)]
     vocabulary: dict[str, int] = {}
     sequences = []
-    for _ in range(max(400, min(1_500, sum(map(len, by))))):
+    for spans in by:
+        rng.shuffle(spans)
+    turn = [0] * k
+    for _ in range(max(400, min(most, sum(map(len, by))))):
         words, ys = [], []
         for y in rng.integers(0, k, rng.integers(1, 4)):
             if by[y]:
-                span = by[y][rng.integers(len(by[y]))]
+                span = by[y][turn[y] % len(by[y])]
+                turn[y] += 1
                 words += [vocabulary.setdefault(w.lower(), len(vocabulary)) for w in span]
                 ys += [int(y)] * len(span)
         if words:
@@ -230,6 +239,8 @@ def _labelled(model, words_out: bool):
                 best = np.where((n > 0) & (k > 0), mean.argmax(1) if k else 0, k)
                 score = np.where(n > 0, mean.max(1, initial=0) / np.maximum(n, 1), 0)
                 out = {"doc_id": part["doc_id"], "lang_pred": labels[best], "score": np.clip(score, 0, 1)}
+                if "text_hash" in part:
+                    out["text_hash"] = part["text_hash"]
                 if words_out:
                     word = labels[:k][post.argmax(1)] if len(post) else np.empty(0, object)
                     ends = np.cumsum(n)
@@ -240,29 +251,38 @@ def _labelled(model, words_out: bool):
     return run
 
 
-def fit(docs: DataFrame, held_out: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tagger:
-    """Learns from at most sample rows, an equal share for each language, where held_out (on doc_id) does not hold."""
+def fit(docs: DataFrame, held_out: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sequences: int = SEQUENCES) -> Tagger:
+    """Learns from at most sample rows, an equal share for each language, where held_out (on doc_id) does not hold.
+
+    The table is read twice: once for the counts, once for the rows under a threshold of the hash for each language
+    that leaves about twice the share, which are then ordered.
+    """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].alias("lang"), docs[text_col].alias("text")).where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    if not langs:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return Tagger([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), np.zeros(0))
-    share = max(1, sample // len(langs))
-    ids = [sample_of(rows.where(F.col("lang") == x).select("doc_id"), share, "doc_id").toPandas()["doc_id"].tolist() for x in langs]
-    chosen = docs.sparkSession.createDataFrame([(i,) for part in ids for i in part], "doc_id long")
-    got = rows.join(F.broadcast(chosen.distinct()), "doc_id").toPandas().sort_values(["doc_id", "lang"], kind="stable")
-    return train(got["text"].tolist(), got["lang"].tolist())
-
-
-def language_id(docs: DataFrame, held_out: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", words: bool = False) -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score (and words, langs: the label of every word).
-
-    held_out: a condition on doc_id; other rows' text and lang are learned. lang_pred is the label of the greatest mean
-    posterior over the text's words (runs of letters) and score is that mean; a null text or one without letters is
-    und with score 0, as is every text when nothing could be learned. Rows that repeat an id are labelled each; an
-    empty table gives no rows; other columns are ignored.
+    share, scale = max(1, sample // len(counts)), 1 << 40
+    limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * share / n) * scale))])
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(scale))).where(F.col("at") < limit[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy("at", "doc_id", F.xxhash64("text"))
+    got = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= share).select("doc_id", "lang", "text").toPandas()
+    got = got.sort_values(["doc_id", "lang", "text"], kind="stable")
+    return train(got["text"].tolist(), got["lang"].tolist(), most=sequences)
+
+
+def language_id(docs: DataFrame, held_out: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", words: bool = False, text_hash: bool = False, sequences: int = SEQUENCES) -> DataFrame:
+    """One row per input row: doc_id, held_out, lang_pred, score (and words, langs: the label of every word; and
+    text_hash, xxhash64 of the text).
+
+    held_out: a condition on doc_id; other rows' text and lang are learned, from at most sample rows and sequences
+    training sequences. lang_pred is the label of the greatest mean posterior over the text's words (runs of letters,
+    in pieces of LONGEST) and score is that mean; a null text or one without letters is und with score 0, as is every
+    text when nothing could be learned. Rows that repeat an id are labelled each; an empty table gives no rows; other
+    columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, held_out, sample, id_col, text_col, lang_col))
-    schema = "doc_id long, lang_pred string, score double" + (", words array<string>, langs array<string>" if words else "")
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, held_out, sample, id_col, text_col, lang_col, sequences))
+    more = ["text_hash"] if text_hash else []
+    schema = "doc_id long, " + "text_hash long, " * text_hash + "lang_pred string, score double" + (", words array<string>, langs array<string>" if words else "")
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).select("doc_id", "text", *([F.xxhash64("text").alias("text_hash")] if text_hash else []))
     found = texts.mapInPandas(_labelled(model, words), schema)
-    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", *(["words", "langs"] if words else []))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", *(["words", "langs"] if words else []), *more)
