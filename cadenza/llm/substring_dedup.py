@@ -1,9 +1,10 @@
 """Removal of word windows that an earlier document has, by suffix automata of reference shards.
 
-Runs of windows are routed to shards in which equal windows meet (see windows). Each shard compiles its distinct
-segments into suffix automata whose states know the least document id among their occurrences, and streams the
-segments through them (those with a window whose fingerprint occurs twice): where the matching statistic reaches the window's length in a state of a smaller id, the window
-is a repeat.
+The windows are routed to shards in which equal windows meet (see windows); that only selects what a shard holds and
+decides nothing. Each shard compiles all of its segments, equal ones too, into one suffix automaton whose states know
+the least document id among their occurrences, and streams the segments through it: where the matching statistic
+reaches the window's length in a state of a smaller id, the window is a repeat. Segments lose what lies outside
+windows whose fingerprint occurs twice in the shard. Only copies within one batch of texts fold before, by digest.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from pyspark.sql import DataFrame
 
 from cadenza.llm.near_dedup import _hash_of
 from cadenza.llm.suffix_dedup import _spans
-from cadenza.llm.windows import RANGE, counted, covered, every_start, gram_hashes, parted, repeated_runs, rows_of, segments, with_ranges
+from cadenza.llm.windows import RANGE, covered, gram_hashes, repeated_runs, rows_of, segments, shards, with_ranges
 
-GRAM, LONGEST = 5, 64
+GRAM, LONGEST = 4, 64
 #: Bytes of a word's hash that travel in a segment.
 WORD = 6
 
@@ -32,7 +33,7 @@ def _symbols(text: str) -> np.ndarray:
 def _pieces(text: str):
     x = _symbols(text)
     x = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :WORD].copy()  # little-endian: the low bytes
-    return lambda lo, hi: x[lo:hi].tobytes()
+    return (lambda lo, hi: x[lo:hi].tobytes()), len(x)
 
 
 def _words(seg: bytes) -> list[int]:
@@ -114,60 +115,52 @@ class SuffixAutomaton:
         return out
 
 
-def _candidates(segs: list[bytes], width: int) -> np.ndarray:
-    """Whether a segment has a window whose fingerprint occurs in another place: no other can hold a repeat."""
+def _candidates(segs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first, last): the stretch of each segment between windows whose fingerprint occurs twice. No window
+    outside it can be a repeat; whether those inside are is for the automaton to say."""
     n = np.fromiter(map(len, segs), np.int64, len(segs)) // WORD
     x = np.zeros((int(n.sum()), 8), np.uint8)
     x[:, :WORD] = np.frombuffer(b"".join(segs), np.uint8).reshape(-1, WORD)
-    out = np.zeros(len(segs), bool)
-    if len(x) < width:
-        return out
     with np.errstate(over="ignore"):
         prints = gram_hashes(x.view(np.uint64).ravel(), width)
     owner = np.repeat(np.arange(len(segs)), n)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     inside = owner[: len(prints)] == owner[width - 1 :]  # not across two segments
-    prints, owner = prints[inside], owner[: len(inside)][inside]
+    prints, owner, place = prints[inside], owner[: len(inside)][inside], place[: len(inside)][inside]
     order = np.argsort(prints, kind="stable")
     same = prints[order][1:] == prints[order][:-1]
-    out[owner[order[np.r_[same, False] | np.r_[False, same]]]] = True
-    return out
+    hit = np.sort(order[np.r_[same, False] | np.r_[False, same]])
+    pick, first = np.unique(owner[hit], return_index=True)
+    last = np.r_[first[1:], len(hit)][: len(pick)] - 1
+    return pick, place[hit[first]], place[hit[last]]
+
+
+def shard_repeats(b: pd.DataFrame, width: int) -> pd.DataFrame:
+    """The ranges of a shard's segments (sorted by key) whose windows a smaller id has: one automaton for all."""
+    pick, first, last = _candidates(b["seg"].tolist(), width)
+    b = b.iloc[pick]
+    words = [_words(s)[x : y + width] for s, x, y in zip(b["seg"], first.tolist(), last.tolist(), strict=True)]
+    did, row, start, more = (b[c].tolist() for c in ("did", "row", "start", "more"))
+    least = b.groupby("key")["did"].transform("min").tolist()
+    automaton = SuffixAutomaton()
+    for w, o in zip(words, did, strict=True):
+        automaton.add(w, o)
+    automaton.close()
+    out = []
+    for k, w in enumerate(words):
+        if did[k] > least[k]:
+            spans = _spans(automaton.earlier(w, did[k], width))
+            if spans:
+                skip = int(first[k])
+                starts = [start[k], *np.frombuffer(more[k] or b"", np.int32).tolist()]
+                out += [(did[k], row[k], s + skip + at, n) for at, n in spans for s in starts]
+    return pd.DataFrame(out, columns=RANGE)
 
 
 def _shard(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in counted(batches):
-            if "digest" in b:
-                yield from repeats(b)
-            else:
-                yield b
-
-    def repeats(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        least = b.groupby(["key", "digest"], sort=False)["did"].transform("min").to_numpy()
-        later = b["did"].to_numpy() > least
-        yield every_start(b[later])
-        b = b[~later]
-        b = b[~parted(b)]
-        if not len(b):
-            return
-        b = b[_candidates(list(b["seg"]), width)]
-        keys = b["key"].to_numpy()
-        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-        did, row, start, seg, more = (b[c].tolist() for c in ("did", "row", "start", "seg", "more"))
-        out = []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            first = min(did[lo:hi])
-            if first == max(did[lo:hi]):
-                continue
-            a, words = SuffixAutomaton(), [_words(x) for x in seg[lo:hi]]
-            for w, o in zip(words, did[lo:hi], strict=True):
-                a.add(w, o)
-            a.close()
-            for k, w in enumerate(words, lo):
-                if did[k] > first:
-                    starts = [start[k], *np.frombuffer(more[k] or b"", np.int32).tolist()]
-                    out += [(did[k], row[k], s + at, n) for at, n in _spans(a.earlier(w, did[k], width)) for s in starts]
-        if out:
-            yield pd.DataFrame(out, columns=RANGE)
+        for counts, b in shards(batches):
+            yield shard_repeats(b, width) if counts else b
 
     return run
 
@@ -198,11 +191,13 @@ def _removed(width: int, texts: bool):
 def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 (and kept_text).
 
-    Words are runs of anything but ASCII white space. A word is removed when a window of width consecutive words that
-    covers it also starts in a document of a smaller id; windows are judged on the input. Null text has no words; a
+    Words are runs of anything but ASCII white space. A word is removed when a window of width (8 to 250) consecutive
+    words that covers it also starts in a document of a smaller id; windows are judged on the input. Null text has no words; a
     null id counts as smaller than any. Rows that share an id do not remove each other's words. An empty table gives
     no rows; other columns are ignored.
     """
+    if not 2 * GRAM <= width <= 250:
+        raise ValueError(f"width must be from {2 * GRAM} to 250 words")
     rows = rows_of(docs, id_col, text_col)
     both = with_ranges(rows, repeated_ranges(rows, width))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")

@@ -12,13 +12,14 @@ import hashlib
 import tempfile
 from collections.abc import Iterator
 from contextlib import ExitStack
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.windows import RANGE, counted, covered, gram_hashes, parted, repeated_runs, rows_of, segments, with_ranges
+from cadenza.llm.windows import RANGE, covered, gram_hashes, repeated_runs, rows_of, segments, shards, with_ranges
 
 GRAM, LONGEST = 64, 256
 
@@ -29,7 +30,7 @@ def _symbols(text: str) -> np.ndarray:
 
 def _pieces(text: str):
     raw = text.encode("utf-8", "replace")
-    return lambda lo, hi: raw[lo:hi]
+    return (lambda lo, hi: raw[lo:hi]), len(raw)
 
 
 def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -141,48 +142,33 @@ def _candidates(segs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray,
     return pick, place[hit[first]], place[hit[last]]
 
 
-#: Bytes of segments whose transform is built at a time. Keys are not parted here; hot ones came as windows.
-SHARD = 1_000_000
+def shard_repeats(b: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """The repeated ranges of a shard's segments (sorted by key)."""
+    b = b.assign(digest=[blake2b(s, digest_size=16).digest() for s in b["seg"]])
+    times = b.groupby(["key", "digest"], sort=False)["times"].transform("sum").to_numpy()
+    yield b.loc[times > 1, RANGE]
+    once = ~b.duplicated(["key", "digest"]).to_numpy()
+    todo, alone = b[once], times[once] == 1
+    # A segment that is alone under its key may still repeat itself.
+    need = (todo["key"].map(todo["key"].value_counts()).to_numpy() > 1) | (alone & (todo["n"].to_numpy() > 1))
+    todo, alone = todo[need], alone[need]
+    if not len(todo):
+        return
+    pick, first, last = _candidates(list(todo["seg"]), width)
+    todo, alone = todo.iloc[pick], alone[pick]
+    if alone.any():
+        segs = [x[a : b + width] for x, a, b in zip(todo["seg"], first.tolist(), last.tolist(), strict=True)]
+        out = []
+        for r, skip, mine, flags in zip(todo[RANGE].itertuples(index=False), first.tolist(), alone, repeats_by_bwt(segs, width), strict=True):
+            if mine:
+                out += [(r.did, r.row, r.start + skip + s, k) for s, k in _spans(flags)]
+        yield pd.DataFrame(out, columns=RANGE)
 
 
 def _shard(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in counted(batches):
-            if "digest" in b:
-                yield from repeats(b)
-            else:
-                yield b
-
-    def repeats(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        times = b.groupby(["key", "digest"], sort=False)["times"].transform("sum").to_numpy()
-        yield b.loc[times > 1, RANGE]
-        whole = ~parted(b)
-        b, times = b[whole], times[whole]
-        one = b.drop_duplicates(["key", "digest"])
-        single = one["key"].map(one["key"].value_counts()).to_numpy() > 1
-        alone = times[~b.duplicated(["key", "digest"]).to_numpy()] == 1
-        # A segment that is alone under its key may still repeat itself.
-        need = single | (alone & (one["n"].to_numpy() > 1))
-        todo, alone = one[need], alone[need]
-        if not len(todo):
-            return
-        pick, first, last = _candidates(list(todo["seg"]), width)
-        todo, alone = todo.iloc[pick], alone[pick]
-        todo = todo.assign(start=todo["start"] + first, seg=[x[a : b + width] for x, a, b in zip(todo["seg"], first.tolist(), last.tolist(), strict=True)])
-        size, lo = 0, 0
-        keys, lengths = todo["key"].to_numpy(), todo["seg"].map(len).to_numpy()
-        for hi in range(1, len(todo) + 1):
-            size += lengths[hi - 1]
-            if hi == len(todo) or (size >= SHARD and keys[hi] != keys[hi - 1]):
-                part = todo.iloc[lo:hi]
-                out = []
-                if alone[lo:hi].any():
-                    for r, mine, flags in zip(part[RANGE].itertuples(index=False), alone[lo:hi], repeats_by_bwt(list(part["seg"]), width), strict=True):
-                        if mine:
-                            out += [(r.did, r.row, r.start + s, k) for s, k in _spans(flags)]
-                if out:
-                    yield pd.DataFrame(out, columns=RANGE)
-                size, lo = 0, hi
+        for counts, b in shards(batches):
+            yield from shard_repeats(b, width) if counts else [b]
 
     return run
 
@@ -215,6 +201,8 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
     text lose all of it (if it is width long). kept_text drops the bytes of characters that were cut apart. An empty
     table gives no rows; other columns are ignored.
     """
+    if not 130 <= width <= 250:
+        raise ValueError("width must be from 130 to 250")
     rows = rows_of(docs, id_col, text_col, keep)
     both = with_ranges(rows, repeated_ranges(rows, width))
     kinds = dict(docs.dtypes)

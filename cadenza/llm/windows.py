@@ -2,8 +2,8 @@
 
 Every window of `width` symbols is routed by its minimiser, the least hash among its grams: equal windows have equal
 minimisers. Neighbouring windows with one minimiser form a run. Runs whose minimiser occurs once in the corpus hold
-no repeat and end here, as 24-byte rows; the others are cut out of their texts as short segments and meet their
-like in one task. Within a task's batch, copies are folded before anything is shuffled, so a passage that a third of
+no repeat and end here, as narrow rows; the others are cut out of their texts as short segments and meet their like in
+one task, sorted by minimiser, which reads them as shards of bounded size. Within a task's batch, copies are folded before anything is shuffled, so a passage that a third of
 the documents share costs one row per batch and not one per document. Where that passage stands in many contexts, the
 segments at its borders differ and would all meet under one minimiser: such a hot key is parted into its windows, each
 under a key of its own, so that only equal windows meet.
@@ -16,16 +16,17 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A key is hot when more than so many of its runs came after the first of their batch, and all SLOTS of their prints
 #: are taken (by 64 different segments at the least, about 300 as a rule).
 HOT, SLOTS = 500, 64
-#: A packed run: n in the low bits, then its print, then two flags.
-_N, _PRINT, _SURE, _TWICE = 10, 6, 1 << 16, 1 << 17
-#: Windows of hot segments that are folded at a time, and the bytes of a window's digest that travel beside its key.
-CHUNK, REST = 100_000, 8
+#: A packed run: n in the low bits, then its print, two flags, and the first window.
+_N, _PRINT, _SURE, _TWICE, _START = 10, 6, 1 << 16, 1 << 17, 18
+#: Windows of hot segments that are folded at a time; bytes of segments that are read as one shard, but for the rest of
+#: a minimiser's segments, which are not parted (at most one for each batch and about HOT more).
+CHUNK, SHARD = 100_000, 1_000_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -99,8 +100,8 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] =
 
 
 def _run_rows(symbols: Callable, width: int, gram: int, longest: int, within: bool):
-    """did, row, key, start, pack: a batch's later rows of a key are repeats for sure and need no count. All that is
-    no key is packed into one number, so that every reader of the exchange needs all of its columns and shares it."""
+    """row, key, at, deal: a batch's later rows of a key are repeats for sure and need no count. All that is no key is
+    packed into one number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -119,42 +120,31 @@ def _run_rows(symbols: Callable, width: int, gram: int, longest: int, within: bo
             twice = np.isin(key, key[sure])  # first rows that are repeats too, but stand for their batch in the count
             if within:
                 twice |= own
-            pack = (n | prints << _N | sure * _SURE | twice * _TWICE).astype(np.int32)
+            row = b["row"].to_numpy()[at]
+            pack = n | prints << _N | sure * _SURE | twice * _TWICE | start.astype(np.int64) << _START
+            deal = np.where(sure, 1 + ((row ^ start) & 0xFFFF), 0).astype(np.int32)
             for part in range(0, len(key), 500_000):
                 c = slice(part, part + 500_000)
-                yield pd.DataFrame({"did": b["did"].to_numpy()[at[c]], "row": b["row"].to_numpy()[at[c]], "key": key[c], "start": start[c].astype(np.int32), "pack": pack[c]})
+                yield pd.DataFrame({"row": row[c], "key": key[c], "at": pack[c], "deal": deal[c]})
 
     return run
 
 
-def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of a partition whose key is known to occur twice, here or in their batch."""
-    parts = list(batches)
-    if parts:
-        b = pd.concat(parts)
-        del parts
-        key, pack = b["key"].to_numpy(), b.pop("pack").to_numpy()
-        sure = pack & _SURE > 0
-        counted = np.flatnonzero(~sure)
-        _, group, times = np.unique(key[counted], return_inverse=True, return_counts=True)
-        keep = pack & (_SURE | _TWICE) > 0
-        keep[counted] |= times[group] > 1
-        yield b[keep].assign(n=pack[keep] & ((1 << _N) - 1))
-
-
 def repeated_runs(rows: DataFrame, symbols: Callable, width: int, gram: int, longest: int, within: bool) -> DataFrame:
-    """(did, row, key, start, n, hot) of all runs whose minimiser occurs more than once, or (within) twice in the run."""
-    found = rows.select("did", "row", "text").mapInPandas(_run_rows(symbols, width, gram, longest, within), "did long, row long, key long, start int, pack int")
+    """(row, key, at, hot) of all runs whose minimiser occurs more than once, or (within) twice in the run."""
+    found = rows.select("row", "text").mapInPandas(_run_rows(symbols, width, gram, longest, within), "row long, key long, at long, deal int")
     # Rows that count meet by key; the sure ones are dealt anywhere.
-    sure = F.col("pack").bitwiseAND(F.lit(_SURE)) > 0
-    dealt = found.repartition("key", F.when(sure, F.xxhash64("did", "row", "start")).otherwise(F.lit(0)))
-    slot = F.shiftright("pack", _N).bitwiseAND(F.lit(SLOTS - 1))
+    dealt = found.repartition("key", "deal")
+    flag = lambda bits: F.col("at").bitwiseAND(F.lit(bits)) > 0
+    sure = flag(_SURE)
+    slot = F.shiftright("at", _N).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
     # No filter stands before the sum, which would part the exchange from that of the runs: rows that are not sure add up under 0.
-    counts = dealt.groupBy(F.coalesce(F.when(sure, F.col("key")), F.lit(0)).alias("key")).agg(F.count("*").alias("runs"), F.bit_or(F.when(sure, F.call_function("shiftleft", F.lit(1).cast("long"), slot))).alias("slots"))
+    counts = dealt.groupBy(F.coalesce(F.when(sure, F.col("key")), F.lit(0)).alias("key")).agg(F.count("*").alias("runs"), F.bit_or(F.when(sure, F.call_function("shiftleft", F.lit(1).cast("long"), slot))).alias("slots"), F.count("deal").alias("_"), F.max("row").alias("_r"))
     # At most one key for HOT runs.
-    hot = counts.where((F.col("runs") > HOT) & (F.col("slots") == -1)).select("key", F.lit(True).alias("hot"))
-    known = dealt.mapInPandas(_repeated, "did long, row long, key long, start int, n int")
-    return known.join(F.broadcast(hot), "key", "left").select("did", "row", "key", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
+    hot = counts.where((F.col("runs") > HOT) & (F.col("slots") == -1) & F.col("_").isNotNull() & F.col("_r").isNotNull()).select("key", F.lit(True).alias("hot"))
+    known = dealt.withColumn("met", F.count("*").over(Window.partitionBy("key", "deal"))).where(flag(_SURE | _TWICE) | (F.col("met") > 1))
+    place = F.col("at").bitwiseAND(F.lit(-1 << _START | (1 << _N) - 1))
+    return known.join(F.broadcast(hot), "key", "left").select("row", "key", place.alias("at"), F.coalesce("hot", F.lit(False)).alias("hot"))
 
 
 def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -175,25 +165,16 @@ def _pack(starts) -> bytes | None:
     return np.asarray(starts, np.int32).tobytes() if len(starts) else None
 
 
-def every_start(b: pd.DataFrame) -> pd.DataFrame:
-    """RANGE of the rows, and of the further places of those that stand for several."""
-    many = b[b["more"].notna()]
-    if not len(many):
-        return b[RANGE]
-    starts = [np.frombuffer(x, np.int32) for x in many["more"]]
-    again = many[RANGE].loc[many.index.repeat([len(x) for x in starts])]
-    return pd.concat([b[RANGE], again.assign(start=np.concatenate(starts))], ignore_index=True)
-
-
 def _windows(segs: list[list], width: int, same_row_is_sure: bool) -> pd.DataFrame:
-    """Segments (in order of id) taken apart: every window travels under half of its digest as key, with the other half
-    as seg. Equal windows fold as segments do."""
+    """Segments (in order of id) taken apart: every window travels under half of its digest as key. Equal windows fold
+    as segments do."""
     segs = [x if k < 0 else [*x[:3], x[7][k], *x[4:]] for x in segs for k in range(-1, len(x[7]))]
     did, row, start, n, times = (np.array([x[k] for x in segs], np.int64) for k in (0, 1, 3, 4, 5))
-    digests = []
+    windows = []
     for x in segs:
         seg, size = x[6], len(x[6]) // (x[4] + width - 1)
-        digests += [blake2b(seg[k * size : (k + width) * size], digest_size=16).digest() for k in range(x[4])]
+        windows += [seg[k * size : (k + width) * size] for k in range(x[4])]
+    digests = [blake2b(x, digest_size=16).digest() for x in windows]
     half = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     start = np.repeat(start - np.cumsum(n) + n, n) + np.arange(len(half))
     did, row, times = np.repeat(did, n), np.repeat(row, n), np.repeat(times, n)
@@ -206,7 +187,7 @@ def _windows(segs: list[list], width: int, same_row_is_sure: bool) -> pd.DataFra
     head = np.flatnonzero(np.r_[True, (half[go][1:] != half[go][:-1]).any(1) | (did[go][1:] != did[go][:-1]) | (row[go][1:] != row[go][:-1])])
     more = [_pack(start[go[lo + 1 : hi]]) for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(go)], strict=True)]
     go = go[head]
-    out = pd.DataFrame({"did": did[go], "row": row[go], "key": half[go, 0], "start": start[go], "n": 1, "times": times[go], "seg": [digests[i][REST:] for i in go.tolist()], "more": more})
+    out = pd.DataFrame({"did": did[go], "row": row[go], "key": half[go, 0], "start": start[go], "n": 1, "times": times[go], "seg": [windows[i] for i in go.tolist()], "more": more})
     at = order[sure]
     if not len(at):
         return out
@@ -228,8 +209,11 @@ def _cut_out(pieces: Callable, width: int, same_row_is_sure: bool):
             first: dict[tuple, list] = {}
             held, apart = [], []
             for did, row, text, found in sorted(zip(b["did"], b["row"], b["text"], b["runs"], strict=True), key=lambda r: (r[0], r[1])):
-                cut, sure = pieces(text), []
-                for key, start, n, hot in sorted((r["key"], r["start"], r["n"], r["hot"]) for r in found):
+                (cut, size), sure = pieces(text), []
+                for key, at, hot in sorted((r["key"], r["at"], r["hot"]) for r in found):
+                    start, n = at >> _START, at & ((1 << _N) - 1)
+                    if start + n + width - 1 > size:  # another row's run, whose hash is the same
+                        continue
                     seg = cut(start, start + n + width - 1)
                     name = (key, blake2b(seg, digest_size=16).digest())
                     met = first.get(name)
@@ -257,34 +241,42 @@ def _cut_out(pieces: Callable, width: int, same_row_is_sure: bool):
 
 
 def segments(rows: DataFrame, found: DataFrame, pieces: Callable, width: int, same_row_is_sure: bool) -> DataFrame:
-    """The runs' segments, those that count dealt by key; times is 0 (and seg null) where a range is sure to repeat.
-    pieces(text)(from, to) gives a segment as bytes. Hot keys' segments come as windows (see parted)."""
-    per_row = found.groupBy("did", "row").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("runs"))
-    cut = rows.join(per_row, ["did", "row"]).select("did", "row", "text", "runs").mapInPandas(_cut_out(pieces, width, same_row_is_sure), "did long, row long, key long, start int, n int, times int, seg binary, more binary")
+    """The runs' segments, those that count dealt and sorted by key; times is 0 (and seg null) where a range is sure to
+    repeat. pieces(text) gives a function (from, to) to a segment as bytes, and the text's symbols. Hot keys' segments
+    come as windows. Runs find their text by the row's hash; were it another row's too, both would be judged, rightly,
+    by what they hold there."""
+    # A set: rows that repeat id and text share their runs.
+    per_row = found.groupBy("row").agg(F.collect_set(F.struct("key", "at", "hot")).alias("runs"))
+    cut = rows.join(per_row, "row").select("did", "row", "text", "runs").mapInPandas(_cut_out(pieces, width, same_row_is_sure), "did long, row long, key long, start int, n int, times int, seg binary, more binary")
     deal = F.when(F.col("times") == 0, F.xxhash64("did", "row", "start")).otherwise(F.lit(0))
-    return cut.repartition("key", deal)
+    return cut.repartition("key", deal).sortWithinPartitions("key")
 
 
 RANGE = ["did", "row", "start", "n"]
 
 
-def parted(b: pd.DataFrame) -> np.ndarray:
-    """Which rows are single windows of a hot key: key and digest say all about them."""
-    return (b["seg"].map(len) == REST).to_numpy(bool)
-
-
-def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First the sure ranges of a partition, batch by batch; last the segments that count, with digest, by key."""
-    kept = []
+def shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:
+    """(False, sure ranges) as they come, and (True, shard): segments that count, SHARD bytes or so, no key in two."""
+    held: list[pd.DataFrame] = []
+    size = 0
     for b in batches:
         sure = (b["times"] == 0).to_numpy()
         if sure.any():
-            yield b.loc[sure, RANGE]
-        kept.append(b[~sure])
-    b = pd.concat(kept, ignore_index=True) if kept else pd.DataFrame(columns=["key"])
-    if len(b):
-        b["digest"] = [s if len(s) == REST else blake2b(s, digest_size=16).digest() for s in b["seg"]]
-        yield b.sort_values(["key", "digest"], kind="stable", ignore_index=True)
+            yield False, b.loc[sure, RANGE]
+        b = b[~sure]
+        if not len(b):
+            continue
+        key, ends = b["key"].to_numpy(), np.cumsum(b["seg"].map(len).to_numpy())
+        edges = np.flatnonzero(np.r_[not held or held[-1]["key"].iloc[-1] != key[0], key[1:] != key[:-1]])
+        lo = 0
+        for e in edges.tolist():  # a shard may end before a new key
+            if size + (ends[e - 1] if e else 0) - (ends[lo - 1] if lo else 0) >= SHARD:
+                yield True, pd.concat([*held, b[lo:e]], ignore_index=True)
+                held, size, lo = [], 0, e
+        held.append(b[lo:])
+        size += int(ends[-1] - (ends[lo - 1] if lo else 0))
+    if held:
+        yield True, pd.concat(held, ignore_index=True)
 
 
 def covered(length: int, ranges: list, width: int) -> np.ndarray:

@@ -272,6 +272,49 @@ def test_shared_passage_in_many_contexts(spark, monkeypatch, name):
     assert Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in run(docs, width).collect()) == want
 
 
+def test_automata_decide(spark):
+    """Where copies meet in no batch, every removal is an automaton's."""
+    import random
+
+    import pandas as pd
+
+    from cadenza.llm import substring_dedup as sd
+    from cadenza.llm import windows
+
+    rng = random.Random(12)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(40)]
+    texts = [*base, *base, *(x[:200] + " new " + x[200:] for x in base)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(120)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        rows = windows.rows_of(docs, "doc_id", "text")
+        found = windows.repeated_runs(rows, sd._symbols, 13, sd.GRAM, sd.LONGEST, False)
+        sent = windows.segments(rows, found, sd._pieces, 13, False).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (sent["times"] == 1).all()  # nothing was folded
+    ranges = sd.shard_repeats(sent.sort_values("key", ignore_index=True), 13)
+    got = {(r.did, r.start + k) for r in ranges.itertuples() for k in range(r.n)}
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        w = t.split()
+        own = [tuple(w[k : k + 13]) for k in range(len(w) - 12)]
+        want |= {(i, k) for k, x in enumerate(own) if x in seen}
+        seen |= set(own)
+    assert got == want and len(want) > 4000
+    assert [c for c, _ in windows.shards(iter([sent.assign(seg=None, times=0), pd.DataFrame(sent.iloc[:0])]))] == [False]
+
+
+@pytest.mark.parametrize("width", [7, 251])
+def test_widths(docs, width):
+    from cadenza.llm.substring_dedup import substring_dedup
+    from cadenza.llm.suffix_dedup import suffix_dedup
+
+    for f in (substring_dedup, suffix_dedup):
+        with pytest.raises(ValueError):
+            f(docs, width)
+
+
 def test_collection_transform():
     import random
 
