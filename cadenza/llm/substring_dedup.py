@@ -22,7 +22,7 @@ from cadenza.llm.windows import RANGE, covered, gram_hashes, repeated_runs, rows
 
 GRAM, LONGEST = 4, 64
 #: Bytes of a word's hash that travel in a segment.
-WORD = 6
+WORD = 5
 
 
 def _symbols(text: str) -> np.ndarray:

@@ -193,14 +193,25 @@ def _windows(segs: list[list], width: int, same_row_is_sure: bool) -> pd.DataFra
         return out
     at = at[np.lexsort((start[at], row[at], did[at]))]
     did, row, start = did[at], row[at], start[at]
-    edge = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)])
-    last = np.r_[edge[1:], len(at)] - 1
-    return pd.concat([out, pd.DataFrame({"did": did[edge], "row": row[edge], "key": 0, "start": start[edge], "n": start[last] - start[edge] + 1, "times": 0, "seg": None, "more": None})], ignore_index=True)
+    new = np.r_[True, (did[1:] != did[:-1]) | (row[1:] != row[:-1])]
+    edge = np.flatnonzero(new | np.r_[True, start[1:] > start[:-1] + 1])
+    pairs = np.stack([start[edge], start[np.r_[edge[1:], len(at)] - 1] - start[edge] + 1], 1)
+    head = np.flatnonzero(new[edge])
+    more = [_pack(pairs[lo:hi]) for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(edge)], strict=True)]
+    return pd.concat([out, pd.DataFrame({"did": did[edge[head]], "row": row[edge[head]], "key": 0, "start": 0, "n": 0, "times": 0, "seg": None, "more": more})], ignore_index=True)
+
+
+def _ranges(b: pd.DataFrame) -> pd.DataFrame:
+    """The sure ranges that rows carry, one row each."""
+    pairs = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in b["more"]]
+    out = b[["did", "row"]].loc[b.index.repeat([len(x) for x in pairs])]
+    return out.assign(**dict(zip(("start", "n"), np.concatenate(pairs).T, strict=True)))
 
 
 def _cut_out(pieces: Callable, width: int, same_row_is_sure: bool):
     """Segments of each row's runs. In a batch, equal segments fold: the first (by id) is the one that travels, with
-    how often it was met; the others are ranges of their row that repeat for sure, joined where they touch. Where a row
+    how often it was met; the others are ranges that repeat for sure, joined where they touch, one row (more) for each
+    text. Where a row
     meets its own segment again and is not sure, the first takes its start along (more). Of hot keys' segments the
     windows travel instead."""
 
@@ -226,7 +237,8 @@ def _cut_out(pieces: Callable, width: int, same_row_is_sure: bool):
                     else:
                         met[5] += 1
                         sure.append((start, n))
-                held += [[did, row, 0, start, n, 0, None, []] for start, n in _joined(sure)]
+                if sure:
+                    held.append([did, row, 0, 0, 0, 0, None, [x for r in _joined(sure) for x in r]])
             del first
             if held:
                 yield pd.DataFrame([[*x[:7], _pack(x[7])] for x in held], columns=COLUMNS)
@@ -262,7 +274,7 @@ def shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame
     for b in batches:
         sure = (b["times"] == 0).to_numpy()
         if sure.any():
-            yield False, b.loc[sure, RANGE]
+            yield False, _ranges(b[sure])
         b = b[~sure]
         if not len(b):
             continue
@@ -289,6 +301,8 @@ def covered(length: int, ranges: list, width: int) -> np.ndarray:
 
 
 def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Every row with its ranges (an empty list where there are none)."""
-    per_row = ranges.distinct().groupBy("did", "row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    return rows.join(per_row, ["did", "row"], "left").select(F.when(F.col("did") != -(2**63), F.col("did")).alias("doc_id"), "text", "more", F.coalesce("ranges", F.array().cast("array<struct<start:int,n:int>>")).alias("ranges"))
+    """Every row with its ranges (an empty list where there are none). The join's key is that of segments, so that the
+    texts are shuffled once for both."""
+    per_row = ranges.distinct().groupBy("row").agg(F.collect_list(F.struct("did", "start", "n")).alias("ranges"))
+    own = F.filter("ranges", lambda r: r["did"] == F.col("did"))
+    return rows.join(per_row, "row", "left").select(F.when(F.col("did") != -(2**63), F.col("did")).alias("doc_id"), "text", "more", F.coalesce(own, F.array().cast("array<struct<did:bigint,start:int,n:int>>")).alias("ranges"))

@@ -302,7 +302,9 @@ def test_automata_decide(spark):
         want |= {(i, k) for k, x in enumerate(own) if x in seen}
         seen |= set(own)
     assert got == want and len(want) > 4000
-    assert [c for c, _ in windows.shards(iter([sent.assign(seg=None, times=0), pd.DataFrame(sent.iloc[:0])]))] == [False]
+    sure = pd.DataFrame([[7, 8, 0, 0, 0, 0, None, np.array([3, 4, 9, 1], np.int32).tobytes()]], columns=windows.COLUMNS)
+    (counts, ranges), (_, shard) = windows.shards(iter([sure, sent]))
+    assert not counts and ranges.to_numpy().tolist() == [[7, 8, 3, 4], [7, 8, 9, 1]] and len(shard) == len(sent)
 
 
 @pytest.mark.parametrize("width", [7, 251])
