@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: A key is hot when more than so many of its runs came after the first of their batch, and all SLOTS of their prints
 #: are taken (by 64 different segments at the least, about 300 as a rule).
-HOT, SLOTS = 500, 64
+HOT, SLOTS = 5_000, 64
 #: A packed run: n in the low bits, then its print, two flags, and the first window.
 _N, _PRINT, _SURE, _TWICE, _START = 10, 6, 1 << 16, 1 << 17, 18
 #: Windows of hot segments that are folded at a time; bytes of segments that are read as one shard, but for the rest of
