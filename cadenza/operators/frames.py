@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -56,26 +58,35 @@ def profile_correlation(profile: DataFrame) -> DataFrame:
     return j.groupBy(*FRAME, (F.col("row") - F.col("j") + F.col("span")).alias("lag")).agg(F.sum(F.col("p") * F.col("q")).alias("c"))
 
 
-def _spline_peak(fine: int):
-    """The grid index of the peak of the not-a-knot cubic spline."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf.sort_values("lag")
-        x, y = g["lag"].to_numpy(float), g["c"].to_numpy(float)
-        n, grid = len(x), np.linspace(x[0], x[-1], len(x) * fine)
-        if n < 4:
-            f = np.interp(grid, x, y)
-        else:
-            a, r = np.zeros((n, n)), np.zeros(n)  # second derivatives at the knots, which are 1 apart
-            for i in range(1, n - 1):
-                a[i, i - 1 : i + 2] = 1, 4, 1
-                r[i] = 6 * (y[i + 1] - 2 * y[i] + y[i - 1])
-            a[0, :3] = a[-1, -3:] = 1, -2, 1
-            m = np.linalg.solve(a, r)
-            k = np.clip(np.searchsorted(x, grid, "right") - 1, 0, n - 2)
-            u, v = grid - x[k], x[k + 1] - grid
-            f = (m[k] * v**3 + m[k + 1] * u**3) / 6 + (y[k] - m[k] / 6) * v + (y[k + 1] - m[k + 1] / 6) * u
-        return pd.DataFrame({"trial": [g["trial"].iloc[0]], "frame": [g["frame"].iloc[0]], "at": [float(np.argmax(f))]})
+def _not_a_knot(n: int) -> np.ndarray:
+    """Maps n values at knots 1 apart to the second derivatives of their not-a-knot cubic spline."""
+    a, r = np.zeros((n, n)), np.zeros((n, n))
+    inner = np.arange(1, n - 1)
+    for shift, left, right in ((-1, 1, 6), (0, 4, -12), (1, 1, 6)):
+        a[inner, inner + shift], r[inner, inner + shift] = left, right
+    a[0, :3] = a[-1, -3:] = 1, -2, 1
+    return np.linalg.solve(a, r)
+
+
+def _spline_peaks(fine: int):
+    """The grid index of the peak of each row's spline. The system depends on the length only and is solved once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        maps: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = np.zeros(len(b))
+            length = b["c"].map(len).to_numpy()
+            for n in np.unique(length).tolist():
+                rows = np.flatnonzero(length == n)
+                y, grid = np.stack([np.asarray(b["c"].iloc[i], float) for i in rows]), np.linspace(0, n - 1, n * fine)
+                k = np.clip(grid.astype(int), 0, max(0, n - 2))
+                u, v = grid - k, k + 1 - grid
+                if n not in maps:
+                    maps[n] = _not_a_knot(n) if n >= 4 else np.zeros((n, n))
+                m, z = y @ maps[n].T, np.minimum(k + 1, n - 1)
+                f = (m[:, k] * v**3 + m[:, z] * u**3) / 6 + (y[:, k] - m[:, k] / 6) * v + (y[:, z] - m[:, z] / 6) * u
+                at[rows] = f.argmax(1)
+            yield pd.DataFrame({"trial": b["trial"], "frame": b["frame"], "at": at})
 
     return run
 
@@ -88,7 +99,8 @@ def profile_shift(profile: DataFrame, fps: float, interp: str = "linear", fine:
     """
     c = profile_correlation(profile)
     if interp == "cubic":
-        return c.groupBy(*FRAME).applyInPandas(_spline_peak(fine), "trial int, frame int, at double").select(*FRAME, (F.col("at") * fps).alias("y"))
+        rows = c.groupBy(*FRAME).agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "c"))), lambda s: s["c"]).alias("c"))
+        return rows.mapInPandas(_spline_peaks(fine), "trial int, frame int, at double").select(*FRAME, (F.col("at") * fps).alias("y"))
     w = Window.partitionBy(*FRAME).orderBy("lag")
     s = c.withColumn("a", F.lag("c").over(w)).withColumn("z", F.lead("c").over(w))
     p = s.groupBy(*FRAME).agg(F.max_by(F.struct("lag", "a", "c", "z"), F.struct("c", -F.col("lag"))).alias("p"), F.count("*").alias("m")).select(*FRAME, "p.*", "m")

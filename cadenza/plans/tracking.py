@@ -14,6 +14,7 @@ from cadenza.operators import spectral as S
 from cadenza.plans.registry import query
 from cadenza.plans.signals import EMB, LO, HI, ROBUST, candidates
 from cadenza.plans.views import EMB_FS, EMB_N, EVT_FS, EVT_N, SIG_EMB, SIG_EVT, sig_emb, sig_evt, welch_sql
+from cadenza.sources.shared import stored
 
 KEY = ["key"]
 RHO, QX, RV = 0.98, 0.01, 0.05
@@ -235,7 +236,7 @@ def estimate_rates(signal: DataFrame, keys: list[str], fs: float, total: int, lo
     else:
         tracks = K.ukf_tracks(s, keys, lo, hi, nu=4.0 if head == "robust_attention" else None).select(*keys, "n", "track_hz")
     smooth = C.ema(tracks.withColumnRenamed("track_hz", "y"), keys, smoothing).withColumnRenamed("y", "track_hz")
-    return K.track_summary(smooth, keys, lo, hi).join(vote.select(*keys, F.col("hz").alias("hz0")), keys)
+    return stored(K.track_summary(smooth, keys, lo, hi).join(vote.select(*keys, F.col("hz").alias("hz0")), keys), raw, x, z, vote)
 
 
 @query("rate_estimator")
@@ -250,7 +251,8 @@ EVT_CAND = welch_sql("sg", EVT_N, EVT_FS, 480, 240, 480, 10, 120)
  sg AS (SELECT key, n, greatest(-3.5, least(3.5, (y - med) / greatest(sigma, 1e-6))) AS y FROM sig JOIN st USING (key)), {EVT_CAND}
  SELECT key, round(arg_max(freq, {{'p': power, 'f': -freq}}), 6) AS hz, round(max(power) / (median(power) + 1e-9), 5) AS ratio, round(least(5, max(power) / (median(power) + 1e-9) / 4), 5) AS confidence FROM psd GROUP BY key""")
 def event_rates(spark, d):
-    flat = C.detrend_linear(sig_evt(spark, d).persist(), KEY).persist()
+    raw = sig_evt(spark, d).persist()
+    flat = C.detrend_linear(raw, KEY).persist()
     z = C.robust_zscore(flat, KEY)
     r = S.welch_candidate(z, KEY, EVT_FS, EVT_N, 0.5, 6.0)
-    return r.select("key", digits(F.col("hz")).alias("hz"), digits(F.col("ratio"), 5).alias("ratio"), digits(F.col("confidence"), 5).alias("confidence"))
+    return stored(r.select("key", digits(F.col("hz")).alias("hz"), digits(F.col("ratio"), 5).alias("ratio"), digits(F.col("confidence"), 5).alias("confidence")), raw, flat)

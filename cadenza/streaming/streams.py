@@ -33,10 +33,16 @@ def drain(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFr
     return got.drop("_epoch")
 
 
+def _pattern(path: str) -> str:
+    """A pattern that only path matches: its last character in brackets."""
+    path = path.rstrip("/")
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def read_stream(spark: SparkSession, path: str, files: int = 4) -> DataFrame:
-    """The Parquet files at path (one file or a folder, hence the pattern) as a stream, so many files per batch."""
+    """The Parquet files at path (one file, which as a stream is a pattern of its exact name, or a folder)."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path.rstrip("/") + "*")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(_pattern(path))
 
 
 def stream_windows(rows: DataFrame, key: str, ts: str, value: str, width: str, slide: str, delay: str) -> DataFrame:
