@@ -73,7 +73,7 @@ class Discriminant:
         n = {k: m[0, 0] for k, m in moments.items()}
         mean = {k: m[0, 1:] / n[k] for k, m in moments.items()}
         cov = {k: m[1:, 1:] / n[k] - np.outer(mean[k], mean[k]) for k, m in moments.items()}
-        self.mean, self.factor, self.offset = mean, {}, {}
+        self.mean, self.factor, self.inverse, self.offset = mean, {}, {}, {}
         if len(cov) < 2:  # nothing to discriminate
             return
         pooled = sum(n[k] * cov[k] for k in cov) / sum(n.values())
@@ -81,10 +81,11 @@ class Discriminant:
         for k in cov:
             s = (1 - POOLED) * cov[k] + POOLED * pooled + FLOOR**2 * np.eye(len(pooled))
             self.factor[k] = np.linalg.cholesky(s)
+            self.inverse[k] = np.linalg.inv(self.factor[k])
             self.offset[k] = np.log(n[k] / sum(n.values())) - np.log(np.diag(self.factor[k])).sum()
 
     def log_density(self, x: np.ndarray, k: int) -> np.ndarray:
-        z = np.linalg.solve(self.factor[k], (x - self.mean[k]).T)
+        z = self.inverse[k] @ (x - self.mean[k]).T
         return self.offset[k] - 0.5 * (z * z).sum(0)
 
     def score(self, x: np.ndarray) -> np.ndarray:
