@@ -9,6 +9,7 @@ a time: in every round each word merges its leftmost pair of least rank.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import io
 import json
 import mmap
@@ -33,6 +34,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _SPLIT = regex.compile(PATTERN)
 _BREAK = regex.compile(r" (?=\s|$)")
 _CACHE_ROWS = 600_000
+#: Words of more bytes are merged one by one, from a heap of pairs.
+_LONG = 512
 _state: dict = {}
 
 
@@ -62,6 +65,7 @@ class Vocabulary:
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks = key[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.rank_of: dict[int, int] = {}
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -74,7 +78,10 @@ class Vocabulary:
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as bytes, by exact merging."""
         out: list[bytes] = [b""] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for i, w in enumerate(words):
+            if len(w) > _LONG:
+                out[i] = self._merge_long(w)
+        order = sorted((i for i in range(len(words)) if len(words[i]) <= _LONG), key=lambda i: len(words[i]))
         lo = 0
         while lo < len(order):
             hi = lo
@@ -85,6 +92,34 @@ class Vocabulary:
             lo = hi
         return out
 
+    def _merge_long(self, word: bytes) -> bytes:
+        """One word, n log n: the heap gives the leftmost pair of least rank; parts are linked both ways."""
+        self.rank_of = self.rank_of or dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        first = self.first[np.frombuffer(word, np.uint8)]
+        end, none = len(first), len(self.merged)
+        ids, before, after = first.tolist(), list(range(-1, end - 1)), list(range(1, end + 1))
+        rank = [*self.rank(first[:-1], first[1:]).tolist(), none]
+        heap = [r << 32 | i for i, r in enumerate(rank) if r < none]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            r, i = top >> 32, top & 0xFFFFFFFF
+            if rank[i] != r:  # one of its parts has been merged since
+                continue
+            gone = after[i]
+            ids[i], rank[gone], ids[gone] = int(self.merged[r]), none, -1
+            after[i] = after[gone]
+            if after[i] < end:
+                before[after[i]] = i
+            for a in (before[i], i):
+                if a >= 0:
+                    b = after[a]
+                    rank[a] = self.rank_of.get(ids[a] << 20 | ids[b], none) if b < end else none
+                    if rank[a] < none:
+                        heapq.heappush(heap, rank[a] << 32 | a)
+        left = np.array(ids, np.int64)
+        return left[left >= 0].astype("<u4").tobytes()
+
     def _merge(self, words: list[bytes]) -> list[bytes]:
         n, width, none = len(words), max(map(len, words)), len(self.merged)
         x = np.full((n, width + 1), -1, np.int64)

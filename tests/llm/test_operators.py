@@ -402,6 +402,34 @@ def test_bpe(docs, empty, sample):
     assert Counter((r.doc_id, r.text) for r in back) == Counter((i, x or "") for i, x, *_ in sample)
 
 
+def test_bpe_long_words():
+    """Long unbroken words against the library; the time grows no faster than n log n."""
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    from cadenza.llm.bpe import Vocabulary
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    with open(path, encoding="utf-8") as f:
+        v = Vocabulary(f.read())
+    rng = random.Random(8)
+    words = ["x" * 5_000, "ab" * 700, "".join(rng.choice("aeinorst") for _ in range(20_000)), "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(2_000))]
+    words += ["".join(rng.choice("aeht") for _ in range(n)) for n in (1, 2, 511, 512, 513, 514)]
+    for w, got in zip(words, v.merge([w.encode() for w in words]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(w, add_special_tokens=False).ids
+    took = []
+    for n in (50_000, 1_000_000):
+        w = bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz", k=n))
+        start = time.monotonic()
+        v.merge([w])
+        took.append(time.monotonic() - start)
+    assert took[1] < 60 * took[0]
+
+
 def test_transducer():
     from cadenza.llm.bpe import Lexicon, compile_lexicon, pack_arrays
 
