@@ -23,6 +23,8 @@ from cadenza.llm.windows import RANGE, covered, gram_hashes, repeated_runs, rows
 GRAM, LONGEST = 4, 64
 #: Bytes of a word's hash that travel in a segment.
 WORD = 5
+#: More than any owner.
+NOBODY = 2**63 - 1
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -47,7 +49,7 @@ class SuffixAutomaton:
 
     def __init__(self):
         self.next: list[dict] = [{}]
-        self.link, self.length, self.least = [-1], [0], [1 << 63]
+        self.link, self.length, self.least = [-1], [0], [NOBODY]
 
     def add(self, sequence: list[int], owner: int) -> None:
         nxt, link, length, least = self.next, self.link, self.length, self.least
@@ -63,7 +65,7 @@ class SuffixAutomaton:
                     nxt.append({})
                     length.append(length[last] + 1)
                     link.append(0)
-                    least.append(1 << 63)
+                    least.append(NOBODY)
                     while p >= 0 and c not in nxt[p]:
                         nxt[p][c] = new
                         p = link[p]
@@ -76,7 +78,7 @@ class SuffixAutomaton:
                         nxt.append(nxt[q].copy())
                         length.append(length[p] + 1)
                         link.append(link[q])
-                        least.append(1 << 63)
+                        least.append(NOBODY)
                         while p >= 0 and nxt[p].get(c) == q:
                             nxt[p][c] = clone
                             p = link[p]
@@ -96,9 +98,9 @@ class SuffixAutomaton:
             if self.least[s] < self.least[p]:
                 self.least[p] = self.least[s]
 
-    def earlier(self, sequence: list[int], owner: int, width: int) -> np.ndarray:
-        """For each window of the sequence: does a smaller owner have it? Matching statistics, one step per symbol."""
-        out = np.zeros(len(sequence) - width + 1, bool)
+    def earliest(self, sequence: list[int], width: int) -> np.ndarray:
+        """The least owner of each window of the sequence. Matching statistics, one step per symbol."""
+        out = np.full(len(sequence) - width + 1, NOBODY)
         state, matched = 0, 0
         for i, c in enumerate(sequence):
             while state and c not in self.next[state]:
@@ -111,9 +113,13 @@ class SuffixAutomaton:
                 state = self.link[state]
                 matched = self.length[state]
             if matched >= width:
-                out[i - width + 1] = self.least[state] < owner
+                out[i - width + 1] = self.least[state]
         return out
 
+    def earlier(self, sequence: list[int], owner: int, width: int) -> np.ndarray:
+        """For each window of the sequence: does a smaller owner have it?"""
+        return self.earliest(sequence, width) < owner
+
 
 def _candidates(segs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, first, last): the stretch of each segment between windows whose fingerprint occurs twice. No window
@@ -136,20 +142,28 @@ def _candidates(segs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def shard_repeats(b: pd.DataFrame, width: int) -> pd.DataFrame:
-    """The ranges of a shard's segments (sorted by key) whose windows a smaller id has: one automaton for all."""
+    """The ranges of a shard's segments (sorted by key) whose windows a smaller id has: one automaton for all. Equal
+    stretches (byte by byte) are compiled and streamed once, and what is found holds for each of them."""
     pick, first, last = _candidates(b["seg"].tolist(), width)
     b = b.iloc[pick]
-    words = [_words(s)[x : y + width] for s, x, y in zip(b["seg"], first.tolist(), last.tolist(), strict=True)]
+    parts = [s[x * WORD : (y + width) * WORD] for s, x, y in zip(b["seg"], first.tolist(), last.tolist(), strict=True)]
     did, row, start, more = (b[c].tolist() for c in ("did", "row", "start", "more"))
-    least = b.groupby("key")["did"].transform("min").tolist()
+    # One that is in the automaton with a smaller owner would add nothing, and equal ones take the same path through it.
+    owners: dict[bytes, int] = {}
+    for x, o in zip(parts, did, strict=True):
+        owners[x] = min(o, owners.get(x, o))
     automaton = SuffixAutomaton()
-    for w, o in zip(words, did, strict=True):
-        automaton.add(w, o)
+    for x, o in owners.items():
+        automaton.add(_words(x), o)
     automaton.close()
+    least = b.groupby("key")["did"].transform("min").tolist()
+    earliest: dict[bytes, np.ndarray] = {}
     out = []
-    for k, w in enumerate(words):
+    for k, x in enumerate(parts):
         if did[k] > least[k]:
-            spans = _spans(automaton.earlier(w, did[k], width))
+            if x not in earliest:
+                earliest[x] = automaton.earliest(_words(x), width)
+            spans = _spans(earliest[x] < did[k])
             if spans:
                 skip = int(first[k])
                 starts = [start[k], *np.frombuffer(more[k] or b"", np.int32).tolist()]

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 HOT, SLOTS = 5_000, 64
 #: A packed run: n in the low bits, then its print, two flags, and the first window.
 _N, _PRINT, _SURE, _TWICE, _START = 10, 6, 1 << 16, 1 << 17, 18
+#: A run that goes on to its text keeps n and the first window, and whether its minimiser is hot.
+_HOT = 1 << 16
 #: Windows of hot segments that are folded at a time; bytes of segments that are read as one shard, but for the rest of
 #: a minimiser's segments, which are not parted (at most one for each batch and about HOT more).
 CHUNK, SHARD = 100_000, 1_000_000
@@ -131,7 +133,7 @@ def _run_rows(symbols: Callable, width: int, gram: int, longest: int, within: bo
 
 
 def repeated_runs(rows: DataFrame, symbols: Callable, width: int, gram: int, longest: int, within: bool) -> DataFrame:
-    """(row, key, at, hot) of all runs whose minimiser occurs more than once, or (within) twice in the run."""
+    """(row, key, at) of all runs whose minimiser occurs more than once, or (within) twice in the run."""
     found = rows.select("row", "text").mapInPandas(_run_rows(symbols, width, gram, longest, within), "row long, key long, at long, deal int")
     # Rows that count meet by key; the sure ones are dealt anywhere.
     dealt = found.repartition("key", "deal")
@@ -141,10 +143,10 @@ def repeated_runs(rows: DataFrame, symbols: Callable, width: int, gram: int, lon
     # No filter stands before the sum, which would part the exchange from that of the runs: rows that are not sure add up under 0.
     counts = dealt.groupBy(F.coalesce(F.when(sure, F.col("key")), F.lit(0)).alias("key")).agg(F.count("*").alias("runs"), F.bit_or(F.when(sure, F.call_function("shiftleft", F.lit(1).cast("long"), slot))).alias("slots"), F.count("deal").alias("_"), F.max("row").alias("_r"))
     # At most one key for HOT runs.
-    hot = counts.where((F.col("runs") > HOT) & (F.col("slots") == -1) & F.col("_").isNotNull() & F.col("_r").isNotNull()).select("key", F.lit(True).alias("hot"))
+    hot = counts.where((F.col("runs") > HOT) & (F.col("slots") == -1) & F.col("_").isNotNull() & F.col("_r").isNotNull()).select("key", F.lit(_HOT).alias("hot"))
     known = dealt.withColumn("met", F.count("*").over(Window.partitionBy("key", "deal"))).where(flag(_SURE | _TWICE) | (F.col("met") > 1))
     place = F.col("at").bitwiseAND(F.lit(-1 << _START | (1 << _N) - 1))
-    return known.join(F.broadcast(hot), "key", "left").select("row", "key", place.alias("at"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    return known.join(F.broadcast(hot), "key", "left").select("row", "key", place.bitwiseOR(F.coalesce("hot", F.lit(0))).alias("at"))
 
 
 def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -217,23 +219,23 @@ def _cut_out(pieces: Callable, width: int, same_row_is_sure: bool):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            first: dict[tuple, list] = {}
+            first: dict[bytes, list] = {}
             held, apart = [], []
-            for did, row, text, found in sorted(zip(b["did"], b["row"], b["text"], b["runs"], strict=True), key=lambda r: (r[0], r[1])):
+            for did, row, text, keys, places in sorted(zip(b["did"], b["row"], b["text"], b["keys"], b["places"], strict=True), key=lambda r: (r[0], r[1])):
                 (cut, size), sure = pieces(text), []
-                for key, at, hot in sorted((r["key"], r["at"], r["hot"]) for r in found):
+                order = np.argsort(places)
+                for key, at in zip(keys[order].tolist(), places[order].tolist(), strict=True):
                     start, n = at >> _START, at & ((1 << _N) - 1)
                     if start + n + width - 1 > size:  # another row's run, whose hash is the same
                         continue
                     seg = cut(start, start + n + width - 1)
-                    name = (key, blake2b(seg, digest_size=16).digest())
-                    met = first.get(name)
+                    met = first.get(seg)
                     if met is not None and not same_row_is_sure and (met[0], met[1]) == (did, row):
                         met[7].append(start)
                     elif met is None or (not same_row_is_sure and met[0] == did):
                         new = [did, row, key, start, n, 1, seg, []]
-                        (apart if hot else held).append(new)
-                        first.setdefault(name, new)
+                        (apart if at & _HOT else held).append(new)
+                        first.setdefault(seg, new)
                     else:
                         met[5] += 1
                         sure.append((start, n))
@@ -257,11 +259,15 @@ def segments(rows: DataFrame, found: DataFrame, pieces: Callable, width: int, sa
     repeat. pieces(text) gives a function (from, to) to a segment as bytes, and the text's symbols. Hot keys' segments
     come as windows. Runs find their text by the row's hash; were it another row's too, both would be judged, rightly,
     by what they hold there."""
-    # A set: rows that repeat id and text share their runs.
-    per_row = found.groupBy("row").agg(F.collect_set(F.struct("key", "at", "hot")).alias("runs"))
-    cut = rows.join(per_row, "row").select("did", "row", "text", "runs").mapInPandas(_cut_out(pieces, width, same_row_is_sure), "did long, row long, key long, start int, n int, times int, seg binary, more binary")
-    deal = F.when(F.col("times") == 0, F.xxhash64("did", "row", "start")).otherwise(F.lit(0))
-    return cut.repartition("key", deal).sortWithinPartitions("key")
+    # A set: rows that repeat id and text share their runs. Most runs of a row come from different partitions, so they
+    # are sent flat: arrays of one would only be larger.
+    per_row = found.repartition("row").groupBy("row").agg(F.collect_set(F.struct("key", "at")).alias("runs"))
+    cut = rows.join(per_row, "row").select("did", "row", "text", F.col("runs.key").alias("keys"), F.col("runs.at").alias("places")).mapInPandas(_cut_out(pieces, width, same_row_is_sure), "did long, row long, key long, start int, n int, times int, seg binary, more binary")
+    # start, n and times (up to 255: whether it is above one is all that is asked) travel as one number.
+    packed = F.shiftleft(F.col("start").cast("long"), 18).bitwiseOR(F.shiftleft("n", 8)).bitwiseOR(F.least("times", F.lit(255)))
+    part = lambda shift, bits: F.shiftright("at", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    sent = cut.select("did", "row", "key", packed.alias("at"), "seg", "more").repartition("key", F.when(part(0, 8) == 0, F.xxhash64("did", "row")).otherwise(F.lit(0)))
+    return sent.sortWithinPartitions("key").select("did", "row", "key", part(18, 32).alias("start"), part(8, 10).alias("n"), part(0, 8).alias("times"), "seg", "more")
 
 
 RANGE = ["did", "row", "start", "n"]
