@@ -121,9 +121,10 @@ class SuffixAutomaton:
         return self.earliest(sequence, width) < owner
 
 
-def _candidates(segs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, first, last): the stretch of each segment between windows whose fingerprint occurs twice. No window
-    outside it can be a repeat; whether those inside are is for the automaton to say."""
+def _candidates(segs: list[bytes], did: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first, last, late): the stretch of each segment between windows whose fingerprint occurs twice, and
+    whether a smaller id has one of these fingerprints. No window outside it can be a repeat, nor one of a segment that
+    is not late; whether the others are is for the automaton to say."""
     n = np.fromiter(map(len, segs), np.int64, len(segs)) // WORD
     x = np.zeros((int(n.sum()), 8), np.uint8)
     x[:, :WORD] = np.frombuffer(b"".join(segs), np.uint8).reshape(-1, WORD)
@@ -135,16 +136,20 @@ def _candidates(segs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray,
     prints, owner, place = prints[inside], owner[: len(inside)][inside], place[: len(inside)][inside]
     order = np.argsort(prints, kind="stable")
     same = prints[order][1:] == prints[order][:-1]
+    new, mine = np.r_[True, ~same], did[owner[order]]
+    behind = np.minimum.reduceat(mine, np.flatnonzero(new))[np.cumsum(new) - 1] < mine
+    late = np.zeros(len(segs), bool)
+    late[owner[order[behind]]] = True
     hit = np.sort(order[np.r_[same, False] | np.r_[False, same]])
     pick, first = np.unique(owner[hit], return_index=True)
     last = np.r_[first[1:], len(hit)][: len(pick)] - 1
-    return pick, place[hit[first]], place[hit[last]]
+    return pick, place[hit[first]], place[hit[last]], late[pick]
 
 
 def shard_repeats(b: pd.DataFrame, width: int) -> pd.DataFrame:
     """The ranges of a shard's segments (sorted by key) whose windows a smaller id has: one automaton for all. Equal
     stretches (byte by byte) are compiled and streamed once, and what is found holds for each of them."""
-    pick, first, last = _candidates(b["seg"].tolist(), width)
+    pick, first, last, late = _candidates(b["seg"].tolist(), b["did"].to_numpy(np.int64), width)
     b = b.iloc[pick]
     parts = [s[x * WORD : (y + width) * WORD] for s, x, y in zip(b["seg"], first.tolist(), last.tolist(), strict=True)]
     did, row, start, more = (b[c].tolist() for c in ("did", "row", "start", "more"))
@@ -156,11 +161,10 @@ def shard_repeats(b: pd.DataFrame, width: int) -> pd.DataFrame:
     for x, o in owners.items():
         automaton.add(_words(x), o)
     automaton.close()
-    least = b.groupby("key")["did"].transform("min").tolist()
     earliest: dict[bytes, np.ndarray] = {}
     out = []
     for k, x in enumerate(parts):
-        if did[k] > least[k]:
+        if late[k]:
             if x not in earliest:
                 earliest[x] = automaton.earliest(_words(x), width)
             spans = _spans(earliest[x] < did[k])

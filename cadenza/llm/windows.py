@@ -207,7 +207,7 @@ def _ranges(b: pd.DataFrame) -> pd.DataFrame:
     """The sure ranges that rows carry, one row each."""
     pairs = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in b["more"]]
     out = b[["did", "row"]].loc[b.index.repeat([len(x) for x in pairs])]
-    return out.assign(**dict(zip(("start", "n"), np.concatenate(pairs).T, strict=True)))
+    return out.assign(**dict(zip(("start", "n"), np.concatenate(pairs).T, strict=True))).drop_duplicates()
 
 
 def _cut_out(pieces: Callable, width: int, same_row_is_sure: bool):
@@ -309,6 +309,6 @@ def covered(length: int, ranges: list, width: int) -> np.ndarray:
 def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every row with its ranges (an empty list where there are none). The join's key is that of segments, so that the
     texts are shuffled once for both."""
-    per_row = ranges.distinct().groupBy("row").agg(F.collect_list(F.struct("did", "start", "n")).alias("ranges"))
+    per_row = ranges.repartition("row").groupBy("row").agg(F.collect_set(F.struct("did", "start", "n")).alias("ranges"))
     own = F.filter("ranges", lambda r: r["did"] == F.col("did"))
     return rows.join(per_row, "row", "left").select(F.when(F.col("did") != -(2**63), F.col("did")).alias("doc_id"), "text", "more", F.coalesce(own, F.array().cast("array<struct<did:bigint,start:int,n:int>>")).alias("ranges"))
