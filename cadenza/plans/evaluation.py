@@ -156,9 +156,24 @@ def regime_map(spark, d):
     return R.regime_map(diagnostics(sig_emb(spark, d)), 20.0)
 
 
-@query("qq_points")
+def _horner(x: str, c: tuple[float, ...]) -> str:
+    out = f"{c[0]}::DOUBLE"
+    for v in c[1:]:
+        out = f"({out} * {x} + {v}::DOUBLE)"
+    return out
+
+
+# The inverse normal distribution in the lower half, mirrored into the upper one.
+QUANTILE = f"""oi AS (SELECT key, y, row_number() OVER (PARTITION BY key ORDER BY y) AS i, count(*) OVER (PARTITION BY key) AS n FROM sig),
+ pp AS (SELECT key, y, i, CASE WHEN i = n THEN 0.5 ** (1.0 / n) WHEN i = 1 THEN 1 - 0.5 ** (1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END::DOUBLE AS p FROM oi),
+ lw AS (SELECT *, least(p, 1 - p) AS u, sqrt(-2 * ln(least(p, 1 - p))) AS q, (least(p, 1 - p) - 0.5) ** 2 AS c FROM pp),
+ qn AS (SELECT key, i, y, CASE WHEN p > 0.5 THEN -1 ELSE 1 END * CASE WHEN u < 0.02425 THEN {_horner("q", E._C)} / ({_horner("q", E._D)} * q + 1)
+  ELSE {_horner("c", E._A)} * (u - 0.5) / ({_horner("c", E._B)} * c + 1) END AS x FROM lw)"""
+
+
+@query("qq_points", f"{EMB}, {QUANTILE} SELECT key, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM qn")
 def qq_points(spark, d):
-    return E.qq_points(sig_emb(spark, d), K)
+    return _d(E.qq_points(sig_emb(spark, d), K), ["key", "i"], ["x", "y"])
 
 
 @query("phase_portrait", f"{EMB} SELECT key, n, round(y, 6) + 0.0 AS x, round(nx, 6) + 0.0 AS x_next FROM (SELECT key, n, y, lead(y) OVER (PARTITION BY key ORDER BY n) AS nx FROM sig) WHERE n % 4 = 0 AND nx IS NOT NULL")

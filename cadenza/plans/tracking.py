@@ -44,9 +44,20 @@ def kf_filter(spark, d):
     return _d(K.kf_states(_model(sig_emb(spark, d)), KEY), ["key", "n"], ["x1", "x2"])
 
 
-@query("kf_smoother")
+# The backward pass: pf is the filtered covariance times the transposed rotation, its product with the inverse of the
+# predicted covariance is the gain.
+RTS = f"""fm AS MATERIALIZED (SELECT kf.key, n, x1, x2, a * x1 - b * x2 AS m1, b * x1 + a * x2 AS m2, a * p11 - b * p12 AS pf11, b * p11 + a * p12 AS pf12, a * p12 - b * p22 AS pf21, b * p12 + a * p22 AS pf22,
+   a * a * p11 - 2 * a * b * p12 + b * b * p22 + {QX} AS q11, a * b * p11 + (a * a - b * b) * p12 - a * b * p22 AS q12, b * b * p11 + 2 * a * b * p12 + a * a * p22 + {QX} AS q22
+  FROM kf JOIN co ON co.key = kf.key WHERE n >= 0),
+ ga AS MATERIALIZED (SELECT key, n, x1, x2, m1, m2, (pf11 * q22 - pf12 * q12) / de AS g11, (pf12 * q11 - pf11 * q12) / de AS g12, (pf21 * q22 - pf22 * q12) / de AS g21, (pf22 * q11 - pf21 * q12) / de AS g22
+  FROM (SELECT *, q11 * q22 - q12 * q12 AS de FROM fm)),
+ sm AS (SELECT key, n, x1 AS s1, x2 AS s2 FROM ga WHERE n = {EMB_N - 1}
+  UNION ALL SELECT ga.key, ga.n, x1 + g11 * (s1 - m1) + g12 * (s2 - m2), x2 + g21 * (s1 - m1) + g22 * (s2 - m2) FROM sm JOIN ga ON ga.key = sm.key AND ga.n = sm.n - 1)"""
+
+
+@query("kf_smoother", f"{REC}, {RTS} SELECT key, n, round(s1, 6) + 0.0 AS x1, round(s2, 6) + 0.0 AS x2 FROM sm")
 def kf_smoother(spark, d):
-    return K.kf_states(_model(sig_emb(spark, d)), KEY, smooth=True)
+    return _d(K.kf_states(_model(sig_emb(spark, d)), KEY, smooth=True), ["key", "n"], ["x1", "x2"])
 
 
 def _tracks(spark, d):
@@ -112,9 +123,15 @@ def lowpass(spark, d):
     return _d(K.lowpass(sig_emb(spark, d), KEY, EMB_FS, 12.0), ["key", "n"], ["y"])
 
 
-@query("hilbert_candidate")
+# The imaginary part of the analytic signal of an even number of samples, as one sum: cotangents at odd distances.
+ANALYTIC = f"""im AS (SELECT a.key, a.n, any_value(a.y) AS re, sum(CASE WHEN (a.n - b.n) % 2 <> 0 THEN b.y * 2.0 / {EMB_N} * cot(pi() * (a.n - b.n) / {EMB_N}) ELSE 0 END) AS im FROM sig a JOIN sig b ON a.key = b.key GROUP BY a.key, a.n),
+ ph AS (SELECT key, n, atan2(im, re) - lag(atan2(im, re)) OVER (PARTITION BY key ORDER BY n) AS dt FROM im),
+ hf AS (SELECT key, ((dt + pi()) - 2 * pi() * floor((dt + pi()) / (2 * pi())) - pi()) * {EMB_FS} / (2 * pi()) AS f FROM ph)"""
+
+
+@query("hilbert_candidate", f"{EMB}, {ANALYTIC} SELECT key, round(quantile_cont(f, 0.5), 5) AS hz, round(1 / (1 + stddev_pop(f)), 5) AS confidence, round(stddev_pop(f), 5) AS spread FROM hf WHERE f BETWEEN {LO} AND {HI} GROUP BY key")
 def hilbert_candidate(spark, d):
-    return K.hilbert_candidate(sig_emb(spark, d), KEY, EMB_FS, LO, HI)
+    return _d(K.hilbert_candidate(sig_emb(spark, d), KEY, EMB_FS, LO, HI), KEY, ["hz", "confidence", "spread"], 5)
 
 
 META = f"{EMB}, {ROBUST}, me AS (SELECT key, sigma, stddev_pop(y) AS s, avg(abs(y)) AS m FROM sig JOIN st USING (key) GROUP BY key, sigma)"
