@@ -492,6 +492,88 @@ def test_toxicity(spark, docs, empty):
     assert toxicity_scores(empty, labels, held(3, 1)).collect() == []
 
 
+def scores_by_text(got, sample):
+    """The scores of each text; a null text counts as empty."""
+    texts, out = {}, {}
+    for i, t, *_ in sample:
+        texts.setdefault(i, set()).add(t or "")
+    for r in got:
+        (t,) = texts[r.doc_id]
+        out.setdefault(t, set()).add(r.score)
+    return out
+
+
+@pytest.mark.parametrize("name", ["quality", "toxicity"])
+def test_scores_of_awkward_rows(spark, docs, sample, name):
+    from cadenza.llm.quality_model import quality_scores
+    from cadenza.llm.toxicity import toxicity_scores
+
+    score, mod = (quality_scores, (5, 0)) if name == "quality" else (toxicity_scores, (3, 1))
+    got = score(docs, labelled(spark)[1], held(*mod)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(x[0]) for x in sample)
+    by = scores_by_text(got, sample)
+    # Null, empty and repeated texts get one score each, whatever their row.
+    assert all(len(x) == 1 and 0 <= min(x) <= 1 for x in by.values()) and "" in by
+    assert all(r.held_out is False for r in got if r.doc_id is None)
+
+
+def test_discriminant_brute_force(spark):
+    from cadenza.llm import quality_model as Q
+
+    d, labels = labelled(spark)
+    got = {r.doc_id: r.score for r in Q.quality_scores(d, labels, held(5, 0)).collect()}
+    texts, known = {r.doc_id: r.text for r in d.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    x = {i: Q.statistics(t) for i, t in texts.items()}
+    of = {k: np.stack([x[i] for i, q in known.items() if q == k and zlib.crc32(str(i).encode()) % 5]) for k in (0, 1)}
+    cov = {k: np.cov(v.T, bias=True) for k, v in of.items()}
+    n = {k: len(v) for k, v in of.items()}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    pooled = pooled * np.where(np.eye(len(pooled), dtype=bool), 1, 1 - Q.DIAGONAL)
+    full = {k: (1 - Q.POOLED) * cov[k] + Q.POOLED * pooled + Q.FLOOR**2 * np.eye(len(pooled)) for k in cov}
+
+    def density(v, k):
+        away = v - of[k].mean(0)
+        return np.log(n[k] / (n[0] + n[1])) - 0.5 * np.linalg.slogdet(full[k])[1] - 0.5 * away @ np.linalg.solve(full[k], away)
+
+    for i, v in x.items():
+        odds = np.clip(density(v, 1) - density(v, 0), -500, 500)
+        assert abs(got[i] - 1 / (1 + np.exp(-odds))) < 1e-6
+
+
+def test_trees_brute_force(monkeypatch):
+    from cadenza.llm import toxicity as T
+
+    monkeypatch.setattr(T, "TREES", 4)
+    rng = np.random.default_rng(3)
+    x = np.c_[rng.normal(size=(400, 3)), rng.integers(0, 3, 400), np.zeros(400)]
+    y = (x[:, 0] + (x[:, 3] == 2) + rng.normal(0, 0.5, 400) > 0.5).astype(float)
+    model = T.Trees(x, y)
+
+    def leaf(g, h):
+        return g.sum() ** 2 / (h.sum() + 1)
+
+    def grow(rows, g, h, depth):
+        """Step of each row: every threshold of every feature is tried on the values themselves."""
+        best, side = 1e-3, None
+        for j, edges in enumerate(model.edges if depth < T.DEPTH else []):
+            for e in edges:
+                right = x[rows, j] >= e
+                if min(right.sum(), (~right).sum()) >= T.LEAF:
+                    gain = leaf(g[rows][right], h[rows][right]) + leaf(g[rows][~right], h[rows][~right]) - leaf(g[rows], h[rows])
+                    if gain > best + 1e-12:
+                        best, side = gain, right
+        if side is None:
+            return [(rows, T.RATE * g[rows].sum() / (h[rows].sum() + 1))]
+        return grow(rows[~side], g, h, depth + 1) + grow(rows[side], g, h, depth + 1)
+
+    f = np.full(len(y), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-f))
+        for rows, step in grow(np.arange(len(y)), y - p, np.maximum(p * (1 - p), 1e-6), 0):
+            f[rows] += step
+    assert np.abs(model.margin(x) - f).max() < 1e-9
+
+
 def test_isotonic_and_disguise():
     from cadenza.llm.toxicity import isotonic, plain
 
