@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from cadenza.llm.windows import RANGE, covered, gram_hashes, repeated_runs, rows_of, segments, shards, with_ranges
 
 GRAM, LONGEST = 64, 256
+#: Stretches of up to so many widths share a transform.
+PARTS = (1.25,)
+#: Bytes of segments that are taken at a time: rounds cost the same for few bytes as for some more.
+SHARD = 4_000_000
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -155,11 +159,18 @@ def shard_repeats(b: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
     if not len(todo):
         return
     pick, first, last = _candidates(list(todo["seg"]), width)
-    todo, alone = todo.iloc[pick], alone[pick]
-    if alone.any():
-        segs = [x[a : b + width] for x, a, b in zip(todo["seg"], first.tolist(), last.tolist(), strict=True)]
+    todo, alone, n = todo.iloc[pick], alone[pick], last - first + width
+    # Only keys with something to decide; stretches of keys that are as long share a transform, as its rounds are as
+    # many as the longest has bytes and each passes over all that it holds.
+    keys = pd.DataFrame({"key": todo["key"].to_numpy(), "n": n, "alone": alone}).groupby("key").transform("max")
+    part = np.where(keys["alone"], np.searchsorted(np.multiply(PARTS, width), keys["n"]), -1)
+    for k in range(len(PARTS) + 1):
+        own = np.flatnonzero(part == k)
+        if not len(own):
+            continue
+        segs = [x[i : i + size] for x, i, size in zip(todo["seg"].iloc[own], first[own].tolist(), n[own].tolist(), strict=True)]
         out = []
-        for r, skip, mine, flags in zip(todo[RANGE].itertuples(index=False), first.tolist(), alone, repeats_by_bwt(segs, width), strict=True):
+        for r, skip, mine, flags in zip(todo.iloc[own][RANGE].itertuples(index=False), first[own].tolist(), alone[own], repeats_by_bwt(segs, width), strict=True):
             if mine:
                 out += [(r.did, r.row, r.start + skip + s, k) for s, k in _spans(flags)]
         yield pd.DataFrame(out, columns=RANGE)
@@ -167,7 +178,7 @@ def shard_repeats(b: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
 
 def _shard(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for counts, b in shards(batches):
+        for counts, b in shards(batches, SHARD):
             yield from shard_repeats(b, width) if counts else [b]
 
     return run

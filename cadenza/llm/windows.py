@@ -273,8 +273,8 @@ def segments(rows: DataFrame, found: DataFrame, pieces: Callable, width: int, sa
 RANGE = ["did", "row", "start", "n"]
 
 
-def shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:
-    """(False, sure ranges) as they come, and (True, shard): segments that count, SHARD bytes or so, no key in two."""
+def shards(batches: Iterator[pd.DataFrame], size_bound: int | None = None) -> Iterator[tuple[bool, pd.DataFrame]]:
+    """(False, sure ranges) as they come, and (True, shard): segments that count, size_bound (SHARD) bytes or so, no key in two."""
     held: list[pd.DataFrame] = []
     size = 0
     for b in batches:
@@ -288,7 +288,7 @@ def shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame
         edges = np.flatnonzero(np.r_[not held or held[-1]["key"].iloc[-1] != key[0], key[1:] != key[:-1]])
         lo = 0
         for e in edges.tolist():  # a shard may end before a new key
-            if size + (ends[e - 1] if e else 0) - (ends[lo - 1] if lo else 0) >= SHARD:
+            if size + (ends[e - 1] if e else 0) - (ends[lo - 1] if lo else 0) >= (size_bound or SHARD):
                 yield True, pd.concat([*held, b[lo:e]], ignore_index=True)
                 held, size, lo = [], 0, e
         held.append(b[lo:])
