@@ -81,6 +81,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), width=200)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.periodic_runs import planted, run_digests
+
+    return run_digests(planted(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -159,6 +165,33 @@ FROM w LEFT JOIN t ON t.doc_id = w.doc_id
 )
 
 
+#: crc32 bit by bit (numbers from 0 up are bytes that enter, -1 is a step); 3988292384 is its fixed polynomial.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(i) + 1), lambda k: [ord(i[k]), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
+# Equal words q apart, in stretches: one of m places is a run of m + q words; a run inside one of smaller period goes.
+_OP13 = (
+    "WITH w AS (SELECT doc_id, doc_id::VARCHAR AS i, "
+    + _WORDS.format(t="coalesce(text, '')")
+    + " AS ws FROM documents), h AS (SELECT doc_id, ws, len(ws) AS n, "
+    + _CRC
+    + """ AS h FROM w),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM h),
+t AS MATERIALIZED (SELECT doc_id, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS ws FROM a),
+x AS MATERIALIZED (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM t),
+e AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND a.i < b.i),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM e)
+      GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS MATERIALIZED (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.q < s.q AND o.start <= s.start AND o.start + o.length >= s.start + s.length)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+d AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines,
+        arg_max({'s': start, 'l': length, 'q': q}, {'l': length, 's': -start, 'q': -q}) AS top FROM r GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.q AS period, 1000 * top.l // top.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN d ON d.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id
+"""
+)
+
+
 def _op9() -> str:
     from cadenza.llm.quality_rules import METRICS, REACH
 
@@ -169,4 +202,4 @@ def _op9() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": _OP4, "op5_exact_dedup": _OP5, "op7_substring_dedup": _OP7, "op9_quality_rules": _op9()}
+    return {"op4_near_dedup": _OP4, "op5_exact_dedup": _OP5, "op7_substring_dedup": _OP7, "op9_quality_rules": _op9(), "op13_periodic_runs": _OP13}
