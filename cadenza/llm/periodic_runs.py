@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from bisect import bisect, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -207,7 +208,7 @@ def text_runs(texts: list[list[bytes]]) -> Iterator[tuple[list[bytes], np.ndarra
         part = texts[lo:hi]
         n = np.array([len(w) for w in part], np.int64)
         names = _Ids()
-        ids = np.fromiter((names[w] for t in part for w in t), np.int64, int(n.sum()))
+        ids = np.fromiter(map(names.__getitem__, chain.from_iterable(part)), np.int64, int(n.sum()))
         start = np.cumsum(n) - n
         owner = np.repeat(np.arange(len(part)), n)
         left = np.repeat(start + n, n) - np.arange(len(ids))
