@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sliced(batches: Iterator[pd.DataFrame], chars: int, rows: int = 1 << 30) -> Iterator[pd.DataFrame]:
+    """Arrow batches as frames of at most so many characters of text (or one text) and so many rows."""
+    for b in batches:
+        lo = total = 0
+        for i, n in enumerate(b["text"].str.len().fillna(0).astype("int64").tolist()):
+            if i > lo and (total + n > chars or i - lo >= rows):
+                yield b.iloc[lo:i]
+                lo, total = i, 0
+            total += n
+        if lo < len(b):
+            yield b.iloc[lo:]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

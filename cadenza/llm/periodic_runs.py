@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SPACE, crc_of_id, id_and_text
+from cadenza.llm.common import SPACE, crc_of_id, id_and_text, sliced
 
 #: A run has at least so many words, and at least so many periods.
 LEAST, EXPONENT = 6, 4
@@ -29,6 +29,8 @@ LEAST, EXPONENT = 6, 4
 GRAM = 5
 #: Words sorted together (a longer text is a batch of its own).
 BATCH_WORDS = 400_000
+#: Characters whose words are held at a time (or one text).
+SLICE_CHARS = 4_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,7 +227,7 @@ def text_runs(texts: list[list[bytes]]) -> Iterator[tuple[list[bytes], np.ndarra
 
 
 def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in sliced(batches, SLICE_CHARS):
         words = [(t or "").encode("utf-8", "surrogatepass").split() for t in b["text"]]
         runs, kept = [], []
         for w, rows, keep in text_runs(words):

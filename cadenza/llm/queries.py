@@ -81,6 +81,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), width=200)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.alignment import alignment
+
+    return alignment(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cadenza.llm.periodic_runs import planted, run_digests
 
