@@ -87,6 +87,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"), width=3, threshold=0.9)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cadenza.llm.periodic_runs import planted, run_digests
 
@@ -156,6 +162,7 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, w.doc_id) AS comp
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
 """
 )
+_OP12 = _OP4.replace("85 *", "90 *").replace(", coalesce(c.c, w.doc_id) = w.doc_id AS kept", "")
 _OP7 = (
     "WITH w AS (SELECT doc_id, "
     + _WORDS.format(t="coalesce(text, '')")
@@ -208,4 +215,4 @@ def _op9() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": _OP4, "op5_exact_dedup": _OP5, "op7_substring_dedup": _OP7, "op9_quality_rules": _op9(), "op13_periodic_runs": _OP13}
+    return {"op4_near_dedup": _OP4, "op5_exact_dedup": _OP5, "op7_substring_dedup": _OP7, "op9_quality_rules": _op9(), "op12_ngram_join": _OP12, "op13_periodic_runs": _OP13}

@@ -111,6 +111,74 @@ def test_merged_runs():
         assert keys == sorted(want) and [c for _, x in blocks for c in x.tolist()] == [want[k] for k in keys]
 
 
+# ---- 12 ------------------------------------------------------------------------------------------------------------
+
+
+def brute_components(rows, width, num):
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x and y and 100 * min(len(x), len(y)) >= num * max(len(x), len(y)):
+                c = len(x & y)
+                if 100 * c >= num * (len(x) + len(y) - c):
+                    root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, r in enumerate(rows):
+        least[find(i)].append((r[0] is None, r[0] or 0, r[0]))
+    return Counter((r[0], len(sets[i]), min(least[find(i)])[2]) for i, r in enumerate(rows))
+
+
+def edited(rng, base, edits, vocabulary):
+    w = list(base)
+    for _ in range(edits):
+        w[rng.randrange(len(w))] = f"e{rng.randrange(vocabulary)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
+def test_ngram_join(docs, empty, sample, width, num):
+    from cadenza.llm.ngram_join import ngram_join
+
+    got = Counter(map(tuple, ngram_join(docs, width=width, threshold=num / 100).collect()))
+    assert got == brute_components([r[:2] for r in sample], width, num)
+    assert ngram_join(empty, width=width, threshold=num / 100).collect() == []
+
+
+def test_ngram_join_frequent_tokens(spark, monkeypatch):
+    """Chains of near copies, one passage in many texts and texts of one template: lists stay open, are parted by
+    combinations and at last compared in blocks."""
+    from cadenza.llm import ngram_join as J
+
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    chain, texts = list(base), []
+    for i in range(40):
+        chain[rng.randrange(len(chain))] = f"c{i}"
+        texts.append(" ".join(chain))
+    texts += [edited(rng, base, rng.randrange(5), 9) for _ in range(60)]
+    passage = " ".join(f"p{i}" for i in range(90))
+    texts += [passage + " " + " ".join(f"q{rng.randrange(300)}" for _ in range(12)) for _ in range(50)]
+    texts += [" ".join(f"v{k}{rng.randrange(3)}" if k % 12 == 0 else f"t{k}" for k in range(90)) for _ in range(160)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(J, "RARE", 6)
+    want = brute_components(rows, 3, 90)
+    monkeypatch.setattr(J, "LONGEST", 2)
+    assert Counter(map(tuple, J.ngram_join(d, width=3, threshold=0.9).collect())) == want
+
+
 # ---- 13 ------------------------------------------------------------------------------------------------------------
 
 
