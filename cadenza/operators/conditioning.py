@@ -1,5 +1,5 @@
 """Conditioning of long signals (keys, n, y): grids, trends, scales, windows. Built-in functions, but for the
-recursion of ema.
+recursion of ema, which scans its chunks.
 
 Statistics of a key are one aggregation joined back, so a long key is summed map-side and never gathered; windows use
 one partitioning and order, so chained ones share a shuffle and a sort.
@@ -8,14 +8,12 @@ one partitioning and order, so chained ones share a shuffle and a sort.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import clip, finite
+from cadenza.operators import scans
 
 Keys = list[str]
 
@@ -138,26 +136,7 @@ def signal_stats(signal: DataFrame, keys: Keys) -> DataFrame:
     )
 
 
-def ema(signal: DataFrame, keys: Keys, alpha: float) -> DataFrame:
-    """Exponential smoothing, the keys of a batch stepped together. alpha outside (0, 1): as is. A missing sample (null
-    or NaN) gives null, and smoothing starts anew after it. One key's series must fit a task."""
-    if not 0 < alpha < 1:
-        return signal.select(*keys, "n", "y")
-    packed = signal.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "y"))).alias("_s"))
-    packed = packed.select(*keys, F.transform("_s", lambda s: s["n"]).alias("n"), F.transform("_s", lambda s: s["y"]).alias("y"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            length = b["y"].map(len).to_numpy()
-            y = np.full((len(b), length.max()), np.nan)
-            for i, v in enumerate(b["y"]):
-                y[i, : len(v)] = np.asarray(v, float)
-            for t in range(1, y.shape[1]):
-                y[:, t] = np.where(np.isnan(y[:, t - 1]), y[:, t], alpha * y[:, t - 1] + (1 - alpha) * y[:, t])
-            yield b.assign(y=[y[i, :k] for i, k in enumerate(length)])
-
-    done = packed.mapInPandas(run, packed.schema)
-    y = F.when(~F.isnan("r.y"), F.col("r.y"))
-    return done.select(*keys, F.explode(F.arrays_zip("n", "y")).alias("r")).select(*keys, "r.n", y.alias("y"))
+def ema(signal: DataFrame, keys: Keys, alpha: float, size: int = scans.CHUNK) -> DataFrame:
+    """Exponential smoothing, by chunks of size places. alpha outside (0, 1): as is. A missing sample (null or NaN)
+    gives null, and smoothing starts anew after it."""
+    return scans.exponential(signal, keys, alpha, size) if 0 < alpha < 1 else signal.select(*keys, "n", "y")

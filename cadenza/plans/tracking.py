@@ -18,6 +18,8 @@ from cadenza.sources.shared import stored
 
 KEY = ["key"]
 RHO, QX, RV = 0.98, 0.01, 0.05
+#: The vectors' 64 samples are scanned in two chunks, so that these queries carry states over.
+SIZE = 32
 
 
 def _d(df, by, cols, places=6):
@@ -41,7 +43,7 @@ REC = f"WITH RECURSIVE sig AS ({SIG_EMB}), {KF}"
 
 @query("kf_filter", f"{REC} SELECT key, n, round(x1, 6) + 0.0 AS x1, round(x2, 6) + 0.0 AS x2 FROM kf WHERE n >= 0")
 def kf_filter(spark, d):
-    return _d(K.kf_states(_model(sig_emb(spark, d)), KEY), ["key", "n"], ["x1", "x2"])
+    return _d(K.kf_states(_model(sig_emb(spark, d)), KEY, size=SIZE), ["key", "n"], ["x1", "x2"])
 
 
 # The backward pass: pf is the filtered covariance times the transposed rotation, its product with the inverse of the
@@ -57,7 +59,7 @@ RTS = f"""fm AS MATERIALIZED (SELECT kf.key, n, x1, x2, a * x1 - b * x2 AS m1, b
 
 @query("kf_smoother", f"{REC}, {RTS} SELECT key, n, round(s1, 6) + 0.0 AS x1, round(s2, 6) + 0.0 AS x2 FROM sm")
 def kf_smoother(spark, d):
-    return _d(K.kf_states(_model(sig_emb(spark, d)), KEY, smooth=True), ["key", "n"], ["x1", "x2"])
+    return _d(K.kf_states(_model(sig_emb(spark, d)), KEY, smooth=True, size=SIZE), ["key", "n"], ["x1", "x2"])
 
 
 def _tracks(spark, d):
@@ -106,7 +108,7 @@ def bandpass_gust(spark, d):
 
 @query("bandpass_pad")
 def bandpass_pad(spark, d):
-    return K.bandpass(sig_emb(spark, d), KEY, EMB_FS, LO, HI)
+    return K.bandpass(sig_emb(spark, d), KEY, EMB_FS, LO, HI, size=SIZE)
 
 
 def _lowpass_sql() -> str:
@@ -120,7 +122,7 @@ def _lowpass_sql() -> str:
 
 @query("lowpass", _lowpass_sql())
 def lowpass(spark, d):
-    return _d(K.lowpass(sig_emb(spark, d), KEY, EMB_FS, 12.0), ["key", "n"], ["y"])
+    return _d(K.lowpass(sig_emb(spark, d), KEY, EMB_FS, 12.0, size=SIZE), ["key", "n"], ["y"])
 
 
 # The imaginary part of the analytic signal of an even number of samples, as one sum: cotangents at odd distances.
