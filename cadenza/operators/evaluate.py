@@ -7,23 +7,38 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import finite
 from cadenza.operators.conditioning import Keys
+from cadenza.sources.shared import stored
 
 METRICS = ["RMSE", "MAE", "MAPE", "MAX", "R", "CCC"]
 
 
-def nearest_match(es: DataFrame, gt: DataFrame, keys: Keys, t: str = "t", idx: str = "idx", value: str = "v") -> DataFrame:
+def nearest_match(es: DataFrame, gt: DataFrame, keys: Keys, t: str = "t", idx: str = "idx", value: str = "v", slots: int | None = None) -> DataFrame:
     """Every estimate with the truth nearest in time (the lowest truth index on ties): keys, idx, t, es, gt, gt_idx.
 
-    Truth is folded to one row per time, united with the estimates and looked up both ways in one ordered window: one
-    shuffle, no range join. Estimates of keys without truth get nulls.
+    Truth is folded to one row per time and united with the estimates. Key and time are cut into slots, ranges of about
+    equally many rows by sampled splitters, so a key that holds most of the rows is spread over as many tasks; within a
+    slot one ordered window looks both ways. What a slot's borders hide, its last and first truth, is carried over: one
+    row for a key and slot, filled along the key. No range join. Estimates of keys without truth get nulls. slots: how
+    many (else as many as there are shuffle partitions).
     """
     one = gt.groupBy(*keys, t).agg(F.min_by(F.struct(F.col(t).alias("t"), F.col(idx).alias("i"), F.col(value).alias("v")), idx).alias("g"))
     both = es.select(*keys, t, idx, F.col(value).alias("es"), F.lit(None).cast(one.schema["g"].dataType).alias("g"), F.lit(1).alias("side"))
     both = both.unionByName(one.select(*keys, t, F.lit(None).cast(dict(es.dtypes)[idx]).alias(idx), F.lit(None).cast(dict(es.dtypes)[value]).alias("es"), "g", F.lit(0).alias("side")))
-    w = Window.partitionBy(*keys).orderBy(t, "side")
+    slots = slots or int(es.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, so that both readers see the same slots.
+    dealt = stored(both.repartitionByRange(slots, *keys, t).withColumn("_slot", F.spark_partition_id()))
+    border = dealt.groupBy(*keys, "_slot").agg(F.max_by("g", F.when(F.col("side") == 0, F.col(t))).alias("_last"), F.min_by("g", F.when(F.col("side") == 0, F.col(t))).alias("_first"))
+    k = Window.partitionBy(*keys).orderBy("_slot")
+    border = border.select(*keys, "_slot", F.last("_last", ignorenulls=True).over(k.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", ignorenulls=True).over(k.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    w = Window.partitionBy(*keys, "_slot").orderBy(t, "side")
     before = F.last("g", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("g", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    m = both.withColumn("b", before).withColumn("a", after).where("side = 1")
+    m = dealt.withColumn("b", before).withColumn("a", after).where("side = 1")
+    same = F.col("_slot") == F.col("_at")
+    for i, c in enumerate(keys):  # keys may be null
+        border, same = border.withColumnRenamed(c, f"_k{i}"), same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    m = m.join(border.withColumnRenamed("_slot", "_at"), same)
+    m = m.withColumn("b", F.coalesce("b", "_before")).withColumn("a", F.coalesce("a", "_after"))
     db, da = F.col(t) - F.col("b.t"), F.col("a.t") - F.col(t)
     first = F.col("a.t").isNull() | (db < da) | ((db == da) & (F.col("b.i") <= F.col("a.i")))
     pick = F.when(F.col("b.t").isNotNull() & first, F.col("b")).otherwise(F.col("a"))

@@ -1,22 +1,27 @@
 """Spectra and rate estimators on long signals (keys, n, y).
 
-A transform is a join of the samples with a broadcast frequency grid (its size is the caller's band, checked against
-GRID_LIMIT) and a sum per (key, frequency), which is pre-aggregated map-side.
+Windows are cut, tapered and transformed in numpy, all those of a chunk of a series at once; a chunk carries the samples
+that its last windows reach beyond it, so samples are copied once and not for each window. Correlations are sums over
+pairs of blocks, each by one transform. dft, for single bins, is a join of the samples with a broadcast grid of bins.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import clip, finite
 from cadenza.operators.conditioning import Keys, sliding_windows, with_stats
 
-#: The most frequencies or lags that a grid may have: it is broadcast.
+#: The most bins that dft may be asked for: their list is broadcast.
 GRID_LIMIT = 100_000
+#: Samples of a block of a correlation, and the least of a chunk of windows.
+BLOCK = 16_384
 #: The symmetric Blackman-Harris window's coefficients.
 BLACKMAN_HARRIS = (0.35875, 0.48829, 0.14128, 0.01168)
 
@@ -40,6 +45,55 @@ def band_bins(lo: float, hi: float, fs: float, nfft: int, closed: bool = True) -
     return (inside[0], inside[-1]) if inside else (0, -1)
 
 
+def spectra(signal: DataFrame, keys: Keys, fs: float, width: int, stride: int, tapers: np.ndarray, nfft: int, k_lo: int, k_hi: int, per_window: bool = True) -> DataFrame:
+    """keys, win, t_center, freq, power (density) of the bins k_lo to k_hi of full windows less their mean, averaged over
+    the tapers (one row each); or (per_window false) keys, freq, power averaged over the windows too.
+
+    A key's places n begin at 0. Windows that a chunk's places begin are cut from it and from the width - stride samples
+    after it. Missing samples count as the window's mean.
+    """
+    size = max(1, round(max(BLOCK, 8 * width) / stride)) * stride
+    names = [f"_k{i}" for i in range(len(keys))]
+    kinds = dict(signal.dtypes)
+    at = F.floor(F.col("n") / size).cast("long")
+    # A sample within reach of the end of the chunk before goes there too.
+    lent = F.when(F.col("n") - at * size < width - 1, F.array(at - 1, at)).otherwise(F.array(at))
+    rows = signal.select(*[F.col(k).alias(a) for k, a in zip(keys, names, strict=True)], "n", F.col("y").cast("double").alias("y"), F.explode(lent).alias("chunk")).where("chunk >= 0")
+    chunks = rows.groupBy(*names, "chunk").agg(F.array_sort(F.collect_list(F.struct("n", "y"))).alias("s")).select(*names, "chunk", F.col("s.n").alias("n"), F.col("s.y").alias("y"))
+    ks = np.arange(k_lo, k_hi + 1)
+    scale = np.where((ks == 0) | (2 * ks == nfft), 1.0, 2.0) / fs
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, (chunk, n, y) in enumerate(zip(b["chunk"], b["n"], b["y"], strict=True)):
+                place = np.asarray(n, np.int64) - chunk * size
+                x = np.full(int(place[-1]) + 1, np.nan)
+                x[place] = np.asarray(y, float)
+                if len(x) < width:
+                    continue
+                w = np.lib.stride_tricks.sliding_window_view(x, width)[::stride][: size // stride]
+                w = w - np.nanmean(w, axis=1, keepdims=True)
+                w = np.where(np.isnan(w), 0.0, w)
+                power = np.zeros((len(w), len(ks)))
+                for h in tapers:
+                    power += np.abs(np.fft.rfft(w * h, nfft, axis=1)[:, k_lo : k_hi + 1]) ** 2 if nfft >= width else np.abs((w * h) @ np.exp(-2j * np.pi / nfft * np.outer(np.arange(width), ks))) ** 2
+                power *= scale / len(tapers)
+                if per_window:
+                    out += [(i, chunk * (size // stride) + j, p) for j, p in enumerate(power)]
+                else:
+                    out.append((i, len(power), power.sum(0)))
+            f = b[names].iloc[[o[0] for o in out]].reset_index(drop=True)
+            yield f.assign(win=[int(o[1]) for o in out], power=[o[2] for o in out])
+
+    schema = "".join(f"`{a}` {kinds[k]}, " for k, a in zip(keys, names, strict=True)) + "win long, power array<double>"
+    back = [F.col(a).alias(k) for k, a in zip(keys, names, strict=True)]
+    p = chunks.mapInPandas(run, schema).select(*back, "win", F.posexplode("power").alias("_k", "power")).withColumn("freq", (F.col("_k") + k_lo) * F.lit(fs) / nfft)
+    if per_window:
+        return p.select(*keys, "win", ((F.lit(width / 2) + F.col("win") * stride) / fs).alias("t_center"), "freq", "power")
+    return p.groupBy(*keys, "freq").agg((F.sum("power") / F.sum("win")).alias("power"))
+
+
 def welch_psd(signal: DataFrame, keys: Keys, fs: float, nperseg: int, noverlap: int | None = None, nfft: int | None = None, lo: float | None = None, hi: float | None = None, closed: bool = True, per_window: bool = False) -> DataFrame:
     """keys, freq, power: averaged periodograms (periodic Hann, mean removed, density). Only the band is computed.
 
@@ -48,15 +102,8 @@ def welch_psd(signal: DataFrame, keys: Keys, fs: float, nperseg: int, noverlap:
     nfft = nfft or nperseg
     noverlap = nperseg // 2 if noverlap is None else noverlap
     k_lo, k_hi = band_bins(0 if lo is None else lo, fs if hi is None else hi, fs, nfft, closed)
-    w = sliding_windows(signal, keys, nperseg, nperseg - noverlap, fs)
-    w = with_stats(w, [*keys, "win"], _m=F.avg("y"))
-    hann = F.lit(0.5) - 0.5 * F.cos(F.lit(2 * math.pi / nperseg) * F.col("i"))
-    w = w.withColumn("v", (F.col("y") - F.col("_m")) * hann)
-    by = [*keys, "win", "t_center"]
-    d = dft(w.select(*by, "i", "v"), by, k_lo, k_hi, nfft, "i", "v")
-    one = F.when((F.col("k") == 0) | (2 * F.col("k") == nfft), 1.0).otherwise(2.0)
-    d = d.select(*by, (F.col("k") * F.lit(fs) / nfft).alias("freq"), ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * one / (fs * 0.375 * nperseg)).alias("power"))
-    return d if per_window else d.groupBy(*keys, "freq").agg(F.avg("power").alias("power"))
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi / nperseg * np.arange(nperseg))
+    return spectra(signal, keys, fs, nperseg, nperseg - noverlap, hann[None] / math.sqrt(0.375 * nperseg), nfft, k_lo, k_hi, per_window)
 
 
 def peak(psd: DataFrame, keys: Keys) -> DataFrame:
@@ -77,11 +124,44 @@ def welch_candidate(signal: DataFrame, keys: Keys, fs: float, total: int, lo: fl
     return p.select(*keys, F.col("p.freq").alias("hz"), clip(ratio / 4, 0.0, 5.0).alias("confidence"), ratio.alias("ratio"))
 
 
-def autocorrelation(signal: DataFrame, keys: Keys, lag_lo: int, lag_hi: int) -> DataFrame:
-    """keys, lag, r: raw sums of y[n] y[n + lag] by an equi-join on the shifted place."""
-    a = signal.join(_grid(signal.sparkSession, lag_lo, lag_hi).withColumnRenamed("k", "lag"))
-    a = a.select(*keys, "lag", (F.col("n") + F.col("lag")).alias("n"), F.col("y").alias("x"))
-    return a.join(signal.select(*keys, "n", "y"), [*keys, "n"]).groupBy(*keys, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("r"))
+def autocorrelation(signal: DataFrame, keys: Keys, lag_lo: int, lag_hi: int, size: int | None = None) -> DataFrame:
+    """keys, lag, r: raw sums of y[n] y[n + lag].
+
+    Series are cut into blocks of size places; a block meets those that its lags reach, and each pair is one product of
+    transforms of twice the size (overlap-save). No task holds a series; a lag costs a row only once a pair's sums for
+    it are added up.
+    """
+    size = size or BLOCK
+    names = [f"_k{i}" for i in range(len(keys))]
+    kinds = dict(signal.dtypes)
+    b = signal.select(*[F.col(k).alias(a) for k, a in zip(keys, names, strict=True)], F.floor(F.col("n") / size).cast("long").alias("block"), (F.col("n") % size).alias("n"), F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y"))
+    b = b.groupBy(*names, "block").agg(F.collect_list(F.struct("n", "y")).alias("s")).select(*names, "block", F.col("s.n").alias("n"), F.col("s.y").alias("y"))
+    reach = F.explode(F.sequence(F.lit(max(0, (lag_lo - size + 1) // size)), F.lit((lag_hi + size - 1) // size)))
+    early = b.select(*names, reach.alias("d"), F.col("block").alias("_b"), F.col("n").alias("na"), F.col("y").alias("ya")).withColumn("block", F.col("_b") + F.col("d"))
+
+    def placed(n, y, most):
+        x = np.zeros(most)
+        x[np.asarray(n, np.int64)] = np.asarray(y, float)
+        return x
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            out = []
+            for i, (d, na, ya, n, y) in enumerate(zip(f["d"], f["na"], f["ya"], f["n"], f["y"], strict=True)):
+                most = int(max(max(na), max(n))) + 1  # shorter blocks need shorter transforms
+                x, z = placed(na, ya, most), placed(n, y, most)
+                length = 1 << (2 * most - 1).bit_length()
+                c = np.fft.irfft(np.conj(np.fft.rfft(x, length)) * np.fft.rfft(z, length), length)
+                lo, hi = max(lag_lo, d * size - most + 1, 0), min(lag_hi, d * size + most - 1)
+                if lo <= hi:
+                    out.append((i, lo, c[(np.arange(lo, hi + 1) - d * size) % length]))
+            g = f[names].iloc[[o[0] for o in out]].reset_index(drop=True)
+            yield g.assign(lo=[int(o[1]) for o in out], r=[o[2] for o in out])
+
+    schema = "".join(f"`{a}` {kinds[k]}, " for k, a in zip(keys, names, strict=True)) + "lo long, r array<double>"
+    pairs = early.join(b, [*names, "block"]).select(*names, "d", "na", "ya", "n", "y").mapInPandas(run, schema)
+    back = [F.col(a).alias(k) for k, a in zip(keys, names, strict=True)]
+    return pairs.select(*back, "lo", F.posexplode("r").alias("_i", "r")).groupBy(*keys, (F.col("lo") + F.col("_i")).cast("int").alias("lag")).agg(F.sum("r").alias("r"))
 
 
 def autocorr_candidate(signal: DataFrame, keys: Keys, fs: float, total: int, lo: float, hi: float) -> DataFrame:
@@ -149,12 +229,26 @@ def freq_crossings(signal: DataFrame, keys: Keys, fs: float) -> DataFrame:
 
 
 def freq_fft(signal: DataFrame, keys: Keys, fs: float, total: int) -> DataFrame:
-    """fs i / N at the refined peak of the Blackman-Harris magnitude spectrum."""
-    t = F.lit(2 * math.pi / (total - 1)) * F.col("n")
-    a0, a1, a2, a3 = BLACKMAN_HARRIS
-    w = F.lit(a0) - a1 * F.cos(t) + a2 * F.cos(2 * t) - a3 * F.cos(3 * t)
-    d = dft(signal.withColumn("v", F.col("y") * w), keys, 0, total // 2, total, "n", "v")
-    d = d.withColumn("mag", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
+    """fs i / N at the refined peak of the Blackman-Harris magnitude spectrum; one transform of the whole series, so one
+    key's total samples must fit a task."""
+    at = 2 * np.pi / (total - 1) * np.arange(total)
+    w = sum((-1) ** i * c * np.cos(i * at) for i, c in enumerate(BLACKMAN_HARRIS))
+    names = [f"_k{i}" for i in range(len(keys))]
+    kinds = dict(signal.dtypes)
+    s = signal.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, names, strict=True)]).agg(F.collect_list(F.struct("n", F.col("y").cast("double").alias("y"))).alias("s")).select(*names, F.col("s.n").alias("n"), F.col("s.y").alias("y"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.zeros((len(b), total))
+            for i, (n, y) in enumerate(zip(b["n"], b["y"], strict=True)):
+                x[i, np.asarray(n, np.int64)] = np.nan_to_num(np.asarray(y, float))
+            mag = np.abs(np.fft.rfft(x * w, axis=1))
+            top = mag.argmax(1)
+            part = [[{"k": int(k), "mag": float(m[k])} for k in range(max(0, p - 1), min(len(m), p + 2))] for m, p in zip(mag, top, strict=True)]
+            yield b[names].assign(near=part)
+
+    schema = "".join(f"`{a}` {kinds[k]}, " for k, a in zip(keys, names, strict=True)) + "near array<struct<k: int, mag: double>>"
+    d = s.mapInPandas(run, schema).select(*[F.col(a).alias(k) for k, a in zip(keys, names, strict=True)], F.inline("near"))
     return parabolic_peak(d, keys, "k", "mag").select(*keys, (F.col("x") * fs / total).alias("hz"))
 
 
@@ -220,11 +314,5 @@ def multitaper_spectrogram(signal: DataFrame, keys: Keys, fs: float, width: int,
     """keys, t_center, freq, power: windows less their mean, eigenspectra of 2 NW - 1 tapers averaged with equal weight."""
     nfft = nfft or width
     tapers = slepian_tapers(width, nw, int(2 * nw) - 1)
-    rows = [(int(k), int(i), float(v)) for k, t in enumerate(tapers) for i, v in enumerate(t)]
-    small = F.broadcast(signal.sparkSession.createDataFrame(rows, "taper int, i long, h double"))
-    w = with_stats(sliding_windows(signal, keys, width, stride, fs), [*keys, "win"], _m=F.avg("y"))
-    w = w.join(small, "i").withColumn("v", (F.col("y") - F.col("_m")) * F.col("h"))
     k_lo, k_hi = band_bins(lo, fs if hi is None else hi, fs, nfft)
-    d = dft(w, [*keys, "t_center", "taper"], k_lo, k_hi, nfft, "i", "v")
-    one = F.when((F.col("k") == 0) | (2 * F.col("k") == nfft), 1.0).otherwise(2.0)
-    return d.groupBy(*keys, "t_center", "k").agg(F.avg((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * one / fs).alias("power")).select(*keys, "t_center", (F.col("k") * F.lit(fs) / nfft).alias("freq"), "power")
+    return spectra(signal, keys, fs, width, stride, tapers, nfft, k_lo, k_hi).select(*keys, "t_center", "freq", "power")

@@ -79,3 +79,67 @@ def test_scans_of_empty_tables(spark):
     model = df.withColumns({c: F.lit(1.0) for c in K.MODEL})
     for out in (K.lowpass(df, KEYS, 64.0, 12.0), C.ema(df, KEYS, 0.5), K.bandpass(df, KEYS, 64.0, 4.0, 16.0), K.kf_states(model, KEYS), K.kf_states(model, KEYS, True)):
         assert out.collect() == []
+
+
+def test_nearest_match_of_one_hot_key(spark):
+    from cadenza.operators import evaluate as E
+
+    rng = np.random.default_rng(3)
+    es = pd.DataFrame({"key": "a", "t": rng.integers(0, 50_000, 3000), "idx": np.arange(3000), "v": rng.normal(size=3000)})
+    gt = pd.DataFrame({"key": "a", "t": np.r_[rng.integers(0, 9_000, 300), rng.integers(40_000, 45_000, 40)], "idx": np.arange(340), "v": rng.normal(size=340)})
+    es.loc[:4, "key"] = "none"
+    got = E.nearest_match(spark.createDataFrame(es), spark.createDataFrame(gt), KEYS, slots=16).toPandas().sort_values("idx")
+    t, i = gt["t"].to_numpy(), gt["idx"].to_numpy()
+    for key, at, found in zip(got["key"], got["t"], got["gt_idx"], strict=True):
+        if key == "none":
+            assert pd.isna(found)
+        else:
+            d = np.abs(t - at)
+            assert found == i[d == d.min()].min()
+    dealt = spark.createDataFrame(es).repartitionByRange(16, "key", "t").groupBy(F.spark_partition_id()).count()
+    assert dealt.agg(F.max("count")).first()[0] < 3000 / 4
+
+
+def test_windows_over_chunks(long, monkeypatch):
+    from cadenza.operators import spectral as S
+
+    df, y = long
+    monkeypatch.setattr(S, "BLOCK", 500)
+    got = S.welch_psd(df, KEYS, 64.0, 60, 45, 128, lo=2.0, hi=20.0, per_window=True).where("key = 'a'").orderBy("win", "freq").toPandas()
+    x = np.lib.stride_tricks.sliding_window_view(y["a"], 60)[::15]
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(60) / 60)
+    p = 2 * np.abs(np.fft.rfft((x - x.mean(1, keepdims=True)) * hann, 128)) ** 2 / (64 * 0.375 * 60)
+    assert np.allclose(got["power"].to_numpy().reshape(len(x), -1), p[:, 4:41], rtol=1e-9, atol=1e-12)
+    assert np.allclose(got["t_center"].to_numpy()[::37], (30 + 15 * np.arange(len(x))) / 64)
+    mean = S.welch_psd(df, KEYS, 64.0, 60, 45, 128, lo=2.0, hi=20.0).where("key = 'a'").orderBy("freq").toPandas()
+    assert np.allclose(mean["power"], p[:, 4:41].mean(0), rtol=1e-9)
+
+
+def test_correlation_over_blocks(long):
+    from cadenza.operators import spectral as S
+
+    df, y = long
+    for lo, hi in ((0, 30), (90, 1300)):
+        got = S.autocorrelation(df, KEYS, lo, hi, size=256).orderBy("key", "lag").toPandas()
+        for k in ("a", "b"):
+            v = y[k]
+            want = [(lag, v[: len(v) - lag] @ v[lag:]) for lag in range(lo, min(hi, len(v) - 1) + 1)]
+            g = got[got["key"] == k]
+            assert g["lag"].tolist() == [w[0] for w in want] and np.allclose(g["r"], [w[1] for w in want], atol=1e-8)
+
+
+def test_long_series_have_rates(spark):
+    from cadenza.operators import spectral as S
+
+    n = np.arange(100_000)
+    df = spark.createDataFrame(pd.DataFrame({"key": 1, "n": n, "y": np.sin(2 * np.pi * 1.7 * n / 100.0)})).repartition(4)
+    assert S.freq_autocorr(df, KEYS, 100.0, 100_000).first()["hz"] == pytest.approx(1.7, rel=1e-3)
+    assert S.freq_fft(df, KEYS, 100.0, 100_000).first()["hz"] == pytest.approx(1.7, rel=1e-6)
+
+
+def test_spectra_of_empty_tables(spark):
+    from cadenza.operators import spectral as S
+
+    df = spark.createDataFrame([], "key string, n int, y double")
+    assert S.welch_psd(df, KEYS, 64.0, 16).collect() == [] and S.freq_fft(df, KEYS, 64.0, 64).collect() == []
+    assert S.autocorrelation(df, KEYS, 0, 5).collect() == [] and S.multitaper_spectrogram(df, KEYS, 64.0, 16, 8).collect() == []
