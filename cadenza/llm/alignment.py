@@ -41,7 +41,7 @@ RADIX_BITS, FAN_IN = 9, 1_024
 #: Pairs in a frame of counts.
 FRAME = 8_192
 #: Chunks that a worker remembers.
-_CHUNKS = 400_000
+_CHUNKS = 300_000
 _META = -1
 _CLOSE = re.compile(r"(?<=\S) ")
 _AWKWARD = re.compile(r"^ |\s ")
@@ -73,48 +73,41 @@ class Encoders:
         byte = re.compile("<0x([0-9A-F]{2})>")
         self.b_bytes = [bytes([int(m[1], 16)]) if self.b.is_byte(i) and (m := byte.fullmatch(p)) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
-    def encode(self, parts: list[str]) -> Iterator[tuple[list[int], list[int], bool]]:
-        """(A ids, B ids, whether both give the chunk's bytes back) of blank + part."""
-        ours = self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
-        theirs = self.b.encode(parts, num_threads=1)
-        for p, x, y in zip(parts, ours, theirs, strict=True):
-            ids, y = x.ids, y if p else [self.blank]
-            whole = (" " + p).encode()
-            yield ids, y, b"".join(map(self.a_bytes.__getitem__, ids)) == whole and b"".join(map(self.b_bytes.__getitem__, y)) == whole
-
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-        """Groups (A ids, B ids) between places where tokens of both end, and links (A id, B id) of tokens that overlap."""
-        groups, links = [], []
-        i = j = 0
-        end_a, end_b = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
-        first = (0, 0)
-        while True:
-            links.append((a[i], b[j]))
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            i, j = i + step_a, j + step_b
-            if step_a and step_b:
-                groups.append((a[first[0] : i], b[first[1] : j]))
-                first = (i, j)
-                if i == len(a):
-                    return groups, links
-            if step_a:
-                end_a += len(self.a_bytes[a[i]])
-            if step_b:
-                end_b += len(self.b_bytes[b[j]])
+        self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
+        # Every id as text with each sign that may follow it: A's ids, then B's, four times.
+        self.texts = [f"{i}{sign}" for sign in SIGNS for size in (len(self.a_bytes), len(self.b_bytes)) for i in range(size)]
+
+    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """A's and B's ids of blank + part."""
+        ours = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        return ours, [y if p else [self.blank] for p, y in zip(parts, self.b.encode(parts, num_threads=1), strict=True)]
+
+    def whole(self, part: str, a: list[int], b: list[int]) -> bool:
+        """Whether both give the chunk's bytes back."""
+        return b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b)) == (" " + part).encode()
+
+
+#: What follows an id in the text of groups: another of its side, B's part, the next group, the next chunk.
+SIGNS = ",|;\n"
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
 
 
 class Chunks(dict):
-    """part -> number; what belongs to each number is in lists."""
+    """part -> number; what belongs to each number is in arrays."""
 
     def __init__(self, encoders: Encoders):
         super().__init__()
         self.encoders = encoders
         self.new: list[str] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # A tokens, B tokens, groups, links
         self.text: list[str] = []
-        self.good: list[bool] = []
-        self.pairs: list[np.ndarray] = []  # distinct pairs
-        self.times: list[np.ndarray] = []  # their links
+        self.sizes = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, links
+        self.good = np.zeros(0, bool)
+        self.pairs = np.zeros(0, np.int64)  # the chunks' links, one after the other
+        self.ends = np.zeros(0, np.int64)
 
     def __missing__(self, part: str) -> int:
         n = self[part] = len(self)
@@ -122,20 +115,49 @@ class Chunks(dict):
         return n
 
     def fill(self) -> None:
-        """Encodes what has been asked for."""
-        for a, b, good in self.encoders.encode(self.new):
-            groups, links = self.encoders.align(a, b) if good else ([], [])
-            self.text.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups))
-            self.sizes.append((len(a), len(b), len(groups), len(links)))
-            self.good.append(good)
-            keys = np.array([pair_key(x, y) for x, y in links], np.int64)
-            keys, times = np.unique(keys, return_counts=True)
-            self.pairs.append(keys)
-            self.times.append(times)
+        """Encodes and aligns what has been asked for, all of it side by side: where both tokenizers give a chunk back,
+        its tokens cover the same bytes, so the chunks' tokens one after the other have common offsets."""
+        if not self.new:
+            return
+        e = self.encoders
+        a, b = e.encode(self.new)
+        (flat_a, na), (flat_b, nb) = _flat(a), _flat(b)
+        good = np.ones(len(a), bool)
+        length = [np.add.reduceat(size[flat], np.cumsum(n) - n) for size, flat, n in ((e.a_size, flat_a, na), (e.b_size, flat_b, nb))]
+        raw = [b"".join(map(of.__getitem__, flat.tolist())) for of, flat in ((e.a_bytes, flat_a), (e.b_bytes, flat_b))]
+        if (length[0] != length[1]).any() or not raw[0] == raw[1] == "".join([" " + p for p in self.new]).encode():
+            good = np.array([e.whole(p, x, y) for p, x, y in zip(self.new, a, b, strict=True)])
+            (flat_a, na), (flat_b, nb) = (_flat([x if g else [] for x, g in zip(y, good.tolist(), strict=True)]) for y in (a, b))
+        texts, counts, pairs = _aligned(e, flat_a, na, flat_b, nb)
+        self.text += texts
+        self.sizes = np.concatenate([self.sizes, counts])
+        self.good = np.r_[self.good, good]
+        self.ends = np.r_[self.ends, (self.ends[-1] if len(self.ends) else 0) + np.cumsum(counts[:, 3])]
+        self.pairs = np.r_[self.pairs, pairs]
         self.new.clear()
 
 
-def pair_key(a: int, b: int) -> int:
+def _aligned(e: Encoders, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of chunks whose tokens (a, na for each; b, nb) cover the same bytes: the groups between offsets where tokens of
+    both end, as text; the numbers of A tokens, B tokens, groups and links; the links (tokens that overlap), by chunk."""
+    end_a, end_b = np.cumsum(e.a_size[a]), np.cumsum(e.b_size[b])
+    stop_a, stop_b = np.isin(end_a, end_b), np.isin(end_b, end_a)
+    group_a, group_b = np.cumsum(stop_a) - stop_a, np.cumsum(stop_b) - stop_b
+    owner_a, owner_b = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    first = np.searchsorted(end_a, end_b - e.b_size[b], "right")
+    links = np.searchsorted(end_a - e.a_size[a], end_b, "left") - first
+    which = np.repeat(first - (np.cumsum(links) - links), links) + np.arange(int(links.sum()))
+    pairs = pair_key(a[which], np.repeat(b, links))
+    counts = np.stack([na, nb, np.bincount(owner_b[stop_b], minlength=len(nb)), np.bincount(owner_b, weights=links, minlength=len(nb)).astype(np.int64)], 1)
+    last = np.r_[owner_b[1:] != owner_b[:-1], [True] * min(1, len(b))].astype(bool)
+    sign = np.r_[np.where(stop_a, 1, 0), np.where(last, 3, np.where(stop_b, 2, 0))]
+    names = np.r_[a, b + len(e.a_bytes)] + sign * (len(e.a_bytes) + len(e.b_bytes))
+    order = np.lexsort((np.r_[np.zeros(len(a), bool), np.ones(len(b), bool)], np.r_[group_a, group_b]))
+    lines = iter("".join(map(e.texts.__getitem__, names[order].tolist())).split("\n"))
+    return [next(lines) if n else "" for n in nb.tolist()], counts, pairs
+
+
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Pairs in order of their radix, then B id, then A id."""
     return (b & ((1 << RADIX_BITS) - 1)) << (2 * BITS) | b << BITS | a
 
@@ -269,15 +291,14 @@ def _records(spec, model):
             cache = _chunks_of(spec, model)
             ids, n = _numbered(b["text"], cache)
             used, at = np.unique(ids, return_inverse=True)
-            picked = used.tolist()
             owner = np.repeat(np.arange(len(b)), n)
-            good = np.array([cache.good[c] for c in picked], bool)
+            good = cache.good[used]
             bad = np.bincount(owner[~good[at]], minlength=len(b)) > 0
             live = ~bad[owner]
-            size = np.array([cache.sizes[c] for c in picked], np.int64).reshape(-1, 4)
+            size = cache.sizes[used]
             totals = np.zeros((len(b), 4), np.int64)
             np.add.at(totals, owner[live], size[at[live]])
-            texts, start = [cache.text[c] for c in picked], np.cumsum(n) - n
+            texts, start = [cache.text[c] for c in used.tolist()], np.cumsum(n) - n
             place = at.tolist()
             sha = [hashlib.sha256(";".join(map(texts.__getitem__, place[s : s + m])).encode()).hexdigest() if m and not x else "" for s, m, x in zip(start.tolist(), n.tolist(), bad, strict=True)]
             meta = pa.table({"doc_id": pa.array(b["doc_id"], pa.int64(), from_pandas=True), **{c: totals[:, i] for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}, "groups_sha256": sha})
@@ -288,15 +309,13 @@ def _records(spec, model):
             # Documents' distinct chunks, then their distinct pairs.
             both, times = np.unique(owner[live] * max(1, len(used)) + at[live], return_counts=True)
             doc, chunk = both // max(1, len(used)), both % max(1, len(used))
-            count = np.array([len(cache.pairs[c]) for c in picked], np.int64)
-            base = np.cumsum(count) - count
-            every = np.concatenate([cache.pairs[c] for c in picked]) if picked else np.empty(0, np.int64)
-            each = np.concatenate([cache.times[c] for c in picked]) if picked else np.empty(0, np.int64)
-            names, local = np.unique(every, return_inverse=True)
+            count = size[:, 3]
+            base = cache.ends[used] - count
+            names, local = np.unique(cache.pairs, return_inverse=True)
             spread = count[chunk]
             where = np.repeat(base[chunk] - (np.cumsum(spread) - spread), spread) + np.arange(int(spread.sum()))
             key, back = np.unique(local[where] * len(b) + np.repeat(doc, spread), return_inverse=True)
-            links = np.bincount(back, weights=each[where] * np.repeat(times, spread), minlength=len(key)).astype(np.int64)
+            links = np.bincount(back, weights=np.repeat(times, spread), minlength=len(key)).astype(np.int64)
             pair, doc = key // len(b), key % len(b)
             present, docs_of = np.unique(pair, return_counts=True)
             ends = np.cumsum(docs_of)
@@ -424,7 +443,7 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
             ids, n = _numbered(b["text"], cache)
             ends, place = np.cumsum(n), ids.tolist()
             parts = [place[e - m : e] for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "groups": [";".join(map(cache.text.__getitem__, p)) if all(map(cache.good.__getitem__, p)) else "" for p in parts]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "groups": [";".join(map(cache.text.__getitem__, p)) if cache.good[p].all() else "" for p in parts]})
 
     return id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, groups string")
 
