@@ -220,10 +220,34 @@ def phase_amplitude_coupling(spark, d):
     return r.select("key", digits(F.col("a0"), 5).alias("a0"), digits(F.col("k"), 5).alias("k"), digits(F.col("phi_mod"), 4).alias("phi_mod"))
 
 
-@query("block_append")
+#: Four models of two oscillators each (cycles of 64 samples, damping, noise), dealt to the keys in turn.
+BLOCKS = [(m, c, a, 2 * math.pi * cycles / 64, q) for m in range(4) for c, (a, cycles, q) in enumerate([(0.98, 5 + m, 0.01), (0.95, 13 + m, 0.02)])]
+
+
+def _block_sql() -> str:
+    """Four means and ten covariances, sample by sample; co has each model's rotations."""
+    ij = [(i, j) for i in range(4) for j in range(i, 4)]
+    p = lambda i, j: f"p{min(i, j)}{max(i, j)}"
+    q = lambda i: f"q{i // 2}"
+    f = lambda i: {2 * (i // 2): (f"c{i // 2}" if i % 2 == 0 else f"s{i // 2}"), 2 * (i // 2) + 1: (f"-s{i // 2}" if i % 2 == 0 else f"c{i // 2}")}
+    co = ", ".join(f"({m}, " + ", ".join(f"{v!r}::DOUBLE" for _, c, a, w, noise in BLOCKS if _ == m for v in (a * math.cos(w), a * math.sin(w), noise)) + ")" for m in range(4))
+    start = ", ".join(["0.0::DOUBLE AS x%d" % i for i in range(4)] + [f"{'(' + q(i) + ')' if i == j else '0.0::DOUBLE'} AS {p(i, j)}" for i, j in ij])
+    m = ", ".join("(" + " + ".join(f"{v} * x{k}" for k, v in f(i).items()) + f") AS m{i}" for i in range(4))
+    a = ", ".join("(" + " + ".join(f"{v} * {u} * {p(k, n)}" for k, v in f(i).items() for n, u in f(j).items()) + (f" + {q(i)}" if i == j else "") + f") AS a{i}{j}" for i, j in ij)
+    g = lambda i: f"(a{min(i, 0)}{max(i, 0)} + a{min(i, 2)}{max(i, 2)})"
+    new = ", ".join([f"m{i} + g{i} / v * (y - m0 - m2) AS x{i}" for i in range(4)] + [f"a{i}{j} - g{i} * g{j} / v AS {p(i, j)}" for i, j in ij])
+    return f"""WITH RECURSIVE sig AS ({SIG_EMB}), co(model, c0, s0, q0, c1, s1, q1) AS (VALUES {co}),
+ kf AS (SELECT vec_id AS key, -1 AS n, {start} FROM embeddings JOIN co ON model = vec_id % 4
+  UNION ALL SELECT key, n, {new} FROM (SELECT *, g0 + g2 + 0.05 AS v FROM (SELECT *, {", ".join(f"{g(i)} AS g{i}" for i in range(4))} FROM
+   (SELECT s.key, s.n, s.y, {m}, {a} FROM kf JOIN sig s ON s.key = kf.key AND s.n = kf.n + 1 JOIN co ON model = s.key % 4))))
+ SELECT key, n, component, round(CASE component WHEN 0 THEN x0 ELSE x2 END, 6) + 0.0 AS x FROM kf, (VALUES (0), (1)) t(component) WHERE n >= 0"""
+
+
+@query("block_append", _block_sql())
 def block_append(spark, d):
-    blocks = [{"a": 0.98, "w": 2 * math.pi * 6 / 64, "q": 0.01}, {"a": 0.95, "w": 2 * math.pi * 14 / 64, "q": 0.02}]
-    return K.block_append(K.pack(sig_emb(spark, d), KEY), KEY, blocks, 0.05)
+    models = K.block_models(spark.createDataFrame(BLOCKS, "model int, comp int, a double, w double, q double"), ["model"])
+    packed = K.pack(sig_emb(spark, d).withColumn("model", (F.col("key") % 4).cast("int")), KEY, ["model"])
+    return _d(K.block_append(packed, KEY, models, 0.05), ["key", "n", "component"], ["x"])
 
 
 @query("trial_record_pack", f"{EMB} SELECT key, count(*) AS n, round(sum(y * n), 5) + 0.0 AS moment FROM sig GROUP BY key")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators.ranking import method_order, upsert_estimates
+
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path, name, length, modified of every file below root."""
@@ -41,6 +45,48 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
+def _present(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def upsert(new: DataFrame, path: str, keys: list[str], partitions: list[str], order: DataFrame | None = None, name: str = "method") -> DataFrame:
+    """Merges new into the Parquet table at path, which is laid out by partitions, and returns the table.
+
+    Rows of new replace those of the same keys (the partitions' columns are among them; a key comes once in new); all
+    others stay. Only partitions that new has rows of are read and written. The merged rows are staged beside the table
+    first, as a table can not be read and overwritten in one go, and then replace their partitions in one commit, so a
+    write that fails leaves the table as it was, and doing one again changes nothing. order: method_order's table
+    (method, pos): rows are stored by their place in it, unknown names last.
+    """
+    spark = new.sparkSession
+    rows = new.select(*[c for c in new.columns if c not in partitions], *partitions)
+    if _present(spark, path):
+        old = spark.read.schema(rows.schema).parquet(path)
+        # The partitions that are touched are a list of names: pruned, not scanned.
+        touched = F.broadcast(rows.select(*partitions).distinct()) if partitions else None
+        old = old.join(touched, partitions, "left_semi") if partitions else old
+        rows = upsert_estimates(old.select(*rows.columns), rows, keys)
+    staged = f"{path.rstrip('/')}_staged/{uuid.uuid4().hex}"
+    try:
+        rows.write.parquet(staged)
+        out = spark.read.schema(rows.schema).parquet(staged)
+        if order is not None:
+            out = method_order(out, order, name)
+        by = [c for c in ("pos",) if order is not None] + [k for k in keys if k not in partitions]
+        out = (out.repartition(*partitions) if partitions else out.repartition(1)).sortWithinPartitions(*partitions, *by).select(*rows.columns)
+        w = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (w.partitionBy(*partitions) if partitions else w).parquet(path)
+    finally:
+        _removed(spark, staged)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

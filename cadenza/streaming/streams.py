@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from cadenza.sources.shared import shared_path
 
@@ -58,56 +58,154 @@ def stream_autotune(rows: DataFrame) -> DataFrame:
     return rows.groupBy("dataset", "method").agg(F.count("*").alias("count"), F.sum("mad").alias("sum_mad"), F.sum("snr").alias("sum_snr"), F.sum("freq").alias("sum_freq"), F.max("mad").alias("max_sigma"))
 
 
-def stream_filter(signal: DataFrame, key_type: str, rho: float, qx: float, rv: float, alpha: float) -> DataFrame:
-    """key, n, x1, x2, smooth: the oscillator filter and an exponential smoother with state (x, P, s, n) per key.
+#: The provider that holds value, map and timer state on disk.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_NONE = -1
+#: Where times begin for samples without any (the first watermark is 1970, and what is not after it is late).
+_EPOCH = 946_684_800
 
-    signal: key, n, y, w (radians a sample). Samples that arrive with n at or below the last one seen are dropped.
+
+class InOrder(StatefulProcessor):
+    """Hands each key's samples on in order of n, whatever order batches bring them in.
+
+    A sample whose turn it is goes on at once; one that comes early waits until those before it have come, or until the
+    watermark has passed its time, when they can not come any more. Samples at or below the last one handed on are
+    dropped. A key without samples for idle_ms of event time loses its state; what comes later starts it anew.
+
+    start: the state before the first sample; step(state, values) gives the state after a sample and its output row (or
+    None).
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        x1, x2, p11, p12, p22, s, last = state.get if state.exists else (0.0, 0.0, qx, 0.0, qx, float("nan"), -1)
-        rows = pd.concat(list(batches)).sort_values("n")
-        out = []
-        for n, y, w in zip(rows["n"].tolist(), rows["y"].tolist(), rows["w"].tolist(), strict=True):
-            if n <= last:
-                continue
-            a, b = rho * math.cos(w), rho * math.sin(w)
-            m1, m2 = a * x1 - b * x2, b * x1 + a * x2
-            a11 = a * a * p11 - 2 * a * b * p12 + b * b * p22 + qx
-            a12 = a * b * p11 + (a * a - b * b) * p12 - a * b * p22
-            a22 = b * b * p11 + 2 * a * b * p12 + a * a * p22 + qx
-            v = max(a11 + rv, 1e-12)
-            g1, g2 = a11 / v, a12 / v
-            x1, x2 = m1 + g1 * (y - m1), m2 + g2 * (y - m1)
-            p11, p12, p22 = max(a11 - g1 * a11, 1e-10), 0.5 * ((a12 - g1 * a12) + (a12 - g2 * a11)), max(a22 - g2 * a12, 1e-10)
-            s = y if math.isnan(s) else alpha * s + (1 - alpha) * y
-            last = n
-            out.append((key[0], n, x1, x2, s))
-        state.update((x1, x2, p11, p12, p22, s, last))
-        yield pd.DataFrame(out, columns=["key", "n", "x1", "x2", "smooth"])
-
-    return signal.groupBy("key").applyInPandasWithState(step, f"key {key_type}, n int, x1 double, x2 double, smooth double", "x1 double, x2 double, p11 double, p12 double, p22 double, s double, last int", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_impulse(signal: DataFrame, key_type: str, limit: float = 3.0) -> DataFrame:
-    """key, n, z, impulse: scores against the mean and deviation of the samples before, kept as state per key."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, mean, m2, last = state.get if state.exists else (0, 0.0, 0.0, -1)
-        rows = pd.concat(list(batches)).sort_values("n")
-        out = []
-        for n, y in zip(rows["n"].tolist(), rows["y"].tolist(), strict=True):
-            if n <= last:
-                continue
-            if count > 1:
-                z = (y - mean) / (math.sqrt(m2 / count) + 1e-8)
-                out.append((key[0], n, z, abs(z) > limit))
-            count += 1
-            d = y - mean
-            mean += d / count
-            m2 += d * (y - mean)
+    def __init__(self, values: list[str], kinds: str, out: list[str], start: tuple, step: Callable, state: str, idle_ms: int):
+        self.values, self.kinds, self.out, self.start, self.step, self.schema, self.idle_ms = values, kinds, out, start, step, state, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", f"last int, seen long, {self.schema}")
+        self.waiting = handle.getMapState("waiting", "n int", f"ts long, {self.kinds}")
+
+    def _load(self) -> tuple[int, int, tuple]:
+        if not self.state.exists():
+            return _NONE, 0, self.start
+        last, seen, *rest = self.state.get()
+        return last, seen, tuple(rest)
+
+    def _hand_on(self, key, last: int, state: tuple, ready: list[tuple[int, tuple]]) -> tuple[int, tuple, list]:
+        rows = []
+        for n, v in ready:
+            state, row = self.step(state, v)
             last = n
-        state.update((count, mean, m2, last))
-        yield pd.DataFrame(out, columns=["key", "n", "z", "impulse"])
+            if row is not None:
+                rows.append((key, n, *row))
+        return last, state, rows
+
+    def _save(self, last: int, seen: int, state: tuple, early: dict[int, tuple]) -> None:
+        self.state.update((last, seen, *state))
+        self.handle.registerTimer((min(v[0] for v in early.values()) if early else seen + self.idle_ms) + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, seen, state = self._load()
+        was = {n[0]: tuple(v) for n, v in self.waiting.iterator()} if self.state.exists() else {}
+        early = dict(was)
+        for b in rows:
+            ms = (b["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
+            for n, t, *v in zip(b["n"].tolist(), ms, *[b[c].tolist() for c in self.values], strict=True):
+                seen = max(seen, t)
+                if n > last:
+                    early.setdefault(n, (t, *v))
+        ready, n = [], last + 1
+        while n in early:
+            ready.append((n, early.pop(n)[1:]))
+            n += 1
+        last, state, out = self._hand_on(key[0], last, state, ready)
+        for n in was.keys() - early.keys():
+            self.waiting.removeKey((n,))
+        for n in early.keys() - was.keys():
+            self.waiting.updateValue((n,), early[n])
+        self._save(last, seen, state, early)
+        yield pd.DataFrame(out, columns=["key", "n", *self.out])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, seen, state = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        early = {n[0]: tuple(v) for n, v in self.waiting.iterator()}
+        out: list = []
+        if early:
+            gone = [n for n, v in early.items() if v[0] <= now]
+            to = max(gone, default=_NONE)
+            while to + 1 in early:  # and those whose turn it then is
+                to += 1
+            ready = [(n, early[n][1:]) for n in sorted(early) if n <= to]
+            last, state, out = self._hand_on(key[0], last, state, ready)
+            for n, _ in ready:
+                self.waiting.removeKey((n,))
+                early.pop(n)
+            self._save(last, seen, state, early)
+        elif self.state.exists() and seen + self.idle_ms <= now:
+            self.state.clear()
+        yield pd.DataFrame(out, columns=["key", "n", *self.out])
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(signal: DataFrame, processor: InOrder, schema: str, delay: str) -> DataFrame:
+    signal.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    ts = F.col("ts") if "ts" in signal.columns else F.timestamp_seconds(F.lit(_EPOCH) + F.col("n"))
+    timed = signal.select("key", "n", *processor.values, ts.cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    return timed.groupBy("key").transformWithStateInPandas(processor, schema, "append", "eventTime")
+
+
+def _millis(text: str) -> int:
+    return int(pd.Timedelta(text).total_seconds() * 1000)
+
+
+def filter_step(rho: float, qx: float, rv: float, alpha: float) -> Callable:
+    """One sample (y, w) of the oscillator filter and the smoother; state: x1, x2, p11, p12, p22, s."""
+
+    def step(state: tuple, v: tuple) -> tuple[tuple, tuple]:
+        (x1, x2, p11, p12, p22, s), (y, w) = state, v
+        a, b = rho * math.cos(w), rho * math.sin(w)
+        m1, m2 = a * x1 - b * x2, b * x1 + a * x2
+        a11 = a * a * p11 - 2 * a * b * p12 + b * b * p22 + qx
+        a12 = a * b * p11 + (a * a - b * b) * p12 - a * b * p22
+        a22 = b * b * p11 + 2 * a * b * p12 + a * a * p22 + qx
+        var = max(a11 + rv, 1e-12)
+        g1, g2 = a11 / var, a12 / var
+        x1, x2 = m1 + g1 * (y - m1), m2 + g2 * (y - m1)
+        s = y if math.isnan(s) else alpha * s + (1 - alpha) * y
+        p11, p12, p22 = max(a11 - g1 * a11, 1e-10), 0.5 * ((a12 - g1 * a12) + (a12 - g2 * a11)), max(a22 - g2 * a12, 1e-10)
+        return (x1, x2, p11, p12, p22, s), (x1, x2, s)
+
+    return step
+
+
+def stream_filter(signal: DataFrame, key_type: str, rho: float, qx: float, rv: float, alpha: float, delay: str = "1 day", idle: str = "30 days") -> DataFrame:
+    """key, n, x1, x2, smooth: the oscillator filter and an exponential smoother with state per key.
+
+    signal: key, n (from 0, each once), y, w (radians a sample), ts (without it: n seconds from some time on). Samples may come late by
+    delay; a key that is silent for idle loses its state.
+    """
+    kinds = "x1 double, x2 double, p11 double, p12 double, p22 double, s double"
+    p = InOrder(["y", "w"], "y double, w double", ["x1", "x2", "smooth"], (0.0, 0.0, qx, 0.0, qx, float("nan")), filter_step(rho, qx, rv, alpha), kinds, _millis(idle))
+    return _in_order(signal, p, f"key {key_type}, n int, x1 double, x2 double, smooth double", delay)
+
+
+def impulse_step(limit: float) -> Callable:
+    """One sample (y) against the count, mean and sum of squares of those before."""
+
+    def step(state: tuple, v: tuple) -> tuple[tuple, tuple | None]:
+        (count, mean, m2), (y,) = state, v
+        z = (y - mean) / (math.sqrt(m2 / count) + 1e-8) if count > 1 else None
+        d = y - mean
+        mean += d / (count + 1)
+        return (count + 1, mean, m2 + d * (y - mean)), None if z is None else (z, abs(z) > limit)
+
+    return step
+
 
-    return signal.groupBy("key").applyInPandasWithState(step, f"key {key_type}, n int, z double, impulse boolean", "count long, mean double, m2 double, last int", "append", GroupStateTimeout.NoTimeout)
+def stream_impulse(signal: DataFrame, key_type: str, limit: float = 3.0, delay: str = "1 day", idle: str = "30 days") -> DataFrame:
+    """key, n, z, impulse: scores against the mean and deviation of the samples before, kept as state per key. signal
+    as for stream_filter, without w."""
+    p = InOrder(["y"], "y double", ["z", "impulse"], (0, 0.0, 0.0), impulse_step(limit), "count long, mean double, m2 double", _millis(idle))
+    return _in_order(signal, p, f"key {key_type}, n int, z double, impulse boolean", delay)

@@ -143,3 +143,47 @@ def test_spectra_of_empty_tables(spark):
     df = spark.createDataFrame([], "key string, n int, y double")
     assert S.welch_psd(df, KEYS, 64.0, 16).collect() == [] and S.freq_fft(df, KEYS, 64.0, 64).collect() == []
     assert S.autocorrelation(df, KEYS, 0, 5).collect() == [] and S.multitaper_spectrogram(df, KEYS, 64.0, 16, 8).collect() == []
+
+
+def dense_blocks(y, blocks, r):
+    d = 2 * len(blocks)
+    f, q, h = np.zeros((d, d)), np.zeros((d, d)), np.tile([1.0, 0.0], len(blocks))
+    for i, (a, w, v) in enumerate(blocks):
+        f[2 * i : 2 * i + 2, 2 * i : 2 * i + 2] = a * np.array([[np.cos(w), -np.sin(w)], [np.sin(w), np.cos(w)]])
+        q[2 * i, 2 * i] = q[2 * i + 1, 2 * i + 1] = v
+    x, p, out = np.zeros(d), q.copy(), []
+    for v in y:
+        x, p = f @ x, f @ p @ f.T + q
+        g = p @ h / (h @ p @ h + r)
+        x, p = x + g * (v - h @ x), p - np.outer(g, h @ p)
+        out.append(x[::2])
+    return np.array(out).T
+
+
+def test_models_of_one_two_and_three_components(spark):
+    rng = np.random.default_rng(5)
+    models = {m: [(0.9 + 0.02 * c, 0.3 + 0.4 * c + 0.1 * m, 0.01 * (c + 1)) for c in range(m)] for m in (1, 2, 3)}
+    rows = [(m, c, *v) for m, b in models.items() for c, v in enumerate(b)]
+    table = K.block_models(spark.createDataFrame(rows, "model int, comp int, a double, w double, q double"), ["model"])
+    y = {k: rng.normal(size=20 + k) for k in range(8)}
+    df = spark.createDataFrame([(k, k % 4, n, float(v)) for k, s in y.items() for n, v in enumerate(s)], "key int, model int, n int, y double")
+    got = K.block_append(K.pack(df, KEYS, ["model"]), KEYS, table, 0.05).orderBy("key", "component", "n").toPandas()
+    assert set(got["key"]) == {k for k in y if k % 4}  # model 0 is not there
+    for k, g in got.groupby("key"):
+        assert np.allclose(g["x"].to_numpy().reshape(k % 4, -1), dense_blocks(y[k], models[k % 4], 0.05), atol=1e-12)
+
+
+def test_unscented_filters_step_ragged_keys_together(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    calls = []
+    own = K.ukf
+    monkeypatch.setattr(K, "ukf", lambda *a, **k: calls.append(a[0].shape) or own(*a, **k))
+    arrays = [rng.normal(size=n) for n in range(1, 60)]
+    frame = pd.DataFrame({c: [v] * len(arrays) for c, v in {"fs": 64.0, "f0": 8.0, "rho": 0.98, "qx": 0.01, "rv": 0.05, "qf": 5e-4}.items()})
+    got = K._ukf_columns(4.0, 16.0, 4.0)(arrays, frame)
+    assert calls == [(59, 59)]
+    one = lambda v: np.array([v])
+    for i in (0, 20, 58):
+        x, logf, w = own(arrays[i][None], *[one(v) for v in (64.0, 8.0, 0.98, 0.01, 0.05, 5e-4)], 4.0, 16.0, 4.0)
+        assert np.allclose(got["signal_hat"][i], x[0]) and np.allclose(got["weight"][i], w[0]) and len(got["track_hz"][i]) == i + 1
+    assert K.weight_summary(spark.createDataFrame([("a", 0.5), ("a", 1.0)], "key string, weight double"), KEYS).first()["mean_weight"] == 0.75
