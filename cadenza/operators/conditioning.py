@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import clip, finite
-from cadenza.operators import scans
+from cadenza.operators import scans, selection
 
 Keys = list[str]
 
@@ -54,9 +54,16 @@ def zscore(signal: DataFrame, keys: Keys) -> DataFrame:
 
 
 def robust_stats(signal: DataFrame, keys: Keys) -> DataFrame:
-    """keys, med, mad, sigma, std, snr per key."""
-    med = signal.groupBy(*keys).agg(F.percentile("y", 0.5).alias("med"), F.stddev_pop("y").alias("std"))
-    mad = signal.join(med, keys).groupBy(*keys).agg(F.first("med").alias("med"), F.first("std").alias("std"), F.percentile(F.abs(F.col("y") - F.col("med")), 0.5).alias("mad"))
+    """keys, med, mad, sigma, std, snr per key. Keys of more than selection.LIMIT samples get their medians by rounds of
+    counts."""
+    if selection.largest(signal, keys) <= selection.LIMIT:
+        med = signal.groupBy(*keys).agg(F.percentile("y", 0.5).alias("med"), F.stddev_pop("y").alias("std"))
+        off = F.percentile(F.abs(F.col("y") - F.col("med")), 0.5)
+        mad = signal.join(med, keys).groupBy(*keys).agg(F.first("med").alias("med"), F.first("std").alias("std"), off.alias("mad"))
+    else:
+        med = selection.quantiles(signal, keys, F.col("y"), [0.5]).select(*keys, F.get("q", F.lit(0)).alias("med"))
+        off = selection.quantiles(signal.join(med, keys), keys, F.abs(F.col("y") - F.col("med")), [0.5]).select(*keys, F.get("q", F.lit(0)).alias("mad"))
+        mad = signal.groupBy(*keys).agg(F.stddev_pop("y").alias("std")).join(med, keys).join(off, keys)
     sigma = F.lit(1.4826) * F.col("mad")
     return mad.select(*keys, "med", "mad", sigma.alias("sigma"), "std", F.when(sigma > 0, F.col("std") / F.greatest(sigma, F.lit(1e-6))).otherwise(0.0).alias("snr"))
 
