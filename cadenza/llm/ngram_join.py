@@ -10,8 +10,8 @@ left to chance but the 64-bit hash of a shingle.
    lists of rare tokens (at most RARE members) that still hold several components give their pairs.
 3. Members of longer lists that still do are ordered anew, rare tokens first, and listed again under single tokens.
    Where a token is frequent, the prefix is extended by one place and its list is parted by combinations of two tokens,
-   then three, and so on, as long as that makes fewer rows than the list has pairs. What is left is compared by full
-   sets, in blocks.
+   then three, and so on, as long as those lists hold at most a quarter of its pairs. What no longer combination parts
+   (near copies of one text that miss the threshold share nearly all tokens) is compared by full sets, in blocks.
 4. A pair is dropped if its prefixes differ in more tokens than similar sets may; the full sets decide on the rest.
 """
 
@@ -175,14 +175,20 @@ def _combined(members: DataFrame, comp: DataFrame, links: DataFrame, reps: DataF
         if still.isEmpty():
             return links
         links = links.union(_links(_pairs(still.where(F.col("size") <= RARE), threshold), reps, sets, threshold))
-        # A frequent list goes on to longer combinations where they are fewer than its pairs.
+        # A frequent list goes on to longer combinations where they part it: where their lists would hold at most a
+        # quarter of its pairs, and be fewer rows than that.
         after = F.filter("tokens", lambda t: (t["at"] > F.col("at")) & (t["at"] <= F.col("spare") + (k + 1)))
         wide = still.where(F.col("size") > RARE).join(tokens.drop("n"), "cid").withColumn("spare", spare).withColumn("after", after)
         total = F.sum(F.size("after").cast("long")).over(Window.partitionBy("sig"))
-        wide = cut(wide.drop("tokens", "spare").withColumn("rows", total if k < LONGEST else F.lit(None).cast("long")))
-        goes = F.coalesce(16 * F.col("rows") <= F.col("size") * F.col("size"), F.lit(False))
+        wide = cut(wide.drop("tokens", "spare").withColumn("rows", total))
+        pairs = F.col("size").cast("long") * F.col("size")
+        some = wide.where(F.lit(k < LONGEST) & (16 * F.col("rows") <= pairs)).select("sig", "size", F.explode("after").alias("t"))
+        parts = some.groupBy("sig", "size", "t.value").agg(F.count("*").alias("c")).groupBy("sig", "size").agg(F.sum(F.col("c") * F.col("c")).alias("then"))
+        parted = cut(parts.where(4 * F.col("then") <= pairs).select("sig", F.lit(True).alias("goes")))
+        wide = wide.join(parted, "sig", "left")
+        goes = F.coalesce("goes", F.lit(False))
         left = wide.where(~goes).withColumnRenamed("sig", "value").withColumn("band", F.lit(0))
-        dealt = _blocks(left.drop("after")).join(sets.select("cid", "values"), "cid")
+        dealt = _blocks(left.drop("after", "goes")).join(sets.select("cid", "values"), "cid")
         keys = ["value", "band", "bi", "bj"]
         dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
         links = links.union(cut(dealt.mapInPandas(_long_lists(round(threshold * 100), 100), "a long, b long")))
