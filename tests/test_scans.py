@@ -204,3 +204,17 @@ def test_quantiles_by_rounds_of_counts(spark, monkeypatch):
     monkeypatch.setattr(Q, "LIMIT", 50)
     assert {r.key: (r.med, r.mad) for r in C.robust_stats(df, KEYS).collect()} == pytest.approx(want)
     assert Q.quantiles(df.where("key = ''"), KEYS, F.col("y"), [0.5], -1).collect() == []
+
+
+def test_learning_steps_ragged_sequences_together(monkeypatch):
+    rng = np.random.default_rng(9)
+    arrays = [rng.normal(size=n) for n in range(20, 520)]
+    steps = []
+    own = K.model_states
+    monkeypatch.setattr(K, "model_states", lambda y, *a: steps.append(y.shape) or own(y, *a))
+    got = K.oscillator_statistics(arrays, 0.9, 0.7, 0.2, 0.5), K.level_statistics(arrays, 3e-4, 5e-3)
+    assert steps == [(500, 519)] * 2  # as many steps as the longest
+    some = arrays[::71]
+    for fn, args in ((K.oscillator_statistics, (0.9, 0.7, 0.2, 0.5)), (K.level_statistics, (3e-4, 5e-3))):
+        assert np.allclose(fn(some, *args), sum(fn([y], *args) for y in some))
+    assert np.isfinite(got[0]).all() and np.isfinite(got[1]).all()
