@@ -261,6 +261,17 @@ def mean_spectrum(spark, d):
     return r.select("label", "g", digits(F.col("power")).alias("power"))
 
 
-@query("multitaper_spectrogram")
+def _multitaper_sql(width: int, stride: int, nw: float, k_lo: int, k_hi: int) -> str:
+    """The tapers are numbers computed here; windows, transforms and their average are SQL."""
+    tapers = S.slepian_tapers(width, nw, int(2 * nw) - 1)
+    h = ", ".join(f"({k}, {i}, {float(v)!r}::DOUBLE)" for k, t in enumerate(tapers) for i, v in enumerate(t))
+    return f"""{EVT}, h(taper, i, h) AS (VALUES {h}), w AS (SELECT key, win, n - win * {stride} AS i, y FROM sig, range({(EVT_N - width) // stride + 1}) r(win) WHERE n >= win * {stride} AND n < win * {stride} + {width}),
+ c AS (SELECT key, win, i, y - avg(y) OVER (PARTITION BY key, win) AS y FROM w),
+ d AS (SELECT key, win, taper, k, sum(y * h * cos(2 * pi() * k * i / {width})) AS re, sum(y * h * sin(2 * pi() * k * i / {width})) AS im FROM c JOIN h USING (i), range({k_lo}, {k_hi + 1}) b(k) GROUP BY ALL)
+ SELECT key, round(({width / 2} + win * {stride}) / {EVT_FS}, 6) AS t_center, round(k * {EVT_FS} / {width}, 6) AS freq, round(avg(re * re + im * im) * 2 / {EVT_FS}, 4) AS power FROM d GROUP BY key, win, k"""
+
+
+@query("multitaper_spectrogram", _multitaper_sql(96, 24, 3.0, 2, 24))
 def multitaper_spectrogram(spark, d):
-    return S.multitaper_spectrogram(sig_evt(spark, d), K, EVT_FS, 96, 24, 3.0, 0.5, 6.0)
+    r = S.multitaper_spectrogram(sig_evt(spark, d), K, EVT_FS, 96, 24, 3.0, 0.5, 6.0)
+    return r.select("key", digits(F.col("t_center")).alias("t_center"), digits(F.col("freq")).alias("freq"), digits(F.col("power"), 4).alias("power"))
