@@ -106,9 +106,24 @@ def bandpass_gust(spark, d):
     return K.bandpass(sig_emb(spark, d), KEY, EMB_FS, LO, HI, edges="gust")
 
 
-@query("bandpass_pad")
+def _zero_phase_sql(pad: int = 15) -> str:
+    """Both passes sample by sample over the series with its ends mirrored; x of a pass is its input in its order."""
+    b, a = K.butterworth(2, EMB_FS, LO, HI)
+    zi, order, last = K.steady_state(b, a), len(a) - 1, EMB_N + 2 * pad - 1
+    out = f"({float(b[0])!r} * s.x + l.z1)"
+    new = ", ".join(f"{f'l.z{i + 1}' if i < order else '0.0'} + {float(b[i])!r} * s.x - {float(a[i])!r} * {out} AS z{i}" for i in range(1, order + 1))
+    first = ", ".join(f"{float(zi[i - 1])!r} * x AS z{i}" for i in range(1, order + 1))
+    run = lambda name, src: f"{name} AS (SELECT key, -1 AS j, 0.0::DOUBLE AS y, {first} FROM {src} WHERE j = 0 UNION ALL SELECT s.key, s.j, {out}, {new} FROM {name} l JOIN {src} s ON s.key = l.key AND s.j = l.j + 1)"
+    return f"""WITH RECURSIVE sig AS ({SIG_EMB}), ends AS (SELECT key, max(CASE WHEN n = 0 THEN y END) AS y0, max(CASE WHEN n = {EMB_N - 1} THEN y END) AS y1 FROM sig GROUP BY key),
+ e AS (SELECT key, n + {pad} AS j, y AS x FROM sig UNION ALL SELECT key, {pad} - n, 2 * y0 - y FROM sig JOIN ends USING (key) WHERE n BETWEEN 1 AND {pad}
+  UNION ALL SELECT key, {pad + 2 * (EMB_N - 1)} - n, 2 * y1 - y FROM sig JOIN ends USING (key) WHERE n BETWEEN {EMB_N - 1 - pad} AND {EMB_N - 2}),
+ {run("f", "e")}, r AS (SELECT key, {last} - j AS j, y AS x FROM f WHERE j >= 0), {run("g", "r")}
+ SELECT key, CAST({last - pad} - j AS INT) AS n, round(y, 6) + 0.0 AS y FROM g WHERE j BETWEEN {last - pad - EMB_N + 1} AND {last - pad}"""
+
+
+@query("bandpass_pad", _zero_phase_sql())
 def bandpass_pad(spark, d):
-    return K.bandpass(sig_emb(spark, d), KEY, EMB_FS, LO, HI, size=SIZE)
+    return _d(K.bandpass(sig_emb(spark, d), KEY, EMB_FS, LO, HI, size=SIZE), ["key", "n"], ["y"])
 
 
 def _lowpass_sql() -> str:
