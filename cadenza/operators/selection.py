@@ -26,21 +26,25 @@ def _bracketed(rows: DataFrame, keys: list[str], p: float, limit: int) -> DataFr
     w = Window.partitionBy(*keys)
     s = rows.groupBy(*keys).agg(F.count("v").alias("size"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     place = (F.col("size") - 1) * F.lit(float(p))
-    s = stored(s.select(*keys, "size", "lo", "hi", F.floor(place).alias("r1"), F.ceil(place).alias("r2"), (place - F.floor(place)).alias("part")))
-    while s.where((F.col("size") > limit) & (F.col("lo") < F.col("hi"))).limit(1).count():
+    s = stored(s.select(*keys, "size", "lo", "hi", F.floor(place).alias("r1"), F.ceil(place).alias("r2"), (place - F.floor(place)).alias("part"), (F.col("lo") == F.col("hi")).alias("done")))
+    while s.where((F.col("size") > limit) & ~F.col("done")).limit(1).count():
         # Quarters: the span of the largest numbers is none.
         share = (F.col("v") / 4 - F.col("lo") / 4) / (F.col("hi") / 4 - F.col("lo") / 4)
-        bucket = F.when(F.col("lo") < F.col("hi"), F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS))).otherwise(0)
-        counts = rows.join(s.select(*keys, "lo", "hi"), keys).where("v BETWEEN lo AND hi").groupBy(*keys, bucket.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
+        inside = rows.join(s.where("NOT done").select(*keys, "lo", "hi"), keys).where("v BETWEEN lo AND hi")
+        counts = inside.groupBy(*keys, F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)).alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
         counts = counts.withColumn("upto", F.sum("c").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("c"))
         j = counts.join(s.select(*keys, "r1", "r2", "part"), keys)
         one = (F.col("before") <= F.col("r1")) & (F.col("r1") < F.col("upto"))
         two = (F.col("before") <= F.col("r2")) & (F.col("r2") < F.col("upto"))
-        first = F.max(F.when(one, F.col("before")))
-        a = j.where(one | two).groupBy(*keys, "part").agg(F.sum("c").alias("size"), F.min("mn").alias("lo"), F.max("mx").alias("hi"), (F.first("r1") - first).alias("r1"), (F.first("r2") - first).alias("r2"))
-        s = stored(a.select(*keys, "size", "lo", "hi", "r1", "r2", "part"))
-    flat = s.where("lo = hi").select(*keys, F.col("lo").alias("q"))
-    rest = rows.join(s.where("lo < hi"), keys).where("v BETWEEN lo AND hi").groupBy(*keys, "r1", "r2", "part").agg(F.array_sort(F.collect_list("v")).alias("a"))
+        of = lambda c, x: F.max(F.when(c, F.col(x)))
+        a = j.where(one | two).groupBy(*keys, "part", "r1", "r2").agg(of(one, "b").alias("b1"), of(two, "b").alias("b2"), of(one, "c").alias("size"), of(one, "before").alias("before"), of(one, "mn").alias("mn1"), of(one, "mx").alias("mx1"), of(two, "mn").alias("mn2"))
+        # Ranks in two buckets are the last value of the one and the first of the other.
+        two_apart = F.col("b1") != F.col("b2")
+        a = a.withColumn("lo", F.when(two_apart, F.col("mx1")).otherwise(F.col("mn1"))).withColumn("hi", F.when(two_apart, F.col("mn2")).otherwise(F.col("mx1")))
+        a = a.select(*keys, "size", "lo", "hi", (F.col("r1") - F.col("before")).alias("r1"), (F.col("r2") - F.col("before")).alias("r2"), "part", (two_apart | (F.col("lo") == F.col("hi"))).alias("done"))
+        s = stored(a.unionByName(s.where("done")))
+    flat = s.where("done").select(*keys, (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q"))
+    rest = rows.join(s.where("NOT done"), keys).where("v BETWEEN lo AND hi").groupBy(*keys, "r1", "r2", "part").agg(F.array_sort(F.collect_list("v")).alias("a"))
     x, y = F.get("a", F.col("r1").cast("int")), F.get("a", F.col("r2").cast("int"))
     return flat.unionByName(rest.select(*keys, (x + (y - x) * F.col("part")).alias("q")))
 
