@@ -134,12 +134,20 @@ m AS (
          n_lines - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
          coalesce(cov.n, 0) AS n_repeat_words
   FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
-r AS (SELECT *, {rates} FROM m),
-q AS (SELECT lang, source, {quartiles} FROM r GROUP BY lang, source)
+e AS (SELECT *, {rates} FROM m),
+mid AS (SELECT lang, source, quantile_disc(mean_word, 0.5) AS middle FROM e GROUP BY lang, source),
+r AS (SELECT e.*, (mean_word - middle) * sqrt(n_words) AS zm, symbol_rate * sqrt(word_chars) AS zs
+      FROM e JOIN mid ON mid.lang IS NOT DISTINCT FROM e.lang AND mid.source IS NOT DISTINCT FROM e.source),
+q AS (SELECT lang, source, quantile_disc(zm, 0.25) AS m1, quantile_disc(zm, 0.75) AS m3, quantile_disc(zs, 0.25) AS s1, quantile_disc(zs, 0.75) AS s3,
+        sqrt(sum(n_symbols) FILTER (n_words > 0) / sum(greatest(word_chars, 1)) FILTER (n_words > 0)) AS noise, {deciles}
+      FROM r GROUP BY lang, source),
+p AS (SELECT {deciles} FROM r)
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {inside} AS kept
-FROM r JOIN q ON q.lang IS NOT DISTINCT FROM r.lang AND q.source IS NOT DISTINCT FROM r.source
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+         AND coalesce(zm BETWEEN m1 - {reach} * (m3 - m1) AND m3 + {reach} * (m3 - m1), true)
+         AND coalesce(zs <= s3 + {reach} * greatest(s3 - s1, noise), true) AND {clumped} AS kept
+FROM r JOIN q ON q.lang IS NOT DISTINCT FROM r.lang AND q.source IS NOT DISTINCT FROM r.source CROSS JOIN p
 """
 
 
@@ -206,12 +214,12 @@ FROM t LEFT JOIN d ON d.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id
 
 
 def _op9() -> str:
-    from cadenza.llm.quality_rules import METRICS, REACH
+    from cadenza.llm.quality_rules import CLUMPED, METRICS, REACH
 
-    rates = ", ".join(f"CASE WHEN n_words > 0 THEN {e} END AS {k}" for k, (e, _, _) in METRICS.items())
-    quartiles = ", ".join(f"quantile_disc({k}, {p}) AS {k}_{i}" for k in METRICS for i, p in ((1, 0.25), (3, 0.75)))
-    inside = " AND ".join(f"coalesce({k} BETWEEN {k}_1 - {REACH} * ({k}_3 - {k}_1) - {lo} AND {k}_3 + {REACH} * ({k}_3 - {k}_1) + {hi}, true)" for k, (_, lo, hi) in METRICS.items())
-    return _OP9.replace("{rates}", rates).replace("{quartiles}", quartiles).replace("{inside}", inside)
+    rates = ", ".join(f"CASE WHEN n_words > 0 THEN {e} END AS {k}" for k, e in METRICS.items())
+    deciles = ", ".join(f"quantile_disc({k}, {p}) FILTER ({k} > 0) AS {k}_{i}" for k in CLUMPED for i, p in ((1, 0.1), (9, 0.9)))
+    inside = " AND ".join(f"coalesce({k} <= q.{k}_9 + {REACH} * greatest(q.{k}_9 - q.{k}_1, p.{k}_9 - p.{k}_1), true)" for k in CLUMPED)
+    return _OP9.replace("{rates}", rates).replace("{deciles}", deciles).replace("{reach}", str(REACH)).replace("{clumped}", inside)
 
 
 def oracle_sql() -> dict[str, str]:

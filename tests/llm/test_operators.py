@@ -60,6 +60,55 @@ def test_quality_rules(docs, empty, sample):
     assert quality_rules(empty).collect() == []
 
 
+def test_quality_rules_fences(spark):
+    """The fences follow each group, and judge short and long texts by what chance allows them."""
+    from cadenza.llm.quality_rules import quality_rules, text_metrics, with_rates
+
+    r = np.random.default_rng(3)
+    letters = np.array(list("abcdefghij"))
+
+    def text(n, least, most, symbols=0.0, lines=1, repeated=0):
+        words = ["".join(r.choice(letters, k)) for k in r.integers(least, most + 1, n)]
+        words = [w + "#" if r.random() < symbols else w for w in words]
+        rows = [" ".join(w) for w in np.array_split(np.array(words, object), lines)]
+        return "\n".join(rows + rows[:1] * repeated)
+
+    rows = []
+    for g, (least, most, symbols) in enumerate([(2, 6, 0.0), (5, 12, 0.3)]):
+        rows += [(1000 * g + i, text(int(r.integers(60, 900)), least, most, symbols, 20, i % 5 == 0), "en", f"s{g}") for i in range(200)]
+    odd = [text(300, 5, 12), text(300, 2, 6, 0.3), text(300, 2, 6, 0.0), text(300, 5, 12, 0.3), text(120, 2, 6, 0.0, 20, 19)]
+    rows += [(5000 + i, t, "en", s) for i, (t, s) in enumerate(zip(odd, ["s0", "s0", "s1", "s1", "s0"], strict=True))]
+    rows += [(6000, text(90, 2, 6), None, None), (6001, "a b", None, None), (6002, None, "en", "none")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in quality_rules(d).collect()}
+    rates = {x.doc_id: x for x in with_rates(text_metrics(d)).collect()}
+
+    def disc(values, p):
+        v = sorted(values)
+        return v[max(0, math.ceil(p * len(v)) - 1)]
+
+    group = defaultdict(list)
+    for x in rates.values():
+        if x.n_words:
+            group[x.lang, x.source].append(x)
+    clumps = {k: [x[k] for xs in group.values() for x in xs if x[k] > 0] for k in ("dup_line_rate", "repeat_rate")}
+    for xs in group.values():
+        mid = disc([x.mean_word for x in xs], 0.5)
+        z = {x.doc_id: (x.mean_word - mid) * math.sqrt(x.n_words) for x in xs}
+        y = {x.doc_id: x.symbol_rate * math.sqrt(x.word_chars) for x in xs}
+        m1, m3, s1, s3 = disc(z.values(), 0.25), disc(z.values(), 0.75), disc(y.values(), 0.25), disc(y.values(), 0.75)
+        noise = math.sqrt(sum(x.n_symbols for x in xs) / sum(x.word_chars for x in xs))
+        for x in xs:
+            ok = m1 - 3 * (m3 - m1) <= z[x.doc_id] <= m3 + 3 * (m3 - m1) and y[x.doc_id] <= s3 + 3 * max(s3 - s1, noise)
+            for k, every in clumps.items():
+                some = [o[k] for o in xs if o[k] > 0]
+                if some:
+                    ok &= x[k] <= disc(some, 0.9) + 3 * max(disc(some, 0.9) - disc(some, 0.1), disc(every, 0.9) - disc(every, 0.1))
+            assert got[x.doc_id].kept == (ok and not got[x.doc_id].base_failed), x
+    assert [got[5000 + i].kept for i in range(5)] == [False, False, False, True, False]
+    assert all(got[i].kept for i in range(200)) and all(got[1000 + i].kept for i in range(200)) and got[6000].kept
+
+
 def test_quality_rules_long_repeats(spark):
     from cadenza.llm import quality_rules as q
 
