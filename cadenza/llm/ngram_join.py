@@ -5,13 +5,17 @@ that they share is among the first n - ceil(t n) + j of either (n: its size). Al
 left to chance but the 64-bit hash of a shingle.
 
 1. Equal sets fold into a class. A class's tokens are ordered by hash and its prefix is extended by a twentieth of its
-   size: it must share as many tokens of the prefix with other classes. Most classes do not, and are done.
-2. Each class left is listed under the single tokens of its plain prefix. A list ties its members to its first one;
-   lists of rare tokens (at most RARE members) that still hold several components give their pairs.
-3. Members of longer lists that still do are ordered anew, rare tokens first, and listed again under single tokens.
-   Where a token is frequent, the prefix is extended by one place and its list is parted by combinations of two tokens,
-   then three, and so on, as long as those lists hold at most a quarter of its pairs. What no longer combination parts
-   (near copies of one text that miss the threshold share nearly all tokens) is compared by full sets, in blocks.
+   size: it must share as many tokens of the prefix, its quota, with a linked class. Most classes share fewer with all
+   others together, and are done.
+2. The shared tokens of an extended prefix are ordered anew, rare ones first. Two linked classes share the larger quota
+   of them, so each class left is listed under all of them but the last quota - 1: tokens that no other class has are in
+   no list, and frequent ones only where rare ones are too few. A list ties its members to its first one; lists of rare
+   tokens (at most RARE members) that still hold several components give their pairs.
+3. Members of longer lists that still do are ordered anew by their whole sets, rare tokens first, and listed again under
+   single tokens. Where a token is frequent, the prefix is extended by one place and its list is parted by combinations
+   of two tokens, then three, and so on, as long as those lists hold at most a quarter of its pairs. What no longer
+   combination parts (near copies of one text that miss the threshold share nearly all tokens) is compared by full sets,
+   in blocks.
 4. A pair is dropped if its prefixes differ in more tokens than similar sets may; the full sets decide on the rest.
 """
 
@@ -129,16 +133,21 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _fits(n: str, m: str, at: str, other: str, k: str, threshold: float) -> Column:
-    """Sizes n and m whose k-th common tokens are at these places can still be linked."""
-    need = F.lit(threshold / (1 + threshold) - 1e-9) * (F.col(n) + F.col(m))
-    return F.col(k) + F.least(F.col(n) - F.col(at), F.col(m) - F.col(other)) >= need
+def _fits(a: str, b: str, threshold: float) -> Column:
+    """Members (n, at, k, quota) of a list whose k-th common tokens stand there can still be linked.
+
+    What stands behind the tokens must make up the quota or, where that is null (orders of whole sets), all that linked
+    sets of such sizes share; the sizes alone must allow a link."""
+    x, y = (lambda c: F.col(a.format(c))), (lambda c: F.col(b.format(c)))
+    need = F.lit(threshold / (1 + threshold) - 1e-9) * (x("n") + y("n"))
+    reach = x("k") + F.least(x("n") - x("at"), y("n") - y("at"))
+    return (reach >= F.coalesce(F.greatest(x("quota"), y("quota")).cast("double"), need)) & (F.least(x("n"), y("n")) >= need)
 
 
 def _starred(lists: DataFrame, threshold: float) -> DataFrame:
     """Each list's members with its first one."""
-    led = salted_min(lists.withColumn("head", F.struct("cid", "n", "at")), ["sig"], "head", "lead", "cid").where(F.col("lead.cid") != F.col("cid"))
-    return led.where(_fits("lead.n", "n", "lead.at", "at", "k", threshold)).select(*_pair("lead.cid", "cid")).distinct()
+    led = salted_min(lists.withColumn("head", F.struct("cid", "n", "at", "quota", "k")), ["sig"], "head", "lead", "cid").where(F.col("lead.cid") != F.col("cid"))
+    return led.where(_fits("lead.{}", "{}", threshold)).select(*_pair("lead.cid", "cid")).distinct()
 
 
 def _open(lists: DataFrame, comp: DataFrame) -> DataFrame:
@@ -150,10 +159,10 @@ def _open(lists: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _pairs(short: DataFrame, threshold: float) -> DataFrame:
     """The pairs of short lists (at most RARE members each) between components."""
-    one = short.select("sig", "cid", "n", "at", "k", "component")
-    other = one.select("sig", *[F.col(c).alias(f"{c}_") for c in ("cid", "n", "at", "component")])
+    one = short.select("sig", "cid", "n", "at", "k", "quota", "component")
+    other = one.select("sig", *[F.col(c).alias(f"{c}_") for c in ("cid", "n", "at", "k", "quota", "component")])
     both = one.join(other, "sig").where((F.col("cid") < F.col("cid_")) & (F.col("component") != F.col("component_")))
-    return both.where(_fits("n", "n_", "at", "at_", "k", threshold)).select(*_pair("cid", "cid_")).distinct()
+    return both.where(_fits("{}", "{}_", threshold)).select(*_pair("cid", "cid_")).distinct()
 
 
 def _combined(members: DataFrame, comp: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -164,8 +173,8 @@ def _combined(members: DataFrame, comp: DataFrame, links: DataFrame, reps: DataF
     rank = F.row_number().over(Window.partitionBy("cid").orderBy("df", "value"))
     rows = rows.withColumn("at", (F.col("n") - shared + rank).cast("int")).where(F.col("at") <= _spare(F.col("n"), threshold) + LONGEST)
     tokens = cut(rows.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("tokens")))
-    spare = _spare(F.col("n"), threshold)
-    lists = tokens.select("cid", "n", F.inline("tokens")).where(F.col("at") <= spare + 1).select(F.col("value").alias("sig"), "cid", "n", "at", F.lit(1).alias("k"))
+    spare, no_quota = _spare(F.col("n"), threshold), F.lit(None).cast("long").alias("quota")
+    lists = tokens.select("cid", "n", F.inline("tokens")).where(F.col("at") <= spare + 1).select(F.col("value").alias("sig"), "cid", "n", "at", F.lit(1).alias("k"), no_quota)
     for k in range(1, LONGEST + 1):
         lists = cut(lists)
         found = _links(_starred(lists, threshold), reps, sets, threshold)
@@ -192,7 +201,7 @@ def _combined(members: DataFrame, comp: DataFrame, links: DataFrame, reps: DataF
         keys = ["value", "band", "bi", "bj"]
         dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
         links = links.union(cut(dealt.mapInPandas(_long_lists(round(threshold * 100), 100), "a long, b long")))
-        lists = wide.where(goes).select("sig", "cid", "n", F.explode("after").alias("t")).select(F.xxhash64("sig", "t.value").alias("sig"), "cid", "n", "t.at", F.lit(k + 1).alias("k"))
+        lists = wide.where(goes).select("sig", "cid", "n", F.explode("after").alias("t")).select(F.xxhash64("sig", "t.value").alias("sig"), "cid", "n", "t.at", F.lit(k + 1).alias("k"), no_quota)
     return links
 
 
@@ -211,17 +220,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(salted_min(first.where("n > 0").select("uid", "doc_id", "n", "d1", "d2"), ["d1", "d2"], "uid", "cid", "uid").drop("d1", "d2"))
     classes = first.join(rows.where("uid = cid").select("uid"), "uid").select(F.col("uid").alias("cid"), "doc_id", "text_hash", "n", "prefix")
     # The first so many tokens that a class shares with a linked one lie in both extended prefixes.
-    need = 1 + F.floor(F.ceil(F.col("n") * F.lit(threshold) - 1e-9) / EXTENDED)
-    hits = _counted(classes.select("cid", "n", F.explode("prefix").alias("value"))).groupBy("cid").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
-    live = cut(hits.where(F.col("hits") >= need).select("cid"))
-    reps = cut(classes.join(_bounded(live), "cid"))
+    quota = (1 + F.floor(F.ceil(F.col("n") * F.lit(threshold) - 1e-9) / EXTENDED)).alias("quota")
+    shared = _counted(classes.select("cid", "n", F.explode("prefix").alias("value"))).groupBy("cid")
+    shared = shared.agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("tokens")).select("*", F.size("tokens").alias("hits"), quota)
+    shared = shared.where(F.col("hits") >= F.col("quota")).withColumn("tokens", F.slice(F.col("tokens.value"), 1, (F.col("hits") - F.col("quota") + 1).cast("int")))
+    live = cut(shared)
+    reps = cut(classes.join(_bounded(live.select("cid")), "cid"))
     want = reps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "cid")
     # Rows of one id and text hash have one text; a class reads any of them.
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_h"))
     found = texts.join(_bounded(want), same).select("cid", "text")
     sets = cut(found.mapInPandas(_sets(width), "cid long, n long, values array<long>").dropDuplicates(["cid"]))
-    place = reps.select("cid", "n", F.posexplode("prefix").alias("at", "value")).withColumn("at", F.col("at") + 1).where(F.col("at") <= _spare(F.col("n"), threshold) + 1)
-    lists = cut(_counted(place).select(F.col("value").alias("sig"), "cid", "n", "at", F.lit(1).alias("k")))
+    # The quota counts what is left of the shared tokens; at is so put that as many places follow it.
+    place = live.select("cid", "n", "hits", "quota", F.posexplode("tokens").alias("i", "sig"))
+    lists = cut(place.select("sig", "cid", "n", (F.col("n") - F.col("hits") + F.col("i") + 1).alias("at"), F.lit(1).alias("k"), "quota"))
     links = _links(_starred(lists, threshold), reps, sets, threshold)
     comp = cut(components(links))
     still = _open(lists, comp)
