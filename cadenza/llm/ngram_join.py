@@ -165,8 +165,16 @@ def _pairs(short: DataFrame, threshold: float) -> DataFrame:
     return both.where(_fits("{}", "{}_", threshold)).select(*_pair("cid", "cid_")).distinct()
 
 
+def _merged(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """Components of those of comp (node, component) and the links found. The former hang on their roots already, which
+    saves rounds, and so plans that the driver holds."""
+    if found.isEmpty():
+        return comp
+    return cut(components(comp.toDF("a", "b").union(found)))
+
+
 def _combined(members: DataFrame, comp: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links among the members (cid) of frequent tokens' lists, beyond links and comp."""
+    """Components of comp and links, and of the links among the members (cid) of frequent tokens' lists."""
     rows = _counted(sets.join(members, "cid").select("cid", "n", F.explode("values").alias("value")))
     # Tokens that only one member has come first and are in no list; the others follow from the rarest on.
     shared = F.count("*").over(Window.partitionBy("cid"))
@@ -177,13 +185,14 @@ def _combined(members: DataFrame, comp: DataFrame, links: DataFrame, reps: DataF
     lists = tokens.select("cid", "n", F.inline("tokens")).where(F.col("at") <= spare + 1).select(F.col("value").alias("sig"), "cid", "n", "at", F.lit(1).alias("k"), no_quota)
     for k in range(1, LONGEST + 1):
         lists = cut(lists)
-        found = _links(_starred(lists, threshold), reps, sets, threshold)
-        links = links.union(found)
-        still = _open(lists, cut(components(links)))
+        if lists.isEmpty():
+            break
+        comp = _merged(comp, links.union(_links(_starred(lists, threshold), reps, sets, threshold)))
+        still = _open(lists, comp)
         drop(lists)
         if still.isEmpty():
-            return links
-        links = links.union(_links(_pairs(still.where(F.col("size") <= RARE), threshold), reps, sets, threshold))
+            return comp
+        links = _links(_pairs(still.where(F.col("size") <= RARE), threshold), reps, sets, threshold)
         # A frequent list goes on to longer combinations where they part it: where their lists would hold at most a
         # quarter of its pairs, and be fewer rows than that.
         after = F.filter("tokens", lambda t: (t["at"] > F.col("at")) & (t["at"] <= F.col("spare") + (k + 1)))
@@ -202,7 +211,7 @@ def _combined(members: DataFrame, comp: DataFrame, links: DataFrame, reps: DataF
         dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
         links = links.union(cut(dealt.mapInPandas(_long_lists(round(threshold * 100), 100), "a long, b long")))
         lists = wide.where(goes).select("sig", "cid", "n", F.explode("after").alias("t")).select(F.xxhash64("sig", "t.value").alias("sig"), "cid", "n", "t.at", F.lit(k + 1).alias("k"), no_quota)
-    return links
+    return _merged(comp, links)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -237,11 +246,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = _links(_starred(lists, threshold), reps, sets, threshold)
     comp = cut(components(links))
     still = _open(lists, comp)
-    links = links.union(_links(_pairs(still.where(F.col("size") <= RARE), threshold), reps, sets, threshold))
+    links = _links(_pairs(still.where(F.col("size") <= RARE), threshold), reps, sets, threshold)
     members = cut(still.where(F.col("size") > RARE).select("cid").distinct())
-    if not members.isEmpty():
-        links = _combined(members, comp, links, reps, sets, threshold)
-    comp = components(links)
+    comp = _merged(comp, links) if members.isEmpty() else _combined(members, comp, links, reps, sets, threshold)
     none = first.where("n = 0").select("uid", "doc_id", "n", F.col("uid").alias("cid"))
     named = rows.join(comp.toDF("cid", "component"), "cid", "left").withColumn("cid", F.coalesce("component", "cid")).drop("component").unionByName(none)
     out = salted_min(named.withColumn("own", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")), ["cid"], "own", "lead", "uid")
