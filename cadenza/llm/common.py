@@ -96,27 +96,28 @@ def salted_min(df: DataFrame, keys: list[str], value: str, out: str, by: str) ->
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of the undirected links (a, b), for every node in a link.
 
-    Alternating large-star and small-star rounds; each round is one min per node and a salted join, and is written
-    to the shared folder. Nothing is gathered.
+    Alternating large-star and small-star rounds, until every node hangs on one root that hangs on nothing; each round
+    is one min per node and a salted join for either star, and is written to the shared folder. Nothing is gathered.
     """
-    spark = links.sparkSession
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while not _tangled(edges).isEmpty():
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         # Large star: each neighbour above u is tied to the least of u and its neighbours.
         m = salted_min(both.withColumn("w", F.least("u", "v")), ["u"], "w", "m", "v")
-        large = m.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = m.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # Small star: u and its neighbours below are tied to the least of them.
         m = salted_min(large, ["u"], "v", "m", "v")
-        small = m.select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = m.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         last, edges = edges, cut(small)
         drop(last)
-        # Done when every node hangs on one root that hangs on nothing.
-        sign = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == tuple(sign):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        seen = tuple(sign)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def _tangled(edges: DataFrame) -> DataFrame:
+    """Nodes of the edges (u, v), v < u, that hang on several nodes, or on one while others hang on them."""
+    end = lambda node, up, down: F.struct(F.col(node).alias("node"), F.lit(up).alias("up"), F.lit(down).alias("down"))
+    ends = edges.select(F.inline(F.array(end("u", 1, 0), end("v", 0, 1))))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1")
 
 
 def sample_of(rows: DataFrame, size: int, by: str) -> DataFrame:

@@ -235,6 +235,32 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_random_links(spark):
+    """Chains, cycles, hubs, trees, repeated and turned links, a link to itself and null ends, against union-find."""
+    import random
+
+    from cadenza.llm.common import components
+
+    rnd = random.Random(5)
+    links = [(k, k + 1) for k in range(0, 40)] + [(100, 140 - k) for k in range(39)] + [(200 + k, 200 + (k + 1) % 7) for k in range(7)]
+    links += [(299, 300 + k) for k in range(30)] + [(330, 300 + k) for k in range(30)] + [(400, 400), (401, 400), (400, 401), (401, 400), (None, 5), (6, None)]
+    links += [(rnd.randrange(1000, 1300), rnd.randrange(1000, 1300)) for _ in range(140)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            x, y = top(a), top(b)
+            root[max(x, y)] = min(x, y)
+    rows = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(rows) == len(root)
+    assert {r["node"]: r["component"] for r in rows} == {x: top(x) for x in root}
+
+
 def test_substring_dedup(docs, empty, sample):
     from cadenza.llm.substring_dedup import substring_dedup
 
