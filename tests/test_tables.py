@@ -54,6 +54,12 @@ def test_frame_difference_wraps(spark):
     assert [r.y for r in V.frame_difference(fr, wrap=False).orderBy("frame").collect()] == [0, 1, 0]
 
 
+def test_gray_of_halves(spark):
+    px = [(r, g, b) for r in range(0, 256, 3) for g in range(0, 256, 5) for b in range(0, 256, 2) if (299 * r + 587 * g + 114 * b) % 1000 == 500]
+    got = spark.createDataFrame(px, "r long, g long, b long").select("r", "g", "b", V.gray(F.col("r"), F.col("g"), F.col("b")).alias("y")).collect()
+    assert len(got) > 500 and all(x.y == (299 * x.r + 587 * x.g + 114 * x.b + 500) // 1000 for x in got)
+
+
 def test_profile_shift_cubic(spark):
     rng = np.random.default_rng(4)
     img = rng.integers(0, 255, (3, 9, 6))
