@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect
 from collections.abc import Iterator
+from itertools import chain
+from operator import add
 from zlib import crc32
 
 import numpy as np
@@ -22,22 +25,54 @@ from pyspark.sql import functions as F
 
 SAMPLE, SEQUENCES, BUCKETS, BLOCK = 4_000, 3_000, 1 << 15, 32
 SPAN, EPOCHS, RATE, DECAY = 24, 5, 0.5, 1e-5
-_CACHE_ROWS = 400_000
+_CACHE_ROWS, _CACHE_GRAMS = 400_000, 100_000
 #: Numbers that are neither letters nor decimal digits, such as fractions, superscripts and Roman numerals.
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
 #: A word is a run of letters (Unicode category L); longer runs, as in scripts without spaces, are consecutive words.
 LONGEST = 24
 _LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]{{1,{LONGEST}}}")
+#: That class of categories and hundreds of ranges is slow. Numbers of the basic plane, which are one look at a table for
+#: each character, become a digit first, and it is only used where there are others.
+_WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
+_BASIC = re.compile("[" + "".join(c for c in _NUMBERS if c <= "\uffff") + "]")
+_BEYOND, _OTHER = re.compile("[\U00010000-\U0010ffff]"), frozenset(c for c in _NUMBERS if c > "\uffff")
 
 
-def word_features(word: str) -> np.ndarray:
+def words_of(text: str) -> list[str]:
+    """_LETTERS.findall(text)."""
+    if not text.isascii():
+        text = _BASIC.sub("0", text)
+        if not _OTHER.isdisjoint(_BEYOND.findall(text)):
+            return _LETTERS.findall(text)
+    return _WORD.findall(text)
+
+
+class _Grams(dict):
+    """name of an affix or n-gram -> bucket, emptied when full."""
+
+    def __missing__(self, name: str) -> int:
+        if len(self) >= _CACHE_GRAMS:
+            self.clear()
+        at = self[name] = crc32(name.encode("utf-8", "replace")) % BUCKETS
+        return at
+
+
+_bucket_of = _Grams()
+
+
+def word_features(word: str) -> list[int]:
     """Buckets of the word's affixes, n-grams and identity."""
     w = word.lower()
-    e = f"^{w}$"
-    names = {"=" + w, *(f"<{w[:k]}" for k in (1, 2, 3)), *(f">{w[-k:]}" for k in (1, 2, 3))}
-    names |= {e[i : i + n] for n in (1, 2, 3) for i in range(len(e) - n + 1)}
-    raw = "\0".join(sorted(names)).encode("utf-8", "replace").split(b"\0")
-    return np.array([crc32(x) % BUCKETS for x in raw])
+    e, whole = f"^{w}$", "=" + w
+    names = {whole, "<" + w[:1], "<" + w[:2], "<" + w[:3], ">" + w[-1:], ">" + w[-2:], ">" + w[-3:], *e}
+    names.update(map(add, e, e[1:]))
+    names.update([e[i : i + 3] for i in range(len(e) - 2)])
+    names.discard(whole)  # the identity comes too seldom to be kept
+    ordered = sorted(names)
+    at = bisect(ordered, whole)
+    out = list(map(_bucket_of.__getitem__, ordered))
+    out.insert(at, crc32(whole.encode("utf-8", "replace")) % BUCKETS)
+    return out
 
 
 def forward_backward(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,8 +105,11 @@ class Tagger:
     def __init__(self, labels: list[str], weights: np.ndarray, transition: np.ndarray, start: np.ndarray):
         self.labels, self.weights, self.transition, self.start = labels, weights.astype(np.float32), transition, start
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.weights[word_features(word)].sum(0)
+    def emissions(self, words: list[str]) -> np.ndarray:
+        feats = [word_features(w) for w in words]
+        size = np.fromiter(map(len, feats), np.int64, len(feats))
+        flat = np.fromiter(chain.from_iterable(feats), np.int64, int(size.sum()))
+        return np.add.reduceat(self.weights[flat], np.cumsum(size) - size, axis=0)
 
 
 def train(texts: list[str], langs: list[str], seed: int = 7, most: int = SEQUENCES) -> Tagger:
@@ -84,7 +122,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, most: int = SEQUENC
         return Tagger(labels, np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k))
     by: list[list[list[str]]] = [[] for _ in labels]
     for t, x in zip(texts, langs, strict=True):
-        words = _LETTERS.findall(t)
+        words = words_of(t)
         by[number[x]] += [words[i : i + SPAN] for i in range(0, len(words), SPAN)]
     vocabulary: dict[str, int] = {}
     sequences = []
@@ -103,7 +141,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, most: int = SEQUENC
             sequences.append((words, ys))
     feats = [word_features(w) for w in vocabulary]
     owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    flat = np.concatenate(feats)
+    flat = np.array(list(chain.from_iterable(feats)), np.int64)
     w, trans, start = np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k)
     sw, st, ss = np.full((BUCKETS, k), 1e-6), np.full((k, k), 1e-6), np.full(k, 1e-6)
     size = 250
@@ -201,16 +239,22 @@ class _Rows(dict):
 
     def __init__(self, tagger: Tagger):
         super().__init__()
-        self.tagger, self.table = tagger, np.zeros((1024, len(tagger.labels)), np.float32)
+        self.tagger, self.table, self.new = tagger, np.zeros((1024, len(tagger.labels)), np.float32), []
 
     def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[i] = self.tagger.emission(word)
-        self[word] = i
+        i = self[word] = len(self)
+        self.new.append(word)
         return i
 
+    def scored(self) -> np.ndarray:
+        """The table, with the words that came since the last time."""
+        while len(self) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        if self.new:
+            self.table[len(self) - len(self.new) : len(self)] = self.tagger.emissions(self.new)
+            self.new = []
+        return self.table
+
 
 _state: dict = {}
 
@@ -228,11 +272,11 @@ def _labelled(model, words_out: bool):
                 if len(rows) > _CACHE_ROWS:
                     rows = _state["rows"] = _Rows(tagger)
                 part = b.iloc[lo : lo + 400]
-                found = [[] if t is None else _LETTERS.findall(t.lower()) for t in part["text"]]
-                ids = np.fromiter((rows[w] for ws in found for w in ws), np.int64)
+                found = [[] if t is None else words_of(t.lower()) for t in part["text"]]
+                ids = np.fromiter(map(rows.__getitem__, chain.from_iterable(found)), np.int64)
                 owner = np.repeat(np.arange(len(part)), [len(ws) for ws in found])
                 mean = np.zeros((len(part), k))
-                post = posteriors(rows.table[ids].astype(float), owner, tagger) if len(ids) and k else np.zeros((0, k))
+                post = posteriors(rows.scored()[ids].astype(float), owner, tagger) if len(ids) and k else np.zeros((0, k))
                 for c in range(k):
                     mean[:, c] = np.bincount(owner, post[:, c], len(part))
                 n = np.bincount(owner, minlength=len(part))

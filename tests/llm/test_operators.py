@@ -688,6 +688,29 @@ def test_long_runs_of_letters():
     assert _LETTERS.findall("ab\u00bdc1d_e \u2163") == ["ab", "c", "d", "e"]
 
 
+def test_words_and_features_of_language_id():
+    import time
+    from zlib import crc32
+
+    from cadenza.llm.language_id import _LETTERS, BUCKETS, word_features, words_of
+
+    for t in ("", "ab\u00bdc1d_e \u2163 \u00b2x \U0001f600y", "a\U00010107b \u4e00\u4e8c\U0001f600", "\u00e9t\u00e9 na\u00efve \u0660x \U0001d7d8z\U0001f100q", "x" * 60):
+        assert words_of(t) == _LETTERS.findall(t)
+    for w in ("a", "ab", "na\u00efve", "\u0130i", "aaaaaa", "\u4e00" * 24):
+        e = f"^{w.lower()}$"
+        names = {"=" + w.lower(), *(f"<{w.lower()[:k]}" for k in (1, 2, 3)), *(f">{w.lower()[-k:]}" for k in (1, 2, 3)), *(e[i : i + n] for n in (1, 2, 3) for i in range(len(e) - n + 1))}
+        assert list(word_features(w)) == [crc32(x.encode()) % BUCKETS for x in sorted(names)]
+
+    def took(find, text):
+        began = time.process_time()
+        find(text)
+        return time.process_time() - began
+
+    for text in ("the quick brown fox " * 20_000, "l'\u00e9t\u00e9 \U0001f600 \u00bd na\u00efve " * 20_000):
+        assert min(took(words_of, text) for _ in range(3)) < min(took(_LETTERS.findall, text) for _ in range(3)) / 3
+
+
+
 def test_pipeline_rows(spark):
     """A row goes by its id and text: copies under a kept id go, and null ids do not protect each other."""
     import corpus_pipeline as cp
