@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.bpe import Vocabulary
-from cadenza.llm.common import cut, drop, id_and_text, sliced
+from cadenza.llm.common import alone, cut, drop, id_and_text, sliced
 
 #: A batch has at most so many characters (or one text) and so many documents; ids are below 1 << BITS.
 BATCH_CHARS, BATCH_DOCS, BITS = 4_000_000, 8_192, 20
@@ -264,6 +264,7 @@ def best_of(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _chunks_of(spec, model) -> Chunks:
     """The worker's chunks."""
+    alone("alignment", _state.clear)
     c = _state.get("chunks")
     if c is None or len(c) > _CHUNKS:
         _state["encoders"] = _state.get("encoders") or Encoders(spec.value, model.value)

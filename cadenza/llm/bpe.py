@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import cut, id_and_text
+from cadenza.llm.common import alone, cut, id_and_text
 
 #: Words in the lexicon (the most frequent ones), and the longest in bytes.
 LEXICON, LONGEST = 32_768, 32
@@ -327,6 +327,7 @@ class Codec:
 
 
 def _codec(spec: str, lexicon: bytes | None) -> Codec:
+    alone("bpe", _state.clear)
     key = hash((spec, lexicon))
     if _state.get("key") != key:
         _state.update(key=key, codec=Codec(Vocabulary(spec), Lexicon(lexicon) if lexicon else None))

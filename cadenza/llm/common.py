@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,20 @@ def drop(*frames: DataFrame) -> None:
         path.getFileSystem(f.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+_kept: dict = {}
+
+
+def alone(owner: str, *clear: Callable[[], None]) -> None:
+    """What a worker process keeps from batch to batch belongs to one operator (owner) at a time: when another's work
+    comes to it, what it kept is let go first. clear: the functions that let go of the owner's."""
+    if _kept.get("owner") == owner:
+        return
+    for f in _kept.get("clear", ()):
+        f()
+    _kept.update(owner=owner, clear=clear)
+    pa.default_memory_pool().release_unused()
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator reads, under fixed names, whatever else docs carries."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import alone
+
 SAMPLE, SEQUENCES, BUCKETS, BLOCK = 4_000, 3_000, 1 << 15, 32
 SPAN, EPOCHS, RATE, DECAY = 24, 5, 0.5, 1e-5
 _CACHE_ROWS, _CACHE_GRAMS = 400_000, 100_000
@@ -261,6 +263,7 @@ _state: dict = {}
 
 def _labelled(model, words_out: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        alone("language_id", _state.clear, _bucket_of.clear)
         tagger = model.value
         if _state.get("tagger") is not tagger:
             _state.update(tagger=tagger, rows=_Rows(tagger))

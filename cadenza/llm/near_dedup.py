@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import components, cut, drop, id_and_text, salted_min
+from cadenza.llm.common import alone, components, cut, drop, id_and_text, salted_min
 
 K = 48
 RISK = 1e-9
@@ -60,6 +60,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the width-word shingles; with fewer words, of the whole sequence."""
+    alone("words", _hash_of.clear)
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
@@ -90,7 +91,7 @@ def _sketches(width: int, threshold: float):
             for i, h, t in zip(b["doc_id"].array, b["text_hash"], b["text"], strict=True):
                 s = shingle_set(t, width)
                 d = np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                out.append((i, h, len(s), int(d[0]), int(d[1]), s[:K].view(np.int64)))
+                out.append((i, h, len(s), int(d[0]), int(d[1]), s[:K].view(np.int64).copy()))  # a view would hold the whole set
             yield pd.DataFrame(out, columns=["doc_id", "text_hash", "n", "d1", "d2", "sketch"]).astype({"doc_id": "Int64"})
 
     return run

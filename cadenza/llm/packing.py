@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import cut, id_and_text
+from cadenza.llm.common import alone, cut, id_and_text
 
 #: Groups of large lengths. More groups waste less by rounding; the plan's work grows with them, not with the input.
 GROUPS = 2048
@@ -57,6 +57,7 @@ class _Ids(dict):
 
 def _tokenizer(spec: str):
     """The tokenizer and the worker's cache for it."""
+    alone("packing", _state.clear)
     key = hash(spec)
     if _state.get("key") != key:
         import os

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cadenza.llm.common import alone
 from cadenza.llm.near_dedup import _hash_of
 from cadenza.llm.suffix_dedup import _spans
 from cadenza.llm.windows import RANGE, covered, gram_hashes, repeated_runs, rows_of, segments, shards, with_ranges
@@ -28,6 +29,7 @@ NOBODY = 2**63 - 1
 
 
 def _symbols(text: str) -> np.ndarray:
+    alone("words", _hash_of.clear)
     words = text.encode("utf-8", "replace").split()
     return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
 

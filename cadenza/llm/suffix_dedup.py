@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import alone
 from cadenza.llm.windows import RANGE, covered, gram_hashes, repeated_runs, rows_of, segments, shards, with_ranges
 
 GRAM, LONGEST = 64, 256
@@ -29,6 +30,7 @@ SHARD = 4_000_000
 
 
 def _symbols(text: str) -> np.ndarray:
+    alone("suffix_dedup")
     return np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.uint64)
 
 

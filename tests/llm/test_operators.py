@@ -775,3 +775,24 @@ def test_pipeline(spark, docs, empty):
     for _, stage in cp.STAGES:
         now = cut(stage(spark, now, ""))
     assert now.count() == 0
+
+
+def test_a_worker_keeps_one_operators_caches():
+    import pandas as pd
+
+    from cadenza.llm import language_id as L
+    from cadenza.llm import near_dedup as N
+    from cadenza.llm import suffix_dedup as S
+
+    class Model:
+        value = L.train(["ab ba abba"] * 3, ["x", "y", "x"])
+
+    rows = pd.DataFrame({"doc_id": [1], "text": ["ab zz"], "text_hash": [0]})
+    found = [list(L._labelled(Model, False)(iter([rows]))) for _ in range(2)]
+    assert found[0][0].equals(found[1][0]) and len(L._state["rows"]) == 2 and L._bucket_of
+    N.shingle_set("ab zz ab", 2)
+    assert not L._state and not L._bucket_of and len(N._hash_of) == 2
+    assert list(N._sketches(2, 0.8)(iter([rows])))[0]["sketch"][0].base is None
+    S._symbols("ab")
+    assert not N._hash_of
+    assert list(L._labelled(Model, False)(iter([rows])))[0].equals(found[0][0])
