@@ -69,12 +69,23 @@ def _not_a_knot(n: int) -> np.ndarray:
     return np.linalg.solve(a, r)
 
 
+#: Grid points that are evaluated at a time, but for a single longer row; a dozen arrays of so many doubles are held.
+GRID = 1 << 18
+
+
+def _parts(b: pd.DataFrame, fine: int) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of at most GRID grid points together, as if each were as long as the longest (or one row)."""
+    many = max(1, GRID // max(1, fine * int(b["c"].map(len).max()))) if len(b) else 1
+    for lo in range(0, len(b), many):
+        yield b.iloc[lo : lo + many]
+
+
 def _spline_peaks(fine: int):
     """The grid index of the peak of each row's spline. The system depends on the length only and is solved once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maps: dict[int, np.ndarray] = {}
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole, fine)):
             at = np.zeros(len(b))
             length = b["c"].map(len).to_numpy()
             for n in np.unique(length).tolist():

@@ -77,6 +77,22 @@ def test_profile_shift_cubic(spark):
                 assert abs(y / 20 - np.argmax(c) * per) <= per
 
 
+def test_spline_peaks_hold_few_grid_points():
+    import tracemalloc
+
+    import pandas as pd
+
+    c = list(np.random.default_rng(5).normal(size=(4000, 13)))
+    b = pd.DataFrame({"trial": 1, "frame": range(4000), "c": c})
+    tracemalloc.start()
+    got = pd.concat(list(V._spline_peaks(100)(iter([b, b[:0]]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["frame"].tolist() == b["frame"].tolist() and peak < 40e6
+    alone = [next(V._spline_peaks(100)(iter([b[i : i + 1]])))["at"].iloc[0] for i in range(0, 4000, 500)]
+    assert got["at"].tolist()[::500] == alone
+
+
 def test_labels(spark):
     d = spark.createDataFrame([("a b/c-", "x10", "kf__y__z"), ("--", "x9", "plain"), ("", "x2b", "__q")], "s string, k string, m string")
     base, head = X.split_method(F.col("m"))
