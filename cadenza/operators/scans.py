@@ -34,14 +34,31 @@ def unchunked(chunks: DataFrame, keys: Keys, columns: list[str]) -> DataFrame:
     return r.select(*keys, "_r.n", *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
+#: Places that fn is given at a time, chunks padded to the longest among them.
+PLACES = 1 << 17
+
+
+def parts(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Consecutive rows that have at most PLACES places together once padded, or one row."""
+    lo = longest = 0
+    for i, size in enumerate(b["n" if "n" in b else "at"].map(len).tolist() if len(b) else []):
+        if i > lo and max(longest, size) * (i - lo + 1) > PLACES:
+            yield b.iloc[lo:i]
+            lo, longest = i, 0
+        longest = max(longest, size)
+    if lo < len(b):
+        yield b.iloc[lo:]
+
+
 def each(chunks: DataFrame, keep: list[str], fn: Callable[[pd.DataFrame], dict], out: dict[str, str]) -> DataFrame:
-    """The columns keep of each Arrow batch and what fn makes of it; out: names and types of fn's columns."""
+    """The columns keep of each Arrow batch and what fn makes of it, a part at a time; out: names and types of fn's
+    columns."""
     kinds = dict(chunks.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                yield pd.DataFrame({k: b[k] for k in keep} | fn(b))
+            for part in parts(b):
+                yield pd.DataFrame({k: part[k] for k in keep} | fn(part))
 
     return chunks.mapInPandas(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"`{n}` {t}" for n, t in out.items()]))
 

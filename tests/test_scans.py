@@ -219,3 +219,23 @@ def test_learning_steps_ragged_sequences_together(monkeypatch):
     for fn, args in ((K.oscillator_statistics, (0.9, 0.7, 0.2, 0.5)), (K.level_statistics, (3e-4, 5e-3))):
         assert np.allclose(fn(some, *args), sum(fn([y], *args) for y in some))
     assert np.isfinite(got[0]).all() and np.isfinite(got[1]).all()
+
+
+def test_chunks_are_handed_on_in_bounded_parts():
+    import pandas as pd
+
+    from cadenza.operators import scans
+
+    sizes = [5, 0, 4096, 7, 3] + [1000] * 300 + [scans.PLACES + 1, 2]
+    b = pd.DataFrame({"key": range(len(sizes)), "n": [[0] * k for k in sizes]})
+
+    class Chunks:
+        dtypes = [("key", "bigint"), ("n", "array<int>")]
+
+        def mapInPandas(self, run, schema):
+            return run(iter([b[:0], b]))
+
+    seen = []
+    got = list(scans.each(Chunks(), ["key"], lambda f: seen.append([len(x) for x in f["n"]]) or {"size": f["n"].map(len)}, {"size": "int"}))
+    assert [k for f in got for k in f["size"]] == sizes and [k for f in got for k in f["key"]] == list(range(len(sizes)))
+    assert len(seen) < 10 and all(len(x) == 1 or max(x) * len(x) <= scans.PLACES for x in seen)
