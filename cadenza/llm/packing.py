@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.llm.bpe import _byte_of_char
 from cadenza.llm.common import alone, cut, id_and_text
 
 #: Groups of large lengths. More groups waste less by rounding; the plan's work grows with them, not with the input.
@@ -26,9 +27,54 @@ GROUPS = 2048
 #: Lengths of at least CAPACITY / LARGE count as large.
 LARGE = 8
 _CACHE_ROWS = 700_000
+#: ASCII marks that end a word, and the letters (below U+0250, of one lower-case letter each) that a tokenizer may join to one piece.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1)
+_CHAR_OF_BYTE = {b: c for c, b in _byte_of_char().items()}
 _state: dict = {}
 
 
+class _Words:
+    """Encodes words as the tokenizer does, with less work for common kinds of them.
+
+    Marks after a letter or digit are a piece of their own, so a word's ids are those of what stands before its last
+    marks and those of the marks. Words of plain letters are one piece, which goes to the model in lower case without
+    the search for pieces; whether the tokenizer does so with these letters is tried first.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.piece_of = {ord(c): "".join(_CHAR_OF_BYTE[b] for b in c.lower().encode()) for c in _LETTERS}
+        text = tokenizer.normalizer.normalize_str(_LETTERS) if tokenizer.normalizer else ""
+        pieces = tokenizer.pre_tokenizer.pre_tokenize_str(f"{text}.,7;") if tokenizer.pre_tokenizer else []
+        tried = [p for p, _ in pieces] == [_LETTERS.translate(self.piece_of), ".,", "7", ";"]
+        self.letters = set(_LETTERS) if tried else set()
+        self.ends = self.letters | set("0123456789") if tried else set()
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids as bytes."""
+        got: dict[str, bytes] = {}
+        parts, rest = [], []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            core = text.rstrip(_MARKS)
+            split = len(core) < len(text) and core and core[-1] in self.ends and "<|" not in text
+            part = (core, text[len(core) :]) if split else (text,)
+            parts.append(part)
+            for x in part:
+                if x not in got:
+                    if self.letters.issuperset(x):
+                        got[x] = array("I", [t.id for t in self.model.tokenize(x.translate(self.piece_of))]).tobytes()
+                    else:
+                        got[x] = b""
+                        rest.append(x)
+        for lo in range(0, len(rest), 4096):
+            some = rest[lo : lo + 4096]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                got[x] = array("I", e.ids).tobytes()
+        return [b"".join([got[x] for x in p]) for p in parts]
+
+
 class _Ids(dict):
     """word -> its ids as bytes. When full, only words that more than one block of texts had stay."""
 
@@ -36,7 +82,7 @@ class _Ids(dict):
         super().__init__()
         self.again: set[bytes] = set()
 
-    def fill(self, words: set[bytes], tokenizer) -> None:
+    def fill(self, words: set[bytes], tokenizer: _Words) -> None:
         new = words.difference(self)
         self.again |= words - new
         if len(self) + len(new) > _CACHE_ROWS:
@@ -48,11 +94,7 @@ class _Ids(dict):
             self.again = set()
             new = words.difference(self)
         new = list(new)
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            for w, e in zip(part, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                self[w] = array("I", e.ids).tobytes()
+        self.update(zip(new, tokenizer.encode(new), strict=True))
 
 
 def _tokenizer(spec: str):
@@ -68,7 +110,7 @@ def _tokenizer(spec: str):
         t = Tokenizer.from_str(spec)
         t.no_truncation()
         t.no_padding()
-        _state.update(key=key, tokenizer=t, ids=_Ids())
+        _state.update(key=key, tokenizer=_Words(t), ids=_Ids())
     return _state["tokenizer"], _state["ids"]
 
 

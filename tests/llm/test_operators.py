@@ -796,3 +796,33 @@ def test_a_worker_keeps_one_operators_caches():
     S._symbols("ab")
     assert not N._hash_of
     assert list(L._labelled(Model, False)(iter([rows])))[0].equals(found[0][0])
+
+
+def test_packing_encodes_words_by_their_parts():
+    """Ids of odd words are the library's; common words do not go through its whole path, nor once for each mark."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from cadenza.llm.packing import _LETTERS, _Ids, _Words
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sent = []
+
+    class Counted:
+        normalizer, pre_tokenizer, model = plain.normalizer, plain.pre_tokenizer, plain.model
+
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return plain.encode_batch_fast(texts, **kw)
+
+    rng = random.Random(11)
+    some = [*_LETTERS[::9], *"abcst'.,<|>!7_-", *"İ̸́Kς一 ​\x1cͅ\U0001f600"]
+    odd = ["".join(rng.choices(some, k=rng.randrange(1, 9))) for _ in range(20_000)] + ["<|endoftext|>", "a<|endoftext|>,", "\u0130,", "don't.", "x's!'s"]
+    words = [w.encode() for w in odd]
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch_fast(odd, add_special_tokens=False)]
+    assert _Words(plain).encode(words) == want
+    ids = _Ids()
+    ids.fill({f"{w}{m}".encode() for w in ("house", "señor", "Über", "straße") for m in ("", ".", ",", "!!", ".$$$")}, _Words(Counted()))
+    assert sorted(sent) == sorted([".", ",", "!!", ".$$$"])
+    assert len(ids) == 20
