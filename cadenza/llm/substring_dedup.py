@@ -11,15 +11,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from cadenza.llm.common import alone
-from cadenza.llm.near_dedup import _hash_of
 from cadenza.llm.suffix_dedup import _spans
-from cadenza.llm.windows import RANGE, covered, gram_hashes, repeated_runs, rows_of, segments, shards, with_ranges
+from cadenza.llm.windows import RANGE, covered, gram_hashes, mix, repeated_runs, rows_of, segments, shards, with_ranges
 
 GRAM, LONGEST = 4, 64
 #: Bytes of a word's hash that travel in a segment.
@@ -28,10 +28,43 @@ WORD = 5
 NOBODY = 2**63 - 1
 
 
+#: Bytes whose words are hashed at a time; a longer word is hashed by its digest.
+BLOCK = 1 << 14
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_STEP = 0xD6E8FEB86659FD93
+_POWER, _INVERSE = (np.r_[np.uint64(1), np.multiply.accumulate(np.full(BLOCK - 1, c, np.uint64))] for c in (_STEP, pow(_STEP, -1, 2**64)))
+with np.errstate(over="ignore"):
+    _OF_BYTE = mix(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP)))
+
+
 def _symbols(text: str) -> np.ndarray:
-    alone("words", _hash_of.clear)
-    words = text.encode("utf-8", "replace").split()
-    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    """A 64-bit hash of each word: the mixed value of a polynomial in its bytes, all words of a block at once.
+
+    Of a block's bytes, times the powers of their places, sums are taken up to each place; what a word adds to them is
+    divided by the power of its start, so that it is the same at all places.
+    """
+    alone("substring_dedup")
+    raw = b" %b " % text.encode("utf-8", "replace")
+    x = np.frombuffer(raw, np.uint8)
+    blank = _BLANK[x]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(out):
+        base = start[lo]
+        hi = int(np.searchsorted(end, base + BLOCK, "right")) if len(x) > BLOCK else len(out)
+        if hi == lo:  # a word beyond a block
+            hi = lo + 1
+            out[lo] = int.from_bytes(blake2b(raw[base : end[lo]], digest_size=8).digest(), "little")
+        else:
+            n = end[hi - 1] - base
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_OF_BYTE[x[base : base + n]] * _POWER[:n], out=total[1:])
+            at = start[lo:hi] - base
+            out[lo:hi] = mix((total[end[lo:hi] - base] - total[at]) * _INVERSE[at])
+        lo = hi
+    return out
 
 
 def _pieces(text: str):

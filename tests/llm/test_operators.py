@@ -826,3 +826,29 @@ def test_packing_encodes_words_by_their_parts():
     ids.fill({f"{w}{m}".encode() for w in ("house", "señor", "Über", "straße") for m in ("", ".", ",", "!!", ".$$$")}, _Words(Counted()))
     assert sorted(sent) == sorted([".", ",", "!!", ".$$$"])
     assert len(ids) == 20
+
+
+def test_word_hashes_of_substring_dedup(monkeypatch):
+    """A word's hash is the same at all places of all blocks and another word's differs; no word is hashed by itself
+    but one beyond a block, and a worker keeps none."""
+    import random
+
+    from cadenza.llm import near_dedup as N
+    from cadenza.llm import substring_dedup as D
+
+    rng = random.Random(4)
+    known = [*map(chr, range(33, 127)), "ab", "ba", "aab", "aba", "é", "é", "a\xa0b", "a\x1cb", "\x00", "\x00\x00", *("".join(rng.choices("abé", k=rng.randrange(3, 30))) for _ in range(200))]
+    alone = {w: int(D._symbols(w)[0]) for w in known}
+    assert len(set(alone.values())) == len(alone) and len({h & (1 << 40) - 1 for h in alone.values()}) == len(alone)
+    text = "".join(rng.choice(["", " "]) + w + rng.choice([" ", "\n", "\t \v", "\f\r"]) for w in rng.choices(known, k=20_000))
+    words = [w.decode() for w in text.encode().split()]
+    assert len(text.encode()) > 3 * D.BLOCK
+    digests = []
+    monkeypatch.setattr(D, "blake2b", lambda *a, **kw: digests.append(a) or hashlib.blake2b(*a, **kw))
+    N._hash_of.clear()
+    assert D._symbols(text).tolist() == [alone[w] for w in words]
+    assert not digests and not N._hash_of
+    long = "x" * D.BLOCK
+    got = D._symbols(f"{long}y ab {long} {long}y{'z' * 40} ba {long}y").tolist()
+    assert got[1::3] == [alone["ab"], alone["ba"]] and got[0] == got[5] and len(set(got)) == 5 and len(digests) == 3
+    assert D._symbols("").tolist() == D._symbols(" \n").tolist() == []
