@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -61,6 +63,8 @@ def stream_autotune(rows: DataFrame) -> DataFrame:
 #: The provider that holds value, map and timer state on disk.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _NONE = -1
+#: Samples of a row that leaves the state, at most.
+_PACK = 10_000
 #: Where times begin for samples without any (the first watermark is 1970, and what is not after it is late).
 _EPOCH = 946_684_800
 
@@ -83,33 +87,39 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", f"last int, seen long, {self.schema}")
         self.waiting = handle.getMapState("waiting", "n int", f"ts long, {self.kinds}")
+        self.row = Row("key", "n", *self.out)
 
-    def _load(self) -> tuple[int, int, tuple]:
-        if not self.state.exists():
-            return _NONE, 0, self.start
-        last, seen, *rest = self.state.get()
-        return last, seen, tuple(rest)
+    def _packed(self, key, rows: list[tuple]) -> Iterator[Row]:
+        for lo in range(0, len(rows), _PACK):
+            yield self.row(key, *map(list, zip(*rows[lo : lo + _PACK], strict=True)))
 
-    def _hand_on(self, key, last: int, state: tuple, ready: list[tuple[int, tuple]]) -> tuple[int, tuple, list]:
+    def _load(self) -> tuple[int, int, tuple, bool]:
+        """The last sample handed on, the latest time seen, the state, and whether there was any."""
+        got = self.state.get()
+        if got is None:
+            return _NONE, 0, self.start, False
+        last, seen, *rest = got
+        return last, seen, tuple(rest), True
+
+    def _hand_on(self, last: int, state: tuple, ready: list[tuple[int, tuple]]) -> tuple[int, tuple, list]:
         rows = []
         for n, v in ready:
             state, row = self.step(state, v)
             last = n
             if row is not None:
-                rows.append((key, n, *row))
+                rows.append((n, *row))
         return last, state, rows
 
     def _save(self, last: int, seen: int, state: tuple, early: dict[int, tuple]) -> None:
         self.state.update((last, seen, *state))
         self.handle.registerTimer((min(v[0] for v in early.values()) if early else seen + self.idle_ms) + 1)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, seen, state = self._load()
-        was = {n[0]: tuple(v) for n, v in self.waiting.iterator()} if self.state.exists() else {}
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last, seen, state, known = self._load()
+        was = {n[0]: tuple(v) for n, v in self.waiting.iterator()} if known else {}
         early = dict(was)
-        for b in rows:
-            ms = (b["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
-            for n, t, *v in zip(b["n"].tolist(), ms, *[b[c].tolist() for c in self.values], strict=True):
+        for r in rows:
+            for n, t, *v in zip(r["n"], r["ms"], *[r[c] for c in self.values], strict=True):
                 seen = max(seen, t)
                 if n > last:
                     early.setdefault(n, (t, *v))
@@ -117,16 +127,16 @@ class InOrder(StatefulProcessor):
         while n in early:
             ready.append((n, early.pop(n)[1:]))
             n += 1
-        last, state, out = self._hand_on(key[0], last, state, ready)
+        last, state, out = self._hand_on(last, state, ready)
         for n in was.keys() - early.keys():
             self.waiting.removeKey((n,))
         for n in early.keys() - was.keys():
             self.waiting.updateValue((n,), early[n])
         self._save(last, seen, state, early)
-        yield pd.DataFrame(out, columns=["key", "n", *self.out])
+        yield from self._packed(key[0], out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, seen, state = self._load()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last, seen, state, known = self._load()
         now = timerValues.getCurrentWatermarkInMs()
         early = {n[0]: tuple(v) for n, v in self.waiting.iterator()}
         out: list = []
@@ -136,24 +146,56 @@ class InOrder(StatefulProcessor):
             while to + 1 in early:  # and those whose turn it then is
                 to += 1
             ready = [(n, early[n][1:]) for n in sorted(early) if n <= to]
-            last, state, out = self._hand_on(key[0], last, state, ready)
+            last, state, out = self._hand_on(last, state, ready)
             for n, _ in ready:
                 self.waiting.removeKey((n,))
                 early.pop(n)
             self._save(last, seen, state, early)
-        elif self.state.exists() and seen + self.idle_ms <= now:
+        elif known and seen + self.idle_ms <= now:
             self.state.clear()
-        yield pd.DataFrame(out, columns=["key", "n", *self.out])
+        yield from self._packed(key[0], out)
 
     def close(self) -> None:
         pass
 
 
-def _in_order(signal: DataFrame, processor: InOrder, schema: str, delay: str) -> DataFrame:
+def _packs(columns: list[str]) -> Callable:
+    """Each Arrow batch's rows as one row for a key: its samples as arrays, in the order they came, and their latest
+    time (latest, in ms)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = b.column("key").dictionary_encode("encode").indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            head = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+            rows = b.take(pa.array(order))
+            ends = pa.array(np.r_[head, len(order)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, rows.column(c)) for c in columns]
+            latest = np.maximum.reduceat(rows.column("ms").to_numpy(), head)
+            yield pa.RecordBatch.from_arrays([rows.column("key").take(pa.array(head)), *lists, pa.array(latest)], ["key", *columns, "latest"])
+
+    return run
+
+
+def _in_order(signal: DataFrame, processor: InOrder, key_type: str, schema: str, delay: str) -> DataFrame:
+    """key, n and what the processor gives (schema). Samples come to the state and leave it as arrays, one row for a key
+    and Arrow batch: the state's rows pass through Python one by one, and each key's as an Arrow batch of its own.
+
+    A row's time is that of its latest sample, so samples that are late by more than delay are dropped only where no
+    newer one of their key came with them; the others go on if their turn has not passed.
+    """
     signal.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     ts = F.col("ts") if "ts" in signal.columns else F.timestamp_seconds(F.lit(_EPOCH) + F.col("n"))
-    timed = signal.select("key", "n", *processor.values, ts.cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    return timed.groupBy("key").transformWithStateInPandas(processor, schema, "append", "eventTime")
+    flat = signal.select(F.col("key").cast(key_type).alias("key"), F.col("n").cast("int").alias("n"), *[F.col(c).cast("double").alias(c) for c in processor.values], F.unix_millis(ts.cast("timestamp")).alias("ms"))
+    columns = ["n", *processor.values, "ms"]
+    kinds = f"key {key_type}, n array<int>, {''.join(f'{c} array<double>, ' for c in processor.values)}ms array<long>, latest long"
+    packed = flat.mapInArrow(_packs(columns), kinds).withColumn("ts", F.timestamp_millis("latest")).drop("latest").withWatermark("ts", delay)
+    out = [f.split()[0] for f in schema.split(", ")]
+    arrays = ", ".join(f"{f.split()[0]} array<{f.split()[1]}>" for f in schema.split(", "))
+    got = packed.groupBy("key").transformWithState(processor, f"key {key_type}, {arrays}", "append", "eventTime")
+    return got.select("key", F.inline(F.arrays_zip(*out)))
 
 
 def _millis(text: str) -> int:
@@ -188,7 +230,7 @@ def stream_filter(signal: DataFrame, key_type: str, rho: float, qx: float, rv: f
     """
     kinds = "x1 double, x2 double, p11 double, p12 double, p22 double, s double"
     p = InOrder(["y", "w"], "y double, w double", ["x1", "x2", "smooth"], (0.0, 0.0, qx, 0.0, qx, float("nan")), filter_step(rho, qx, rv, alpha), kinds, _millis(idle))
-    return _in_order(signal, p, f"key {key_type}, n int, x1 double, x2 double, smooth double", delay)
+    return _in_order(signal, p, key_type, "n int, x1 double, x2 double, smooth double", delay)
 
 
 def impulse_step(limit: float) -> Callable:
@@ -208,4 +250,4 @@ def stream_impulse(signal: DataFrame, key_type: str, limit: float = 3.0, delay:
     """key, n, z, impulse: scores against the mean and deviation of the samples before, kept as state per key. signal
     as for stream_filter, without w."""
     p = InOrder(["y"], "y double", ["z", "impulse"], (0, 0.0, 0.0), impulse_step(limit), "count long, mean double, m2 double", _millis(idle))
-    return _in_order(signal, p, f"key {key_type}, n int, z double, impulse boolean", delay)
+    return _in_order(signal, p, key_type, "n int, z double, impulse boolean", delay)

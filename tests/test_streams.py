@@ -59,3 +59,23 @@ def test_gaps_end_at_the_watermark_and_idle_keys_start_anew(spark, tmp_path):
     want = in_one_pass([math.sin(n) for n in (0, 1, 3, 4)])
     assert np.allclose(a[a["n"] > 0][["x1", "x2", "smooth"]], want[1:], atol=1e-12)
     assert a[a["n"] == 0]["smooth"].tolist() == pytest.approx([0.0, 7.0]) or a[a["n"] == 0]["smooth"].tolist() == pytest.approx([7.0, 0.0])
+
+
+def test_samples_enter_and_leave_the_state_as_one_row_for_a_key(spark, tmp_path):
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"key": ["a", None, "a", "b", None, "a"], "n": pa.array([2, 0, 0, 0, 1, 1], pa.int32()), "y": [0.2, 5.0, 0.0, 7.0, 6.0, 0.1], "ms": [20, 9, 0, 3, 8, 10]})
+    got = [r for x in T._packs(["n", "y", "ms"])([b, b.slice(0, 0)]) for r in x.to_pylist()]
+    assert sorted(got, key=lambda r: r["key"] or "") == [
+        {"key": None, "n": [0, 1], "y": [5.0, 6.0], "ms": [9, 8], "latest": 9},
+        {"key": "a", "n": [2, 0, 1], "y": [0.2, 0.0, 0.1], "ms": [20, 0, 10], "latest": 20},
+        {"key": "b", "n": [0], "y": [7.0], "ms": [3], "latest": 3},
+    ]
+
+
+def test_late_samples_that_come_with_newer_ones(spark, tmp_path):
+    batches = [[row("a", 0, 0)], [row("b", 0, 500)], [row("b", 1, 501)], [row("a", 1, 1), row("a", 2, 600)], [row("a", 3, 2)], [row("b", 2, 601)]]
+    got = run(feed(spark, tmp_path / "in", batches), delay="10 seconds", idle="100000 seconds")
+    a = got[got["key"] == "a"]
+    assert a["n"].tolist() == [0, 1, 2]  # 1 came late, but with 2; 3 came late alone
+    assert np.allclose(a[["x1", "x2", "smooth"]], in_one_pass([math.sin(n) for n in range(3)]), atol=1e-12)
