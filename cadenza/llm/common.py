@@ -28,10 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lost executors do not make it run again."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def cut(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lost executors do not make it run again.
+
+    batch_bytes: while df is written, Arrow batches take no more rows once they hold so many bytes. An executor holds
+    such a batch outside its heap, and its Python worker as Arrow and as objects."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if batch_bytes is None:
+        df.write.parquet(path)
+    else:
+        before = spark.conf.get(_BATCH_BYTES)
+        spark.conf.set(_BATCH_BYTES, batch_bytes)
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(_BATCH_BYTES, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -23,11 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import alone
+from cadenza.llm.common import alone, sliced
 
 SAMPLE, SEQUENCES, BUCKETS, BLOCK = 4_000, 3_000, 1 << 15, 32
 SPAN, EPOCHS, RATE, DECAY = 24, 5, 0.5, 1e-5
 _CACHE_ROWS, _CACHE_GRAMS = 400_000, 100_000
+#: Texts of so many characters (or one text) are labelled together.
+CHARS = 1 << 19
 #: Numbers that are neither letters nor decimal digits, such as fractions, superscripts and Roman numerals.
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
 #: A word is a run of letters (Unicode category L); longer runs, as in scripts without spaces, are consecutive words.
@@ -270,11 +272,10 @@ def _labelled(model, words_out: bool):
         labels = np.array([*tagger.labels, "und"], dtype=object)
         k = len(tagger.labels)
         for b in batches:
-            for lo in range(0, len(b), 400):
+            for part in sliced([b], CHARS, 400):
                 rows = _state["rows"]
                 if len(rows) > _CACHE_ROWS:
                     rows = _state["rows"] = _Rows(tagger)
-                part = b.iloc[lo : lo + 400]
                 found = [[] if t is None else words_of(t.lower()) for t in part["text"]]
                 ids = np.fromiter(map(rows.__getitem__, chain.from_iterable(found)), np.int64)
                 owner = np.repeat(np.arange(len(part)), [len(ws) for ws in found])

@@ -36,7 +36,9 @@ OPEN_LIST = 64
 #: Sizes of one band differ by this ratio at most; so many values at most are broadcast as frequent.
 BAND, OFTEN = 1.02, 50_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_CACHE_ROWS = 400_000
+_CACHE_ROWS = 100_000
+#: Bytes of an Arrow batch of texts, sketches or sets.
+BATCH_BYTES = 4 << 20
 
 
 class _Words(dict):
@@ -194,11 +196,11 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, thre
     """The pairs (a, b) that are links: union-sketch estimate, then the full sets."""
     sk = reps.select("cid", "n", "sketch")
     near = pairs.join(sk.toDF("a", "na", "sa"), "a").join(sk.toDF("b", "nb", "sb"), "b")
-    near = cut(near.mapInPandas(_estimated(least_overlap(K, threshold), threshold), "a long, b long"))
+    near = cut(near.mapInPandas(_estimated(least_overlap(K, threshold), threshold), "a long, b long"), BATCH_BYTES)
     ends = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
     t = cut(_texts_of(ends, reps, texts))
     both = near.join(t.toDF("b", "tb"), "b").join(t.toDF("a", "ta"), "a")
-    out = cut(both.mapInPandas(_confirmed(width, round(threshold * 100), 100), "a long, b long"))
+    out = cut(both.mapInPandas(_confirmed(width, round(threshold * 100), 100), "a long, b long"), BATCH_BYTES)
     drop(near, t)
     return out
 
@@ -319,7 +321,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 def _listed_anew(members: DataFrame, comp: DataFrame, links: DataFrame, reps: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """Links between the members (cid) of long lists by their full sets, beyond those of comp and links."""
-    sets = cut(_texts_of(members, reps, texts).mapInPandas(_sets(width), "cid long, n long, values array<long>"))
+    sets = cut(_texts_of(members, reps, texts).mapInPandas(_sets(width), "cid long, n long, values array<long>"), BATCH_BYTES)
     keys = ["value", "band"]
     lists = cut(_banded(sets, threshold))
     found = links.union(_links(_starred(lists, keys, threshold), reps, texts, width, threshold))
@@ -328,7 +330,7 @@ def _listed_anew(members: DataFrame, comp: DataFrame, links: DataFrame, reps: Da
         return found
     # Sets travel only under the lists that are open, which hold what no bound of sizes and ranks could part.
     dealt = _blocks(still).join(sets.select("cid", "values"), "cid").repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj")
-    return found.union(dealt.mapInPandas(_long_lists(round(threshold * 100), 100), "a long, b long"))
+    return found.union(cut(dealt.mapInPandas(_long_lists(round(threshold * 100), 100), "a long, b long"), BATCH_BYTES))
 
 
 _NO_ID = -(2**63)
@@ -346,7 +348,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     first = texts.mapInPandas(_sketches(width, threshold), "doc_id long, text_hash long, n long, d1 long, d2 long, sketch array<long>")
-    first = cut(first.withColumn("uid", F.monotonically_increasing_id()))
+    first = cut(first.withColumn("uid", F.monotonically_increasing_id()), BATCH_BYTES)
     rows = cut(salted_min(first.where("n > 0").select("uid", "doc_id", "text_hash", "n", "d1", "d2"), ["d1", "d2"], "uid", "cid", "uid").drop("d1", "d2"))
     reps = cut(first.join(rows.where("uid = cid").select("uid"), "uid").select(F.col("uid").alias("cid"), "doc_id", "text_hash", "n", "sketch"))
     none = first.where("n = 0").select("uid", "doc_id", "text_hash", "n", F.col("uid").alias("cid"))
@@ -356,7 +358,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     still = _open(lists, ["value"], comp)
     drop(lists)
     short = still.where(F.col("size") <= OPEN_LIST).join(reps.select("cid", "sketch"), "cid").repartition("value").sortWithinPartitions("value")
-    pairs = cut(short.mapInPandas(_short_lists(least_overlap(K, threshold), threshold), "a long, b long").distinct())
+    pairs = cut(short.mapInPandas(_short_lists(least_overlap(K, threshold), threshold), "a long, b long").distinct(), BATCH_BYTES)
     links = links.union(_links(pairs, reps, texts, width, threshold))
     members = still.where(F.col("size") > OPEN_LIST).select("cid").distinct()
     if not members.isEmpty():

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import crc_of_id, cut, drop
 from cadenza.llm.exact_dedup import exact_dedup
 from cadenza.llm.language_id import language_id
-from cadenza.llm.near_dedup import near_dedup
+from cadenza.llm.near_dedup import BATCH_BYTES, near_dedup
 from cadenza.llm.packing import best_fit_packing
 from cadenza.llm.queries import _tokenizer
 from cadenza.llm.suffix_dedup import suffix_dedup
@@ -33,7 +33,7 @@ def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops null texts, texts without letters and those whose language is unsure. Each row goes by its own text, also
     where ids repeat or are null; rows that repeat id and text leave one. An empty table stays empty."""
-    found = language_id(docs, F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) == 1, text_hash=True)
+    found = cut(language_id(docs, F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) == 1, text_hash=True), BATCH_BYTES)
     return _only(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
 
 

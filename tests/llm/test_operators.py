@@ -852,3 +852,49 @@ def test_word_hashes_of_substring_dedup(monkeypatch):
     got = D._symbols(f"{long}y ab {long} {long}y{'z' * 40} ba {long}y").tolist()
     assert got[1::3] == [alone["ab"], alone["ba"]] and got[0] == got[5] and len(set(got)) == 5 and len(digests) == 3
     assert D._symbols("").tolist() == D._symbols(" \n").tolist() == []
+
+
+def test_near_dedup_and_the_pipeline_take_batches_of_bounded_bytes(spark, monkeypatch):
+    """An Arrow batch of 10,000 texts, or of pairs of texts, is held by the executor beside its heap."""
+    import corpus_pipeline as cp
+    from cadenza.llm import language_id as L
+    from cadenza.llm import near_dedup as N
+
+    def bounded(make):
+        def made(*args):
+            run = make(*args)
+
+            def checked(batches):
+                for b in batches:
+                    if b["text"].str.len().sum() > 5 << 20:
+                        raise ValueError("a batch of too many bytes")
+                    yield from run(iter([b]))
+
+            return checked
+
+        return made
+
+    monkeypatch.setattr(N, "_sketches", bounded(N._sketches))
+    monkeypatch.setattr(L, "_labelled", bounded(L._labelled))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    made = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat(translate(id, '0123456789', 'abcdefghij'), 'x y '), 6000)").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    assert N.near_dedup(made).where("kept").count() == 300
+    assert cp.identify_language(spark, made, "").count() == 300
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_language_id_labels_long_texts_few_at_a_time(monkeypatch):
+    import pandas as pd
+
+    from cadenza.llm import language_id as L
+
+    class Model:
+        value = L.train(["ab ba abba"] * 3 + ["cd dc cddc"] * 3, ["x"] * 3 + ["y"] * 3)
+
+    rows = pd.DataFrame({"doc_id": range(42), "text": [("ab cd ba "[i % 3 :]) * 20_000 for i in range(40)] + [None, "cd"]})
+    plain, most = L.posteriors, []
+    monkeypatch.setattr(L, "posteriors", lambda scores, *more: most.append(len(scores)) or plain(scores, *more))
+    got = pd.concat(L._labelled(Model, False)(iter([rows])))
+    assert max(most) <= L.CHARS // 2
+    alone = pd.concat(L._labelled(Model, False)(rows.iloc[[i]] for i in range(len(rows))))
+    assert got["doc_id"].tolist() == list(range(42)) and got["lang_pred"].tolist() == alone["lang_pred"].tolist() and np.allclose(got["score"], alone["score"])
